@@ -6,231 +6,182 @@ An address becomes ``struct<family, hi, lo>``: IPv4 lives in ``lo`` (0..2^32-1)
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_TEXT = 46
 
 _OCTET = r"(0|[1-9][0-9]{0,2})"
-_V4 = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
-_GROUP = r"^[0-9a-fA-F]{1,4}$"
+_V4 = rf"^{_OCTET}[.]{_OCTET}[.]{_OCTET}[.]{_OCTET}$"
 
+# The expressions below are SQL text: `transform(array(x), v -> ...)[0]` binds a value to a
+# name, so that using it often does not repeat its expression.
 
-def _let(value: Column, body) -> Column:
-    """Bind ``value`` to a lambda variable, so that using it often does not repeat it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
 
+def _let(value: str, name: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-def _no_newline(text: Column) -> Column:
-    return ~text.contains("\n")
 
-
-def v4_number(text: Column) -> Column:
+def v4_number_sql(text: str) -> str:
     """Dotted quad to number; null for anything else (leading zeros are refused)."""
-    octets = F.transform(F.split(text, r"\."), lambda o: o.cast("long"))
     number = _let(
-        octets,
-        lambda o: F.when(
-            F.forall(o, lambda x: x <= 255), o[0] * 16777216 + o[1] * 65536 + o[2] * 256 + o[3]
-        ),
+        f"transform(split({text}, '[.]'), o -> cast(o AS BIGINT))",
+        "q",
+        "CASE WHEN forall(q, x -> x <= 255) THEN q[0] * 16777216 + q[1] * 65536 + q[2] * 256 + q[3] END",
     )
-    return F.when(text.rlike(_V4) & _no_newline(text), number)
+    return f"CASE WHEN rlike({text}, '{_V4}') AND NOT contains({text}, '\n') THEN {number} END"
 
 
-def v4_text(number: Column) -> Column:
+def v4_text_sql(number: str) -> str:
     """Number to dotted quad."""
-    octets = [F.shiftright(number, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)]
-    return F.concat_ws(".", *octets)
+    octets = ", ".join(f"cast(shiftright({number}, {s}) & 255 AS STRING)" for s in (24, 16, 8, 0))
+    return f"concat_ws('.', {octets})"
 
 
-def _v6_groups(text: Column) -> Column:
+def _v6_groups_sql(text: str) -> str:
     """The eight 16-bit groups as an array of hex text, or null if malformed."""
+    none = "cast(array() AS ARRAY<STRING>)"
     # A trailing dotted quad stands for the last two groups.
-    tail = F.substring_index(text, ":", -1)
-    head = F.regexp_replace(text, r"[^:]*$", "")
-    as_groups = _let(
-        v4_number(tail),
-        lambda n: F.concat(
-            head,
-            F.lower(F.hex(F.shiftright(n, 16))),
-            F.lit(":"),
-            F.lower(F.hex(n.bitwiseAND(F.lit(65535)))),
-        ),
-    )
-    plain = F.when(tail.contains("."), as_groups).otherwise(text)
-    none = F.array().cast("array<string>")
-
-    def groups_of(piece: Column) -> Column:
-        return F.when(piece == "", none).otherwise(F.split(piece, ":", -1))
-
-    def fill(sides: Column) -> Column:
-        left, right = sides["left"], sides["right"]
-        given = F.size(left) + F.size(right)
-        size_ok = F.when(sides["gaps"] == 0, given == 8).when(sides["gaps"] == 1, given <= 7).otherwise(F.lit(False))
-        well_formed = F.forall(F.concat(left, right), lambda g: g.rlike(_GROUP))
-        zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - given, F.lit(0)))
-        return F.when(size_ok & well_formed, F.concat(left, zeros, right))
-
-    groups = _let(
-        F.split(plain, "::", -1),
-        lambda p: _let(
-            F.struct(
-                (F.size(p) - 1).alias("gaps"),
-                groups_of(F.element_at(p, 1)).alias("left"),
-                F.when(F.size(p) == 2, groups_of(F.try_element_at(p, F.lit(2)))).otherwise(none).alias("right"),
-            ),
-            fill,
-        ),
+    tail = _let(
+        v4_number_sql(f"substring_index({text}, ':', -1)"),
+        "n",
+        f"concat(regexp_replace({text}, '[^:]*$', ''), lower(hex(shiftright(n, 16))), ':', lower(hex(n & 65535)))",
     )
-    candidate = text.contains(":") & _no_newline(text) & (F.length(text) <= MAX_TEXT)
-    return F.when(candidate & plain.isNotNull(), groups)
+    plain = f"CASE WHEN contains(substring_index({text}, ':', -1), '.') THEN {tail} ELSE {text} END"
 
+    def groups(piece: str) -> str:
+        return f"CASE WHEN {piece} = '' THEN {none} ELSE split({piece}, ':', -1) END"
 
-def _half(groups: Column, first: int) -> Column:
-    return F.aggregate(
-        F.slice(groups, first, 4),
-        F.lit(0).cast("long"),
-        lambda acc, g: F.shiftleft(acc, 16).bitwiseOR(F.conv(g, 16, 10).cast("long")),
+    sides = (
+        f"named_struct('gaps', size(p) - 1, 'l', {groups('p[0]')}, "
+        f"'r', CASE WHEN size(p) = 2 THEN {groups('get(p, 1)')} ELSE {none} END)"
+    )
+    fill = (
+        "CASE WHEN ((s.gaps = 0 AND size(s.l) + size(s.r) = 8) OR (s.gaps = 1 AND size(s.l) + size(s.r) <= 7)) "
+        "AND forall(concat(s.l, s.r), g -> rlike(g, '^[0-9a-fA-F]{1,4}$')) "
+        "THEN concat(s.l, array_repeat('0', greatest(8 - size(s.l) - size(s.r), 0)), s.r) END"
+    )
+    found = _let(f"split({plain}, '::', -1)", "p", _let(sides, "s", fill))
+    return (
+        f"CASE WHEN contains({text}, ':') AND NOT contains({text}, '\n') AND length({text}) <= {MAX_TEXT} THEN {found} END"
     )
 
 
-def address_parts(text: Column) -> Column:
+def address_parts_sql(text: str) -> str:
     """``struct<family, hi, lo>`` or null where the text is not an address."""
-    as_v4 = _let(
-        v4_number(text),
-        lambda n: F.when(
-            n.isNotNull(), F.struct(F.lit("v4").alias("family"), F.lit(0).cast("long").alias("hi"), n.alias("lo"))
-        ),
+    half = "aggregate(slice(g, {first}, 4), 0L, (acc, x) -> shiftleft(acc, 16) | cast(conv(x, 16, 10) AS BIGINT))"
+    v6 = _let(
+        _v6_groups_sql(text),
+        "g",
+        "CASE WHEN g IS NOT NULL THEN named_struct('family', 'v6', "
+        f"'hi', {half.format(first=1)}, 'lo', {half.format(first=5)}) END",
     )
-    as_v6 = _let(
-        _v6_groups(text),
-        lambda g: F.when(
-            g.isNotNull(), F.struct(F.lit("v6").alias("family"), _half(g, 1).alias("hi"), _half(g, 5).alias("lo"))
-        ),
+    v4 = _let(
+        v4_number_sql(text), "n", "CASE WHEN n IS NOT NULL THEN named_struct('family', 'v4', 'hi', 0L, 'lo', n) END"
     )
-    return F.when(text.contains(":"), as_v6).otherwise(as_v4)
+    return f"CASE WHEN contains({text}, ':') THEN {v6} ELSE {v4} END"
 
 
-def address_text(family: Column, hi: Column, lo: Column) -> Column:
+def address_text_sql(family: str, hi: str, lo: str) -> str:
     """Canonical text: dotted quad, or lower-case IPv6 with the longest zero run cut."""
-    def group(half: Column, shift: int) -> Column:
-        return F.lower(F.hex(F.shiftrightunsigned(half, shift).bitwiseAND(F.lit(65535))))
-
-    groups = [group(hi, s) for s in (48, 32, 16, 0)] + [group(lo, s) for s in (48, 32, 16, 0)]
-
-    def shorten(joined: Column) -> Column:
-        short = joined
-        # Longer runs are wrapped around shorter ones, so the longest run wins.
-        for n in range(2, 9):
-            shape = r"^((?:[0-9a-f]+:)*?)" + ":".join(["0"] * n) + r"((?::[0-9a-f]+)*)$"
-            cut = F.concat(
-                F.regexp_replace(F.regexp_extract(joined, shape, 1), ":$", ""),
-                F.lit("::"),
-                F.regexp_replace(F.regexp_extract(joined, shape, 2), "^:", ""),
-            )
-            short = F.when(joined.rlike(shape), cut).otherwise(short)
-        return short
-
-    short = _let(F.concat_ws(":", *groups), shorten)
-    # IPv4-compatible and IPv4-mapped addresses end in a dotted quad.
-    top = F.shiftrightunsigned(lo, 32)
-    low = lo.bitwiseAND(F.lit(4294967295))
-    mapped = (hi == 0) & (top == 65535)
-    compatible = (hi == 0) & (top == 0) & (low > 65535)
-    v6 = (
-        F.when(mapped, F.concat(F.lit("::ffff:"), v4_text(low)))
-        .when(compatible, F.concat(F.lit("::"), v4_text(low)))
-        .otherwise(short)
+    groups = ", ".join(
+        f"lower(hex(shiftrightunsigned({half}, {s}) & 65535))" for half in (hi, lo) for s in (48, 32, 16, 0)
+    )
+    cases = ""
+    # The longest run is tried first, its leftmost occurrence wins.
+    for n in range(8, 1, -1):
+        shape = "^((?:[0-9a-f]+:)*?)" + ":".join(["0"] * n) + "((?::[0-9a-f]+)*)$"
+        cases += (
+            f" WHEN rlike(j, '{shape}') THEN concat(regexp_replace(regexp_extract(j, '{shape}', 1), ':$', ''), '::', "
+            f"regexp_replace(regexp_extract(j, '{shape}', 2), '^:', ''))"
+        )
+    short = _let(f"concat_ws(':', {groups})", "j", f"CASE{cases} ELSE j END")
+    low = f"({lo} & 4294967295L)"
+    # IPv4-mapped and IPv4-compatible addresses end in a dotted quad.
+    return (
+        f"CASE WHEN {family} = 'v4' THEN {v4_text_sql(lo)} "
+        f"WHEN {family} = 'v6' AND {hi} = 0 AND shiftrightunsigned({lo}, 32) = 65535 THEN concat('::ffff:', {v4_text_sql(low)}) "
+        f"WHEN {family} = 'v6' AND {hi} = 0 AND shiftrightunsigned({lo}, 32) = 0 AND {low} > 65535 THEN concat('::', {v4_text_sql(low)}) "
+        f"WHEN {family} = 'v6' THEN {short} END"
     )
-    return F.when(family == "v4", v4_text(lo)).when(family == "v6", v6)
 
 
-def mask_hi(family: Column, plen: Column) -> Column:
+def masks(family: str, plen: int) -> tuple[int, int]:
+    """Both halves of a netmask as signed 64-bit numbers."""
+    if family == "v4":
+        return 0, 2**32 - 2 ** (32 - plen)
+    mask = (2**128 - 1) ^ (2 ** (128 - plen) - 1)
+    halves = mask >> 64, mask & (2**64 - 1)
+    return tuple(h - 2**64 if h >= 2**63 else h for h in halves)
+
+
+def mask_hi_sql(family: str, plen: str) -> str:
     """Upper half of the netmask (the JVM ignores a shift by 64, hence the branches)."""
-    shifted = F.call_function("shiftleft", F.lit(-1).cast("long"), (F.lit(64) - plen).cast("int"))
     return (
-        F.when((family == "v4") | (plen <= 0), F.lit(0).cast("long"))
-        .when(plen >= 64, F.lit(-1).cast("long"))
-        .otherwise(shifted)
+        f"CASE WHEN {family} = 'v4' OR {plen} <= 0 THEN 0L WHEN {plen} >= 64 THEN -1L "
+        f"ELSE shiftleft(-1L, 64 - {plen}) END"
     )
 
 
-def mask_lo(family: Column, plen: Column) -> Column:
+def mask_lo_sql(family: str, plen: str) -> str:
     """Lower half of the netmask."""
-    v4 = F.lit(4294967296) - F.call_function(
-        "shiftleft", F.lit(1).cast("long"), (F.lit(32) - plen).cast("int")
-    )
-    v6 = F.call_function("shiftleft", F.lit(-1).cast("long"), (F.lit(128) - plen).cast("int"))
     return (
-        F.when(family == "v4", v4)
-        .when(plen <= 64, F.lit(0).cast("long"))
-        .when(plen >= 128, F.lit(-1).cast("long"))
-        .otherwise(v6)
+        f"CASE WHEN {family} = 'v4' THEN 4294967296L - shiftleft(1L, 32 - {plen}) WHEN {plen} <= 64 THEN 0L "
+        f"WHEN {plen} >= 128 THEN -1L ELSE shiftleft(-1L, 128 - {plen}) END"
     )
 
 
 def normalise_addresses(t: DataFrame, col: str, out: str = "addr") -> DataFrame:
     """Add ``<out>_family/_hi/_lo/_text`` and ``<out>_ok`` for an address text column."""
-    parts = address_parts(F.col(col))
-    return (
-        t.withColumn(f"__{out}", parts)
-        .withColumn(f"{out}_family", F.col(f"__{out}.family"))
-        .withColumn(f"{out}_hi", F.col(f"__{out}.hi"))
-        .withColumn(f"{out}_lo", F.col(f"__{out}.lo"))
-        .withColumn(f"{out}_text", address_text(F.col(f"{out}_family"), F.col(f"{out}_hi"), F.col(f"{out}_lo")))
-        .withColumn(f"{out}_ok", F.col(f"__{out}").isNotNull())
-        .drop(f"__{out}")
+    parts = t.withColumn(f"__{out}", F.expr(address_parts_sql(f"`{col}`"))).selectExpr(
+        *[f"`{c}`" for c in t.columns if c not in (f"{out}_family", f"{out}_hi", f"{out}_lo", f"{out}_text", f"{out}_ok")],
+        f"__{out}.family AS {out}_family",
+        f"__{out}.hi AS {out}_hi",
+        f"__{out}.lo AS {out}_lo",
+        f"__{out} IS NOT NULL AS {out}_ok",
     )
+    return parts.withColumn(f"{out}_text", F.expr(address_text_sql(f"{out}_family", f"{out}_hi", f"{out}_lo")))
 
 
-def normalise_cidrs(t: DataFrame, col: str, out: str = "cidr") -> DataFrame:
-    """Add ``<out>`` = ``struct<family, net_hi, net_lo, plen>`` (null if bad) and ``<out>_error``."""
-    text = F.col(col)
-    slash = F.instr(text, "/")
-    len_text = F.expr(f"substring(`{col}`, instr(`{col}`, '/') + 1)")
-    t = (
-        t.withColumn("__addr", address_parts(F.expr(f"substring(`{col}`, 1, instr(`{col}`, '/') - 1)")))
-        .withColumn(
-            "__plen",
-            F.when(len_text.rlike("^[0-9]+$") & _no_newline(len_text), len_text.try_cast("int")),
-        )
-    )
-    family, plen = F.col("__addr.family"), F.col("__plen")
-    width = F.when(family == "v4", 32).otherwise(128)
-    host_bits = (F.col("__addr.hi").bitwiseAND(F.bitwise_not(mask_hi(family, plen))) != 0) & (family == "v6") | (
-        F.col("__addr.lo").bitwiseAND(F.bitwise_not(mask_lo(family, plen))) != 0
-    )
+def cidr_parts_sql(text: str) -> str:
+    """``struct<error, net: struct<family, net_hi, net_lo, plen>>`` of a CIDR text."""
+    length = f"substring({text}, instr({text}, '/') + 1)"
+    plen = f"CASE WHEN rlike({length}, '^[0-9]+$') AND NOT contains({length}, '\n') THEN try_cast({length} AS INT) END"
+    hi, lo = mask_hi_sql("a.family", "n"), mask_lo_sql("a.family", "n")
     error = (
-        F.when(slash == 0, F.lit("missing_slash"))
-        .when(F.col("__addr").isNull(), F.lit("bad_address"))
-        .when(plen.isNull(), F.lit("bad_length"))
-        .when(plen > width, F.lit("too_long"))
-        .when(host_bits, F.lit("host_bits_set"))
+        f"CASE WHEN instr({text}, '/') = 0 THEN 'missing_slash' WHEN a IS NULL THEN 'bad_address' "
+        "WHEN n IS NULL THEN 'bad_length' WHEN n > CASE WHEN a.family = 'v4' THEN 32 ELSE 128 END THEN 'too_long' "
+        f"WHEN (a.family = 'v6' AND (a.hi & ~({hi})) <> 0) OR (a.lo & ~({lo})) <> 0 THEN 'host_bits_set' END"
     )
-    net = F.struct(
-        family.alias("family"),
-        F.col("__addr.hi").alias("net_hi"),
-        F.col("__addr.lo").alias("net_lo"),
-        plen.alias("plen"),
-    )
-    return (
-        t.withColumn(f"{out}_error", error)
-        .withColumn(out, F.when(F.col(f"{out}_error").isNull() & text.isNotNull(), net))
-        .drop("__addr", "__plen")
+    net = "named_struct('family', a.family, 'net_hi', a.hi, 'net_lo', a.lo, 'plen', n)"
+    found = _let(
+        error, "e", f"named_struct('error', e, 'net', CASE WHEN e IS NULL AND {text} IS NOT NULL THEN {net} END)"
     )
+    address = address_parts_sql(f"substring({text}, 1, instr({text}, '/') - 1)")
+    return _let(address, "a", _let(plen, "n", found))
+
+
+def normalise_cidrs(t: DataFrame, col: str, out: str = "cidr") -> DataFrame:
+    """Add ``<out>`` = ``struct<family, net_hi, net_lo, plen>`` (null if bad) and ``<out>_error``.
+
+    One expression yields both, so a filter on the error that Spark pushes below this
+    projection does not repeat the parsing for every use of a part.
+    """
+    parsed = t.withColumn("__cidr", F.expr(cidr_parts_sql(f"`{col}`")))
+    keep = [f"`{c}`" for c in t.columns if c not in (out, f"{out}_error")]
+    return parsed.selectExpr(*keep, f"__cidr.net AS `{out}`", f"__cidr.error AS `{out}_error`")
 
 
 def client_prefix(t: DataFrame, v4_len: int = 24, v6_len: int = 56) -> DataFrame:
     """Add the truncated source prefix (``prefix_hi``, ``prefix_lo``, ``prefix``)."""
-    family = F.col("client_family")
-    plen = F.when(family == "v4", F.lit(v4_len)).otherwise(F.lit(v6_len))
-    return (
-        t.withColumn("prefix_hi", F.col("client_hi").bitwiseAND(mask_hi(family, plen)))
-        .withColumn("prefix_lo", F.col("client_lo").bitwiseAND(mask_lo(family, plen)))
-        .withColumn(
-            "prefix",
-            F.concat(
-                address_text(family, F.col("prefix_hi"), F.col("prefix_lo")), F.lit("/"), plen.cast("string")
-            ),
-        )
+    (h4, l4), (h6, l6) = masks("v4", v4_len), masks("v6", v6_len)
+    text = address_text_sql("client_family", "prefix_hi", "prefix_lo")
+    return t.withColumns(
+        {
+            "prefix_hi": F.expr(f"client_hi & CASE WHEN client_family = 'v4' THEN {h4}L ELSE {h6}L END"),
+            "prefix_lo": F.expr(f"client_lo & CASE WHEN client_family = 'v4' THEN {l4}L ELSE {l6}L END"),
+        }
+    ).withColumn(
+        "prefix",
+        F.expr(f"concat({text}, '/', CASE WHEN client_family = 'v4' THEN '{v4_len}' ELSE '{v6_len}' END)"),
     )

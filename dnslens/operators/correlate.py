@@ -15,24 +15,21 @@ def outcomes(att: DataFrame, resp: DataFrame) -> DataFrame:
     The responses' exact repeats are collapsed before the shuffle. The aggregation groups
     by a superset of the join keys, so it reuses the join's partitioning.
     """
-    first = resp.groupBy(*MATCH, "recv_us").agg(F.min(F.struct("rcode", "tc")).alias("answer"))
-    in_time = F.col("r.recv_us").between(F.col("a.send_us"), F.col("a.deadline_us"))
-    same = [F.col(f"a.{c}") == F.col(f"r.{c}") for c in MATCH]
-    cond = in_time
-    for s in same:
-        cond = cond & s
-    joined = att.alias("a").join(first.alias("r"), cond, "left").select(
-        "a.*", F.when(F.col("r.recv_us").isNotNull(), F.struct("r.recv_us", "r.answer")).alias("hit")
+    first = resp.groupBy(*MATCH, "recv_us").agg(F.expr("min(struct(rcode, tc)) AS answer"))
+    cond = " AND ".join(f"a.{c} = r.{c}" for c in MATCH) + " AND r.recv_us BETWEEN a.send_us AND a.deadline_us"
+    hits = att.alias("a").join(first.alias("r"), F.expr(cond), "left").selectExpr(
+        "a.*", "CASE WHEN r.recv_us IS NOT NULL THEN struct(r.recv_us, r.answer) END AS hit"
     )
     rest = [c for c in att.columns if c not in (*MATCH, "query_id", "attempt_no")]
-    done = joined.groupBy(*MATCH, "query_id", "attempt_no").agg(
-        *[F.first(c).alias(c) for c in rest], F.min("hit").alias("hit")
-    )
-    return done.select(
-        *att.columns,
-        F.col("hit.recv_us").alias("recv_us"),
-        F.col("hit.answer.rcode").alias("rcode"),
-        (F.col("hit.recv_us") - F.col("send_us")).alias("latency_us"),
+    return (
+        hits.groupBy(*MATCH, "query_id", "attempt_no")
+        .agg(*[F.expr(f"first(`{c}`) AS `{c}`") for c in rest], F.expr("min(hit) AS hit"))
+        .selectExpr(
+            *[f"`{c}`" for c in att.columns],
+            "hit.recv_us AS recv_us",
+            "hit.answer.rcode AS rcode",
+            "hit.recv_us - send_us AS latency_us",
+        )
     )
 
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dnslens.functions.netaddr import address_parts, mask_hi, mask_lo, normalise_cidrs
+from dnslens.functions.netaddr import address_parts_sql, mask_hi_sql, mask_lo_sql, masks, normalise_cidrs
 
 #: A prefix table up to this many rows is broadcast (about 10 MB).
 BROADCAST_ROWS = 200_000
@@ -27,40 +28,40 @@ def region_lpm(
     join. A small prefix table is broadcast; a larger one is matched against the distinct
     addresses only, and the result joined back, so the log is never shuffled per length.
     """
-    nets = normalise_cidrs(cidrs, "cidr").filter("cidr_error is null")
-    nets = nets.select("region", "cidr.*").groupBy("family", "net_hi", "net_lo", "plen").agg(F.min("region").alias("region"))
-    # At most 33 + 129 lengths exist; their counts add up to the table's size.
-    sizes = nets.groupBy("family", "plen").count().collect()
-    lengths = [(r["family"], r["plen"]) for r in sizes]
-    if sum(r["count"] for r in sizes) <= broadcast_rows:
-        return _match(q, F.broadcast, nets, lengths, out, family, hi, lo)
-    addresses = q.select(family, hi, lo).distinct()
-    found = _match(addresses, lambda d: d, nets, lengths, out, family, hi, lo)
+    nets = normalise_cidrs(cidrs, "cidr", "net").filter("net IS NOT NULL").selectExpr("region", "net.*")
+    head = nets.limit(broadcast_rows + 1).toArrow()
+    if head.num_rows <= broadcast_rows:
+        best: dict[tuple, str] = {}
+        for row in head.to_pylist():
+            net = (row["family"], row["plen"], row["net_hi"], row["net_lo"])
+            best[net] = min(row["region"], best.get(net, row["region"]))
+        spark = q.sparkSession
+        lengths = sorted({(f, p) for f, p, _, _ in best}, key=lambda x: (-x[1], x[0]))
+        tables = []
+        for length in lengths:
+            rows = [(h, l, r) for (f, p, h, l), r in best.items() if (f, p) == length]
+            columns = dict(zip(("net_hi", "net_lo", "region"), map(list, zip(*rows))))
+            tables.append(F.broadcast(spark.createDataFrame(pa.table(columns))))
+        return _match(q, lengths, tables, out, family, hi, lo)
+    nets = nets.groupBy("family", "net_hi", "net_lo", "plen").agg(F.min("region").alias("region"))
+    # At most 33 + 129 lengths exist.
+    lengths = [(r["family"], r["plen"]) for r in nets.select("family", "plen").distinct().collect()]
+    lengths.sort(key=lambda x: (-x[1], x[0]))
+    tables = [nets.filter((F.col("family") == f) & (F.col("plen") == p)) for f, p in lengths]
+    found = _match(q.select(family, hi, lo).distinct(), lengths, tables, out, family, hi, lo)
     return q.join(found, [family, hi, lo], "left")
 
 
-def _match(q, hint, nets, lengths, out, family, hi, lo) -> DataFrame:
-    picks = []
+def _match(q, lengths, tables, out, family, hi, lo) -> DataFrame:
     df = q
-    for n, (fam, plen) in enumerate(sorted(lengths, key=lambda x: (-x[1], x[0]))):
-        fam_lit, plen_lit = F.lit(fam), F.lit(plen)
-        part = hint(
-            nets.filter((F.col("family") == fam) & (F.col("plen") == plen)).select(
-                F.col("family").alias(f"__f{n}"),
-                F.col("net_hi").alias(f"__h{n}"),
-                F.col("net_lo").alias(f"__l{n}"),
-                F.col("region").alias(f"__r{n}"),
-            )
-        )
-        on = (
-            (F.col(family) == F.col(f"__f{n}"))
-            & (F.col(hi).bitwiseAND(mask_hi(fam_lit, plen_lit)) == F.col(f"__h{n}"))
-            & (F.col(lo).bitwiseAND(mask_lo(fam_lit, plen_lit)) == F.col(f"__l{n}"))
-        )
-        df = df.join(part, on, "left").drop(f"__f{n}", f"__h{n}", f"__l{n}")
-        picks.append(F.col(f"__r{n}"))
-    region = F.coalesce(*picks) if picks else F.lit(None).cast("string")
-    return df.withColumn(out, region).drop(*[f"__r{n}" for n in range(len(picks))])
+    for n, ((fam, plen), nets) in enumerate(zip(lengths, tables)):
+        m_hi, m_lo = masks(fam, plen)
+        part = nets.selectExpr(f"net_hi AS __h{n}", f"net_lo AS __l{n}", f"region AS __r{n}")
+        on = f"`{family}` = '{fam}' AND (`{hi}` & {m_hi}L) = __h{n} AND (`{lo}` & {m_lo}L) = __l{n}"
+        df = df.join(part, F.expr(on), "left")
+    picks = ", ".join(f"__r{n}" for n in range(len(lengths)))
+    region = f"coalesce({picks})" if len(lengths) > 1 else (picks or "cast(null AS STRING)")
+    return df.selectExpr(*[f"`{c}`" for c in q.columns if c != out], f"{region} AS `{out}`")
 
 
 def region_ecs(q: DataFrame, cidrs: DataFrame, trust: bool = False, plen: int = 24, out: str = "region") -> DataFrame:
@@ -70,22 +71,14 @@ def region_ecs(q: DataFrame, cidrs: DataFrame, trust: bool = False, plen: int =
     """
     if not trust:
         return region_lpm(q, cidrs, out)
-    parts = address_parts(F.col("edns.ecs_ip"))
-    bits = F.least(F.col("edns.ecs_plen"), F.lit(plen))
-    df = (
-        q.withColumn("__e", parts)
-        .withColumn("__use", F.col("__e").isNotNull() & F.col("edns.present"))
-        .withColumn("__ef", F.when(F.col("__use"), F.col("__e.family")).otherwise(F.col("client_family")))
-        .withColumn(
-            "__eh",
-            F.when(F.col("__use"), F.col("__e.hi").bitwiseAND(mask_hi(F.col("__e.family"), bits))).otherwise(F.col("client_hi")),
-        )
-        .withColumn(
-            "__el",
-            F.when(F.col("__use"), F.col("__e.lo").bitwiseAND(mask_lo(F.col("__e.family"), bits))).otherwise(F.col("client_lo")),
-        )
+    bits = f"least(edns.ecs_plen, {plen})"
+    df = q.withColumn("__e", F.expr(f"CASE WHEN edns.present THEN {address_parts_sql('edns.ecs_ip')} END")).selectExpr(
+        *[f"`{c}`" for c in q.columns],
+        "coalesce(__e.family, client_family) AS __ef",
+        f"coalesce(__e.hi & {mask_hi_sql('__e.family', bits)}, client_hi) AS __eh",
+        f"coalesce(__e.lo & {mask_lo_sql('__e.family', bits)}, client_lo) AS __el",
     )
-    return region_lpm(df, cidrs, out, "__ef", "__eh", "__el").drop("__e", "__use", "__ef", "__eh", "__el")
+    return region_lpm(df, cidrs, out, "__ef", "__eh", "__el").drop("__ef", "__eh", "__el")
 
 
 def candidates(regions: DataFrame, backends: DataFrame, affinity: DataFrame) -> DataFrame:

@@ -12,8 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dnslens.functions.hashing import question_hash
-from dnslens.functions.netaddr import v4_text
+from dnslens.functions.netaddr import v4_text_sql
 from dnslens.operators.correlate import outcomes as correlate_outcomes
 from dnslens.operators.geo import region_lpm
 from dnslens.operators.prepare import classify_outcome
@@ -59,14 +58,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shape_events(df: DataFrame) -> DataFrame:
     """The common columns of all event-derived views (also used on streams)."""
-    return df.select(
+    return df.selectExpr(
         "event_id",
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"),
+        "cast(ts AS TIMESTAMP) AS ts",
+        "unix_micros(cast(ts AS TIMESTAMP)) AS t_us",
         "user_id",
         "event_type",
-        F.floor(F.col("value") * 1000 + 0.5).cast("long").alias("lat_us"),
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
+        "cast(floor(value * 1000 + 0.5) AS BIGINT) AS lat_us",
+        "cast(get_json_object(props, '$.k') AS INT) AS k",
     )
 
 
@@ -78,45 +77,39 @@ def _choose(options: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(o) for o in options]), index.cast("int") + 1)
 
 
-def _qtype() -> Column:
-    lookup = F.create_map(*[F.lit(x) for pair in QTYPES.items() for x in pair])
-    return F.coalesce(lookup[F.col("event_type")], F.lit(1))
+def _case(index: str, options: list[str]) -> str:
+    whens = " ".join(f"WHEN {i} THEN '{o}'" for i, o in enumerate(options))
+    return f"CASE {index} {whens} END"
 
 
-def _qname() -> Column:
-    return F.concat(F.lit("q"), F.col("k").cast("string"), F.lit(".example"))
+QTYPE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in QTYPES.items()) + " ELSE 1 END"
+QNAME = "concat('q', k, '.example')"
+QHASH = f"md5(concat_ws('/', lower({QNAME}), {QTYPE}, 1))"
+BACKEND = _case("k % 4", [b[0] for b in BACKENDS])
 
 
 def shape_queries(ev: DataFrame) -> DataFrame:
-    qtype, qname = _qtype(), _qname()
-    lo = F.lit(2130706432) + (1 + F.col("user_id") % 4) * 65536 + F.col("user_id") % 65536
-    return ev.select(
-        F.col("event_id").alias("query_id"),
-        F.col("ts").alias("arrival_ts"),
-        F.col("t_us").alias("arrival_us"),
-        (F.col("event_id") % 2).cast("int").alias("worker_id"),
-        F.lit(0).alias("listener_id"),
-        v4_text(lo).alias("client_ip"),
-        F.lit("v4").alias("client_family"),
-        F.lit(0).cast("long").alias("client_hi"),
-        lo.alias("client_lo"),
-        (F.col("event_id") % 65536).cast("int").alias("client_txid"),
-        qname.alias("qname"),
-        qtype.alias("qtype"),
-        F.lit(1).alias("qclass"),
-        question_hash(qname, qtype, F.lit(1)).alias("question_hash"),
-        F.lit("udp").alias("transport"),
-        F.struct(
-            (F.col("event_id") % 5 == 0).alias("present"),
-            F.lit(1232).alias("udp_size"),
-            F.lit(False).alias("do"),
-            # Every fifth query carries the subnet of the "next" region's population.
-            F.when(
-                F.col("event_id") % 5 == 0,
-                F.concat(F.lit("127."), (1 + (F.col("user_id") + 1) % 4).cast("string"), F.lit(".0.77")),
-            ).alias("ecs_ip"),
-            F.when(F.col("event_id") % 5 == 0, F.lit(24)).alias("ecs_plen"),
-        ).alias("edns"),
+    lo = "(2130706432L + (1 + user_id % 4) * 65536 + user_id % 65536)"
+    return ev.selectExpr(
+        "event_id AS query_id",
+        "ts AS arrival_ts",
+        "t_us AS arrival_us",
+        "cast(event_id % 2 AS INT) AS worker_id",
+        "0 AS listener_id",
+        f"{v4_text_sql(lo)} AS client_ip",
+        "'v4' AS client_family",
+        "0L AS client_hi",
+        f"{lo} AS client_lo",
+        "cast(event_id % 65536 AS INT) AS client_txid",
+        f"{QNAME} AS qname",
+        f"{QTYPE} AS qtype",
+        "1 AS qclass",
+        f"{QHASH} AS question_hash",
+        "'udp' AS transport",
+        # Every fifth query carries the subnet of the "next" region's population.
+        "named_struct('present', event_id % 5 = 0, 'udp_size', 1232, 'do', false, "
+        "'ecs_ip', CASE WHEN event_id % 5 = 0 THEN concat('127.', 1 + (user_id + 1) % 4, '.0.77') END, "
+        "'ecs_plen', CASE WHEN event_id % 5 = 0 THEN 24 END) AS edns",
     )
 
 
@@ -125,19 +118,18 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shape_attempts(ev: DataFrame) -> DataFrame:
-    qtype, qname = _qtype(), _qname()
-    return ev.select(
-        F.col("event_id").alias("query_id"),
-        F.lit(1).alias("attempt_no"),
-        (F.col("event_id") % 2).cast("int").alias("worker_id"),
-        _choose([b[0] for b in BACKENDS], F.col("k") % 4).alias("backend"),
-        ((F.col("event_id") * 7919) % 65536).cast("int").alias("upstream_txid"),
-        F.col("event_id").alias("generation"),
-        question_hash(qname, qtype, F.lit(1)).alias("question_hash"),
-        F.col("ts").alias("send_ts"),
-        F.timestamp_micros(F.col("t_us") + TIMEOUT_US).alias("deadline_ts"),
-        F.col("t_us").alias("send_us"),
-        (F.col("t_us") + TIMEOUT_US).alias("deadline_us"),
+    return ev.selectExpr(
+        "event_id AS query_id",
+        "1 AS attempt_no",
+        "cast(event_id % 2 AS INT) AS worker_id",
+        f"{BACKEND} AS backend",
+        "cast((event_id * 7919) % 65536 AS INT) AS upstream_txid",
+        "event_id AS generation",
+        f"{QHASH} AS question_hash",
+        "ts AS send_ts",
+        f"timestamp_micros(t_us + {TIMEOUT_US}) AS deadline_ts",
+        "t_us AS send_us",
+        f"t_us + {TIMEOUT_US} AS deadline_us",
     )
 
 
@@ -147,30 +139,18 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shape_responses(ev: DataFrame) -> DataFrame:
     """Responses with the usual faults: lost, late, wrong id, wrong question, repeated."""
-    qtype, qname = _qtype(), _qname()
-    eid = F.col("event_id")
-    answered = (F.col("lat_us") <= TIMEOUT_US) | (eid % 3 == 0)
-    copies = F.when(eid % 41 == 0, F.array(F.lit(0), F.lit(500))).otherwise(F.array(F.lit(0)))
-    recv = F.col("t_us") + F.col("lat_us") + F.col("copy")
-    return (
-        ev.filter(answered)
-        .withColumn("copy", F.explode(copies))
-        .select(
-            (eid % 2).cast("int").alias("worker_id"),
-            _choose([b[0] for b in BACKENDS], F.col("k") % 4).alias("backend"),
-            ((eid * 7919 + F.when(eid % 89 == 0, 1).otherwise(0)) % 65536).cast("int").alias("upstream_txid"),
-            (eid + F.when(eid % 97 == 0, 1).otherwise(0)).alias("generation"),
-            F.when(eid % 83 == 0, F.lit("other"))
-            .otherwise(question_hash(qname, qtype, F.lit(1)))
-            .alias("question_hash"),
-            F.timestamp_micros(recv).alias("recv_ts"),
-            recv.alias("recv_us"),
-            F.when(F.col("event_type") == "error", F.lit("SERVFAIL"))
-            .when(F.col("event_type") == "signup", F.lit("NXDOMAIN"))
-            .otherwise(F.lit("NOERROR"))
-            .alias("rcode"),
-            F.lit(False).alias("tc"),
-        )
+    return ev.filter(f"lat_us <= {TIMEOUT_US} OR event_id % 3 = 0").selectExpr(
+        "*", "explode(CASE WHEN event_id % 41 = 0 THEN array(0, 500) ELSE array(0) END) AS copy"
+    ).selectExpr(
+        "cast(event_id % 2 AS INT) AS worker_id",
+        f"{BACKEND} AS backend",
+        "cast((event_id * 7919 + CASE WHEN event_id % 89 = 0 THEN 1 ELSE 0 END) % 65536 AS INT) AS upstream_txid",
+        "event_id + CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END AS generation",
+        f"CASE WHEN event_id % 83 = 0 THEN 'other' ELSE {QHASH} END AS question_hash",
+        "timestamp_micros(t_us + lat_us + copy) AS recv_ts",
+        "t_us + lat_us + copy AS recv_us",
+        "CASE event_type WHEN 'error' THEN 'SERVFAIL' WHEN 'signup' THEN 'NXDOMAIN' ELSE 'NOERROR' END AS rcode",
+        "false AS tc",
     )
 
 
@@ -209,46 +189,39 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshots(spark: SparkSession, sf_dir: str, bin_us: int = BIN) -> DataFrame:
     """A published view per (bin, region, backend) of the bin's own telemetry."""
-    seen = outcomes(spark, sf_dir).withColumn("bin", F.floor(F.col("send_us") / bin_us).cast("long"))
-    per = seen.groupBy("bin", "region", "backend").agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("outcome").isin("timeout", "error")).alias("bad"),
-        F.sum("latency_us").alias("lat_sum"),
-        F.count("latency_us").alias("lat_n"),
-    )
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(r).alias("region"), F.lit(b).alias("backend"), F.lit(float(w)).alias("weight"),
-                F.lit(s).alias("site"), F.lit(i).alias("i"),
-            )
-            for r in REGIONS
-            for i, (b, w, s) in enumerate(BACKENDS)
-        ]
+    per = (
+        outcomes(spark, sf_dir)
+        .selectExpr(f"send_us div {bin_us} AS bin", "region", "backend", "outcome", "latency_us")
+        .groupBy("bin", "region", "backend")
+        .agg(
+            F.expr("count(*) AS n"),
+            F.expr("count_if(outcome IN ('timeout', 'error')) AS bad"),
+            F.expr("sum(latency_us) AS lat_sum"),
+            F.expr("count(latency_us) AS lat_n"),
+        )
     )
-    grid = per.select("bin").distinct().select("bin", F.explode(cells).alias("c")).select("bin", "c.*")
-    full = grid.join(per, ["bin", "region", "backend"], "left")
-    n, bad = F.coalesce("n", F.lit(0)), F.coalesce("bad", F.lit(0))
-    health = (
-        F.when((n > 0) & (bad * 100 >= n * 45), F.lit("UNHEALTHY"))
-        .when((n > 0) & (bad * 100 >= n * 25), F.lit("DEGRADED"))
-        .when((F.col("bin") + F.col("i")) % 11 == 0, F.lit("RECOVERING"))
-        .otherwise(F.lit("HEALTHY"))
+    # Every version lists every cell, also those without traffic in the bin.
+    cells = ", ".join(
+        f"named_struct('region', '{r}', 'backend', '{b}', 'weight', {w}D, 'site', '{s}', 'i', {i})"
+        for r in REGIONS
+        for i, (b, w, s) in enumerate(BACKENDS)
     )
-    return full.select(
-        F.col("bin").alias("version"),
-        ((F.col("bin") + 1) * bin_us).alias("published_us"),
-        F.timestamp_micros((F.col("bin") + 1) * bin_us).alias("published_ts"),
-        F.lit("weighted").alias("policy"),
+    grid = per.select("bin").distinct().selectExpr("bin", f"inline(array({cells}))")
+    return grid.join(per, ["bin", "region", "backend"], "left").selectExpr(
+        "bin AS version",
+        f"(bin + 1) * {bin_us} AS published_us",
+        f"timestamp_micros((bin + 1) * {bin_us}) AS published_ts",
+        "'weighted' AS policy",
         "region",
         "backend",
         "site",
         "weight",
-        F.coalesce(F.floor(F.col("lat_sum") / F.col("lat_n")), F.lit(50000)).cast("double").alias("ewma_us"),
-        health.alias("health"),
-        (health != "UNHEALTHY").alias("eligible"),
-        n.alias("n"),
-        bad.alias("bad"),
+        "cast(coalesce(lat_sum div lat_n, 50000) AS DOUBLE) AS ewma_us",
+        "CASE WHEN bad * 100 >= n * 45 THEN 'UNHEALTHY' WHEN bad * 100 >= n * 25 THEN 'DEGRADED' "
+        "WHEN (bin + i) % 11 = 0 THEN 'RECOVERING' ELSE 'HEALTHY' END AS health",
+        "NOT coalesce(bad * 100 >= n * 45, false) AS eligible",
+        "coalesce(n, 0) AS n",
+        "coalesce(bad, 0) AS bad",
     )
 
 
@@ -330,32 +303,26 @@ REPS = 5
 
 def shape_samples(ev: DataFrame) -> DataFrame:
     """Events dealt out to runs: 2 scenarios x 2 policies x 5 repetitions."""
-    eid = F.col("event_id")
-    lag = (eid % 7) * 1000
-    return ev.select(
-        F.concat_ws(
-            "-",
-            _choose(list(SCENARIOS), eid % 2),
-            _choose(list(POLICIES), F.floor(eid / 2) % 2),
-            (F.floor(eid / 4) % REPS).cast("string"),
-        ).alias("run_id"),
-        _choose(list(SCENARIOS), eid % 2).alias("scenario"),
-        _choose(list(POLICIES), F.floor(eid / 2) % 2).alias("policy"),
-        (F.floor(eid / 4) % REPS).cast("int").alias("rep"),
-        F.when(F.floor(eid / 4) % REPS == 4, F.lit("A")).otherwise(F.lit("B")).alias("mode"),
-        eid.alias("seq"),
-        _choose([r[0] for r in REGION_CIDRS[:4]], F.col("user_id") % 4).alias("region"),
-        F.col("t_us").alias("intended_us"),
-        (F.col("t_us") + lag).alias("send_us"),
-        F.when(F.col("lat_us") <= TIMEOUT_US, F.col("t_us") + lag + F.col("lat_us")).alias("recv_us"),
-        F.when(F.col("lat_us") > TIMEOUT_US, F.lit("timeout"))
-        .when(F.col("event_type") == "error", F.lit("fail"))
-        .otherwise(F.lit("ok"))
-        .alias("status"),
-        _choose([b[0] for b in BACKENDS], F.col("k") % 4).alias("backend"),
-        _qname().alias("qname"),
-        _qtype().alias("qtype"),
-        (F.lit(40) + F.col("k") * 5).alias("packet_bytes"),
+    scenario = _case("event_id % 2", list(SCENARIOS))
+    policy = _case("(event_id div 2) % 2", list(POLICIES))
+    rep = f"cast((event_id div 4) % {REPS} AS INT)"
+    sent = "(t_us + (event_id % 7) * 1000)"
+    return ev.selectExpr(
+        f"concat_ws('-', {scenario}, {policy}, {rep}) AS run_id",
+        f"{scenario} AS scenario",
+        f"{policy} AS policy",
+        f"{rep} AS rep",
+        f"CASE WHEN {rep} = 4 THEN 'A' ELSE 'B' END AS mode",
+        "event_id AS seq",
+        f"{_case('user_id % 4', [r[0] for r in REGION_CIDRS[:4]])} AS region",
+        "t_us AS intended_us",
+        f"{sent} AS send_us",
+        f"CASE WHEN lat_us <= {TIMEOUT_US} THEN {sent} + lat_us END AS recv_us",
+        f"CASE WHEN lat_us > {TIMEOUT_US} THEN 'timeout' WHEN event_type = 'error' THEN 'fail' ELSE 'ok' END AS status",
+        f"{BACKEND} AS backend",
+        f"{QNAME} AS qname",
+        f"{QTYPE} AS qtype",
+        "40 + k * 5 AS packet_bytes",
     )
 
 
