@@ -58,11 +58,13 @@ def asof(
     return out
 
 
+def _published(snap: DataFrame) -> DataFrame:
+    return snap.groupBy("published_us").agg(F.max("version").alias("version")).withColumn("seen_us", F.col("published_us"))
+
+
 def asof_snapshot(q: DataFrame, snap: DataFrame, **options) -> DataFrame:
     """Add ``version`` and ``snapshot_age_us`` of the snapshot in force at arrival."""
-    published = snap.groupBy("published_us").agg(F.max("version").alias("version"))
-    published = published.withColumn("seen_us", F.col("published_us"))
-    out = asof(q, published, "arrival_us", "published_us", ["version", "seen_us"], **options)
+    out = asof(q, _published(snap), "arrival_us", "published_us", ["version", "seen_us"], **options)
     return out.withColumn("snapshot_age_us", F.col("arrival_us") - F.col("seen_us")).drop("seen_us")
 
 

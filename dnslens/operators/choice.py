@@ -35,6 +35,23 @@ def pick_by_weight(cands: Column, u: Column) -> Column:
     return F.when(total > 0, F.try_element_at(F.filter(cands, lambda x: x["cum"] > u * total), F.lit(1))["backend"])
 
 
+def pick_by_scan(items: Column, u: Column) -> Column:
+    """Like :func:`pick_by_weight` for arrays of (backend, w) put together per query."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("string").alias("backend"))
+    total = F.aggregate(items, F.lit(0.0), lambda acc, x: acc + x["w"])
+    found = F.aggregate(
+        items,
+        start,
+        lambda acc, x: F.struct(
+            (acc["sum"] + x["w"]).alias("sum"),
+            F.when(acc["backend"].isNull() & (acc["sum"] + x["w"] > u * total), x["backend"])
+            .otherwise(acc["backend"])
+            .alias("backend"),
+        ),
+    )
+    return found["backend"]
+
+
 def weighted_pick(q: DataFrame, weights: DataFrame, seed: int, keys: Sequence[str], weight: str = "weight", draw: int = 1, out: str = "pick") -> DataFrame:
     """Pick a backend per query with probability proportional to weight.
 

@@ -21,6 +21,7 @@ from dnslens.operators.asof import asof_advice, asof_snapshot
 from dnslens.operators.choice import (
     candidate_arrays,
     less_loaded,
+    pick_by_scan,
     pick_by_weight,
     two_choices,
     with_cumulative,
@@ -90,7 +91,10 @@ class RoundRobin(_Base):
     hot_rows: int | None = HOT_ROWS
 
     def assign(self, queries: DataFrame, snapshot: DataFrame) -> DataFrame:
-        q = cursor(in_force(queries, snapshot), self.cell_us, self.hot_rows)
+        # The two scans are independent of each other; stacking them would make each read
+        # the other's input again.
+        turns = cursor(queries.select("query_id", "worker_id", "arrival_us"), self.cell_us, self.hot_rows)
+        q = in_force(queries, snapshot).join(turns.select("query_id", "cursor"), "query_id")
         pool = self.usable(snapshot).groupBy(*KEYS).agg(F.array_sort(F.collect_set("backend")).alias("pool"))
         q = q.join(pool, list(KEYS), "left")
         turn = F.when(F.size("pool") > 0, ((F.col("cursor") - 1) % F.size("pool")).cast("int"))
@@ -187,27 +191,29 @@ class Adaptive(_Base):
         fallback = inverse_latency(F.col("ewma_us"), self.k) * health_factor(
             F.col("health"), self.degraded, self.probe_fraction
         )
-        q = _attach(in_force(queries, snapshot), usable, fallback, "builtin")
-        q = asof_advice(q, self.advice)
-        # Advice covers the usable backends of the snapshot in force only.
-        issued = self.advice.select(
-            F.col("issued_us").alias("advice_issued_us"), "region", "backend", "advice_weight"
+        q = in_force(queries, snapshot)
+        if "advice_issued_us" not in q.columns:
+            q = asof_advice(q, self.advice)
+        q = _attach(q, usable, fallback, "builtin")
+        advised = self.advice.groupBy("region", F.col("issued_us").alias("advice_issued_us")).agg(
+            F.array_sort(F.collect_list(F.struct("backend", F.col("advice_weight").alias("w")))).alias("advised")
+        )
+        # Advice counts only for the backends that are usable now.
+        pool = F.transform("builtin", lambda x: x["backend"])
+        q = q.join(advised, ["region", "advice_issued_us"], "left").withColumn(
+            "advised", F.filter("advised", lambda x: F.array_contains(pool, x["backend"]))
         )
-        pairs = q.filter("advice_issued_us is not null and version is not null").select(
-            "version", "region", "advice_issued_us"
-        ).distinct()
-        advised = pairs.join(usable.select(*KEYS, "backend"), list(KEYS)).join(
-            issued, ["advice_issued_us", "region", "backend"]
+        follow = F.coalesce(F.size("advised") > 0, F.lit(False)) & F.col("advised").isNotNull()
+        a, b = (
+            F.when(follow, pick_by_scan(F.col("advised"), self.u(d))).otherwise(
+                pick_by_weight(F.col("builtin"), self.u(d))
+            )
+            for d in (1, 2)
         )
-        group = ("version", "region", "advice_issued_us")
-        arrays = candidate_arrays(with_cumulative(advised, "advice_weight", group), group)
-        q = q.join(arrays, list(group), "left")
-        cands = F.coalesce("cands", "builtin")
-        a, b = (pick_by_weight(cands, self.u(d)) for d in (1, 2))
         return (
             q.withColumn("pick", less_loaded(a, b, F.col("inflight")))
-            .withColumn("source", F.when(F.col("cands").isNull(), F.lit("builtin")).otherwise(F.lit("advice")))
-            .drop("cands", "builtin")
+            .withColumn("source", F.when(follow, F.lit("advice")).otherwise(F.lit("builtin")))
+            .drop("advised", "builtin")
         )
 
 

@@ -3,32 +3,28 @@
 A running sum or "last known value" over a hot key (few backends, two workers, or no
 key at all) would sort all of its rows in one task. Both are associative, so rows are
 cut into chunks: each chunk is scanned on its own, one total per chunk is carried
-through a small two-level table, and the carry is joined back on the chunk key - the
-rows are shuffled once for the window and the join together.
+through a small table, and the carry is joined back on the chunk key - the rows are
+shuffled once for the window and the join together.
 
-Chunks are time cells. A cell that still holds more than ``hot_rows`` rows is cut
-further by exact time and by ranges of the tie-breaking id, so a burst on one instant
-is spread as well.
+Chunks are time cells. A cell that holds more than ``hot_rows`` rows is cut into finer
+time slices, and a slice that is still too large into exact instants and ranges of the
+tie-breaking id, so that even a burst on one instant is spread.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows a single chunk may hold before it is split further.
 HOT_ROWS = 4_000_000
 
-#: Ids per sub-chunk of a split cell.
+#: Ids per chunk of a split instant.
 TIE_SPAN = 65_536
 
-#: Cells per group of the carry table.
-FAN = 4_096
-
-_NONE = -(2**63)
-
 
 def running(
     df: DataFrame,
@@ -48,19 +44,20 @@ def running(
     ``lasts``  last non-null value up to and including the row;
     ``before`` last non-null value strictly before the row.
 
-    ``t`` is a long, ``cell`` is in its unit. Keys must not be null. ``hot_rows``
-    needs a numeric last ``tie`` column and (keys, t, tie) unique.
+    ``t`` is a long, ``cell`` is in its unit. Keys must not be null. With ``hot_rows``
+    the cell sizes are counted first (one job over key and time only); (keys, t, tie)
+    must then be unique and ``tie`` a single number.
     """
     sums, lasts, before = dict(sums or {}), dict(lasts or {}), dict(before or {})
     keys = list(keys)
     order = [t, *tie]
+    keep = [c for c in df.columns if not c.startswith("__")]
 
-    df = df.withColumn("__cell", F.floor(F.col(t) / F.lit(cell)).cast("long"))
-    if hot_rows is None:
-        df = df.withColumn("__s1", F.lit(_NONE)).withColumn("__s2", F.lit(_NONE))
-    else:
-        df = _split_hot_cells(df, keys, t, tie, hot_rows)
-    chunk = [*keys, "__cell", "__s1", "__s2"]
+    df = df.withColumn("__cell", F.expr(f"floor(`{t}` / {cell})"))
+    extra: list[str] = []
+    if hot_rows is not None:
+        df, extra = _split_hot_cells(df, keys, t, tie, cell, hot_rows)
+    chunk = [*keys, "__cell", *extra]
 
     within = Window.partitionBy(*chunk).orderBy(*order)
     upto = within.rowsBetween(Window.unboundedPreceding, 0)
@@ -72,79 +69,61 @@ def running(
         *[F.last(c, ignorenulls=True).over(earlier).alias(f"__v_{n}") for n, c in before.items()],
     )
 
-    rank = F.struct(*[F.col(c) for c in order])
+    rank = F.struct(*order)
     carried = {**lasts, **before}
     totals = df.groupBy(*chunk).agg(
         *[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()],
         *[F.max_by(c, F.when(c.isNotNull(), rank)).alias(f"__t_{n}") for n, c in carried.items()],
     )
-    carry = _carry(totals, keys, list(sums), list(carried))
-
-    out = local.join(carry, chunk, "left")
-    keep = [c for c in df.columns if not c.startswith("__")]
-    return out.select(
-        *keep,
-        *[(F.coalesce(F.col(f"__v_{n}"), F.lit(0)) + F.coalesce(F.col(f"__c_{n}"), F.lit(0))).alias(n) for n in sums],
-        *[F.coalesce(F.col(f"__v_{n}"), F.col(f"__c_{n}")).alias(n) for n in carried],
+    # One row per chunk: a key has as many as its time span has cells.
+    chain = (
+        Window.partitionBy(*(keys or [F.lit(0)]))
+        .orderBy("__cell", *extra)
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-
-
-def _split_hot_cells(
-    df: DataFrame, keys: list[str], t: str, tie: Sequence[str], hot_rows: int
-) -> DataFrame:
-    # At most (rows / hot_rows) cells qualify: a few megabytes even for 10^12 rows,
-    # so broadcasting them is bounded by construction.
-    hot = (
-        df.groupBy(*keys, "__cell")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .filter(F.col("__n") > hot_rows)
-        .select(*keys, "__cell", F.lit(True).alias("__hot"))
+    carry = totals.select(
+        *chunk,
+        *[F.sum(f"__t_{n}").over(chain).alias(f"__c_{n}") for n in sums],
+        *[F.last(f"__t_{n}", ignorenulls=True).over(chain).alias(f"__c_{n}") for n in carried],
     )
-    df = df.join(F.broadcast(hot), [*keys, "__cell"], "left")
-    span = F.floor(F.col(tie[-1]) / TIE_SPAN).cast("long") if len(tie) == 1 else F.lit(_NONE)
-    return (
-        df.withColumn("__s1", F.when(F.col("__hot"), F.col(t).cast("long")).otherwise(F.lit(_NONE)))
-        .withColumn("__s2", F.when(F.col("__hot"), span).otherwise(F.lit(_NONE)))
-        .drop("__hot")
+    return local.join(carry, chunk, "left").selectExpr(
+        *[f"`{c}`" for c in keep],
+        *[f"coalesce(`__v_{n}`, 0) + coalesce(`__c_{n}`, 0) AS `{n}`" for n in sums],
+        *[f"coalesce(`__v_{n}`, `__c_{n}`) AS `{n}`" for n in carried],
     )
 
 
-def _carry(totals: DataFrame, keys: list[str], sums: list[str], lasts: list[str]) -> DataFrame:
-    """Values accumulated before each chunk, through groups of ``FAN`` cells."""
-    totals = totals.withColumn("__grp", F.floor(F.col("__cell") / FAN).cast("long"))
-    order = ["__cell", "__s1", "__s2"]
-    inside = Window.partitionBy(*keys, "__grp").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    # The top table has one row per (key, FAN cells).
-    across = (
-        Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__grp").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    rank = F.struct(*order)
-    groups = totals.groupBy(*keys, "__grp").agg(
-        *[F.sum(f"__t_{n}").alias(f"__t_{n}") for n in sums],
-        *[F.max_by(f"__t_{n}", F.when(F.col(f"__t_{n}").isNotNull(), rank)).alias(f"__t_{n}") for n in lasts],
-    )
-    groups = groups.select(
-        *keys,
-        "__grp",
-        *[F.sum(f"__t_{n}").over(across).alias(f"__g_{n}") for n in sums],
-        *[F.last(f"__t_{n}", ignorenulls=True).over(across).alias(f"__g_{n}") for n in lasts],
+def _split_hot_cells(
+    df: DataFrame, keys: list[str], t: str, tie: Sequence[str], cell: int, hot_rows: int
+) -> tuple[DataFrame, list[str]]:
+    """Cut cells with more than ``hot_rows`` rows; returns the frame and the new chunk columns."""
+    sizes = df.groupBy(*keys, "__cell").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows)
+    # At most (rows / hot_rows) cells qualify - a few megabytes even for 10^12 rows - so
+    # listing and broadcasting them is bounded by construction.
+    hot = sizes.withColumn("__slices", F.expr(f"4 * ceil(__n / {hot_rows})")).drop("__n").toArrow()
+    if hot.num_rows == 0:
+        return df, []
+    spark = df.sparkSession
+    df = df.join(F.broadcast(spark.createDataFrame(hot)), [*keys, "__cell"], "left").withColumn(
+        "__slice",
+        F.expr(f"coalesce(floor((`{t}` - __cell * {cell}) * __slices / {cell}), 0)"),
     )
-    within = totals.select(
-        *keys,
-        *order,
-        "__grp",
-        *[F.sum(f"__t_{n}").over(inside).alias(f"__i_{n}") for n in sums],
-        *[F.last(f"__t_{n}", ignorenulls=True).over(inside).alias(f"__i_{n}") for n in lasts],
+    bursts = (
+        df.filter("__slices IS NOT NULL")
+        .groupBy(*keys, "__cell", "__slice")
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .filter(F.col("__n") > hot_rows)
+        .drop("__n")
+        .toArrow()
     )
-    return within.join(groups, [*keys, "__grp"], "left").select(
-        *keys,
-        *order,
-        *[
-            (F.coalesce(F.col(f"__i_{n}"), F.lit(0)) + F.coalesce(F.col(f"__g_{n}"), F.lit(0))).alias(f"__c_{n}")
-            for n in sums
-        ],
-        *[F.coalesce(F.col(f"__i_{n}"), F.col(f"__g_{n}")).alias(f"__c_{n}") for n in lasts],
+    if bursts.num_rows == 0 or len(tie) != 1:
+        return df.drop("__slices"), ["__slice"]
+    burst = spark.createDataFrame(bursts.append_column("__burst", pa.array([True] * bursts.num_rows)))
+    df = df.join(F.broadcast(burst), [*keys, "__cell", "__slice"], "left")
+    df = df.withColumn("__at", F.expr(f"CASE WHEN __burst THEN `{t}` ELSE 0L END")).withColumn(
+        "__ids", F.expr(f"CASE WHEN __burst THEN floor(`{tie[0]}` / {TIE_SPAN}) ELSE 0L END")
     )
+    return df.drop("__slices", "__burst"), ["__slice", "__at", "__ids"]
 
 
 def run_lengths(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dnslens.plans import q_core, q_inventory  # noqa: F401
+from dnslens.plans import q_core, q_inventory, q_policies  # noqa: F401
 from dnslens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

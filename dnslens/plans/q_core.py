@@ -321,7 +321,7 @@ def j5(spark, sf):
     sql("qv", "SELECT query_id, version, arrival_us - published_us AS snapshot_age_us FROM qv"),
 )
 def j6(spark, sf):
-    return asof.asof_snapshot(v.query_log(spark, sf), v.snapshots(spark, sf)).select(
+    return asof.asof_snapshot(v.query_log(spark, sf), v.stored(v.snapshots(spark, sf))).select(
         "query_id", "version", "snapshot_age_us"
     )
 
@@ -335,7 +335,7 @@ _ADVISED = (
 
 @query("j7_asof_advice", sql("qr advice", _ADVISED))
 def j7(spark, sf):
-    return asof.asof_advice(v.queries_with_region(spark, sf), v.advice(spark, sf)).select(
+    return asof.asof_advice(v.queries_with_region(spark, sf), v.stored(v.advice(spark, sf))).select(
         "query_id", "region", "advice_issued_us"
     )
 
@@ -376,7 +376,7 @@ def j8(spark, sf):
     ),
 )
 def j9(spark, sf):
-    snap = v.snapshots(spark, sf)
+    snap = v.stored(v.snapshots(spark, sf))
     q = asof.asof_snapshot(v.queries_with_region(spark, sf), snap)
     return choice.weighted_pick(q, prepare.eligible(snap), 7, ["version", "region"]).select("query_id", "pick")
 
@@ -392,7 +392,7 @@ def j9(spark, sf):
     ),
 )
 def j10(spark, sf):
-    snap = v.snapshots(spark, sf)
+    snap = v.stored(v.snapshots(spark, sf))
     q = asof.asof_snapshot(v.queries_with_region(spark, sf), snap).select("query_id", "version", "region")
     lost = correlate.timeouts(v.attempts(spark, sf), v.responses(spark, sf)).join(q, "query_id")
     return correlate.retry_plan(lost, prepare.eligible(snap)).select("query_id", "retry_backend", "final")

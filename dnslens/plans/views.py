@@ -16,6 +16,7 @@ from dnslens.functions.netaddr import v4_text_sql
 from dnslens.operators.correlate import outcomes as correlate_outcomes
 from dnslens.operators.geo import region_lpm
 from dnslens.operators.prepare import classify_outcome
+from dnslens.session import shared_dir
 
 HOUR = 3_600_000_000
 BIN = 6 * HOUR
@@ -225,10 +226,20 @@ def snapshots(spark: SparkSession, sf_dir: str, bin_us: int = BIN) -> DataFrame:
     )
 
 
-def advice(spark: SparkSession, sf_dir: str, bin_us: int = BIN) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
+    """The frame written out once below the shared folder.
+
+    Snapshots and advice are small published tables (bins x regions x backends) that a
+    query reads several times; deriving them from the log each time would repeat its joins.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def advice(spark: SparkSession, sf_dir: str, bin_us: int = BIN, snap: DataFrame | None = None) -> DataFrame:
     """Advice issued for every other bin, so that some of it has expired when used."""
     return (
-        snapshots(spark, sf_dir, bin_us)
+        (snap if snap is not None else snapshots(spark, sf_dir, bin_us))
         .filter(F.col("version") % 2 == 0)
         .select(
             F.col("published_us").alias("issued_us"),
