@@ -29,3 +29,126 @@ def features(
         return out
 
     return bounded_windows(t, keys, t_us, max([*lags, *spans]), exprs, cell=cell_us)
+
+
+def build_dataset(
+    rates: DataFrame,
+    keys: Sequence[str],
+    col: str,
+    lags: Sequence[int] = (1, 2, 3),
+    spans: Sequence[int] = (6,),
+    t_us: str = "t_us",
+    cell_us: int = 3_600_000_000,
+) -> DataFrame:
+    """Features per row and ``label``: the value of the next window of the same key.
+
+    ``keys`` contains ``episode_id``, so neither features nor labels cross episodes. Rows
+    without a full history or without a next window are left out.
+    """
+    # The label is a look ahead by one row; shifting by one turns it into a look back.
+    def exprs(w):
+        out = {f"f_lag_{n}": F.lag(col, n + 1).over(w) for n in lags}
+        out["f_now"] = F.lag(col, 1).over(w)
+        out["at_us"] = F.lag(t_us, 1).over(w)
+        for n in spans:
+            past = w.rowsBetween(-(n + 1), -2)
+            out[f"f_avg_{n}"] = F.avg(col).over(past)
+            out[f"f_max_{n}"] = F.max(col).over(past)
+        return out
+
+    names = [f"f_lag_{n}" for n in lags] + ["f_now"] + [f"f_{k}_{n}" for n in spans for k in ("avg", "max")]
+    wide = bounded_windows(rates, keys, t_us, max([*lags, *spans]) + 1, exprs, cell=cell_us)
+    passed = [c for c in rates.columns if c not in (col, t_us, *keys)]
+    return wide.select(*keys, *passed, F.col("at_us").alias(t_us), *names, F.col(col).alias("label")).dropna(
+        subset=[*names, "label"]
+    )
+
+
+def feature_names(t: DataFrame) -> list[str]:
+    return sorted(c for c in t.columns if c.startswith("f_"))
+
+
+def write_dataset(t: DataFrame, path: str) -> None:
+    """Store a dataset partitioned by episode."""
+    t.repartition("episode_id").write.mode("overwrite").partitionBy("episode_id").parquet(path)
+
+
+def split_episodes(
+    t: DataFrame, seed: int, shares: tuple[float, float] = (0.7, 0.15), held_out: Sequence[str] = ()
+) -> DataFrame:
+    """Add ``split`` by episode: train, val or test; held-out fault types are always test.
+
+    The choice depends on (seed, episode) only, so an episode never falls in two splits.
+    """
+    from dnslens.functions.hashing import uniform
+
+    u = uniform(seed, F.col("episode_id"), 0)
+    split = (
+        F.when(u < shares[0], F.lit("train")).when(u < shares[0] + shares[1], F.lit("val")).otherwise(F.lit("test"))
+    )
+    if held_out:
+        split = F.when(F.col("fault_type").isin(*held_out), F.lit("test")).otherwise(split)
+    return t.withColumn("split", split)
+
+
+def train(t: DataFrame, algo: str = "linear", seed: int = 7):
+    """Fit a regressor on the training split; returns a pipeline model."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor, LinearRegression
+
+    assembler = VectorAssembler(inputCols=feature_names(t), outputCol="features")
+    if algo == "linear":
+        model = LinearRegression(featuresCol="features", labelCol="label", predictionCol="predicted_us", regParam=0.1)
+    elif algo == "gbt":
+        model = GBTRegressor(
+            featuresCol="features", labelCol="label", predictionCol="predicted_us", seed=seed, maxIter=20, maxDepth=4
+        )
+    else:
+        raise ValueError(f"unknown algorithm {algo!r}")
+    return Pipeline(stages=[assembler, model]).fit(t.filter("split = 'train'"))
+
+
+def predict(model, t: DataFrame) -> DataFrame:
+    """Batch inference: adds ``predicted_us``; also usable per micro-batch."""
+    return model.transform(t).drop("features")
+
+
+def evaluate(pred: DataFrame, ewma_col: str | None = None) -> DataFrame:
+    """Mean absolute error by split of the model and its baselines.
+
+    Persistence predicts the current value; with ``ewma_col`` the decayed average is
+    listed too. The test split is reported, never tuned on.
+    """
+    from dnslens.operators.experiments import mae_report
+
+    t = pred.withColumnsRenamed({"predicted_us": "model", "f_now": "persistence"})
+    names = ["model", "persistence"]
+    if ewma_col:
+        t, names = t.withColumnRenamed(ewma_col, "ewma"), [*names, "ewma"]
+    return mae_report(t, "label", names, ["split"])
+
+
+def dataset_hash(t: DataFrame) -> DataFrame:
+    """One row: an order-free hash of all rows and their number."""
+    cols = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in sorted(t.columns)]
+    part = F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 12), 16, 10).cast("decimal(20,0)")
+    total = F.sum(part)
+    return t.agg(F.lower(F.hex(F.pmod(total, F.lit(2**48)).cast("long"))).alias("dataset_hash"), F.count("*").alias("rows"))
+
+
+def model_card(t: DataFrame, pred: DataFrame, seed: int, algo: str) -> DataFrame:
+    """The model card as one JSON document in a one-row frame."""
+    metrics = evaluate(pred).agg(F.collect_list(F.struct("split", "predictor", "mae")).alias("metrics"))
+    head = dataset_hash(t).withColumns(
+        {
+            "seed": F.lit(seed),
+            "algorithm": F.lit(algo),
+            "feature_schema": F.array(*[F.lit(f) for f in feature_names(t)]),
+        }
+    )
+    # Both sides are single rows; the constant key only lines them up.
+    both = head.withColumn("one", F.lit(1)).join(metrics.withColumn("one", F.lit(1)), "one")
+    return both.select(
+        F.to_json(F.struct("seed", "algorithm", "dataset_hash", "rows", "feature_schema", "metrics")).alias("card")
+    )
