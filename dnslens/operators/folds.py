@@ -39,6 +39,11 @@ def _same(a: object, b: object, tol: float) -> bool:
     return a == b
 
 
+def _text(state: object) -> str:
+    """State as JSON; numbers of the array library become plain ones."""
+    return json.dumps(state, default=lambda x: x.item())
+
+
 def chunked_fold(
     df: DataFrame,
     keys: Sequence[str],
@@ -75,7 +80,7 @@ def chunked_fold(
     def state_row(part: pd.DataFrame, entry: object, leave: object) -> dict:
         first = part.iloc[0]
         row = {k: first[k] for k in keys}
-        row.update(__chunk=first["__chunk"], __no=first["__no"], __entry=json.dumps(entry), __exit=json.dumps(leave))
+        row.update(__chunk=first["__chunk"], __no=first["__no"], __entry=_text(entry), __exit=_text(leave))
         return row
 
     def guess(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -116,7 +116,7 @@ def stateful_fold(t: DataFrame, keys: list[str], ts: str, order: str, fold: Fold
         if ready:
             out, folded = fold(pd.DataFrame(ready, columns=names), folded)
             yield out[columns]
-        state.update((json.dumps([waiting, folded]),))
+        state.update((json.dumps([waiting, folded], default=lambda x: x.item()),))
         if waiting:
             first = min(r[at] for r in waiting)
             state.setTimeoutTimestamp(max(first // 1000 + 1, state.getCurrentWatermarkMs() + 1))
