@@ -12,22 +12,26 @@ MATCH = ["worker_id", "backend", "upstream_txid", "generation", "question_hash"]
 def outcomes(att: DataFrame, resp: DataFrame) -> DataFrame:
     """Every attempt with the first response inside its deadline, or nulls.
 
-    The responses' exact repeats are collapsed before the shuffle. The aggregation groups
-    by a superset of the join keys, so it reuses the join's partitioning.
+    The join key is one 64-bit hash of the five columns (checked in full as well), so rows
+    are shuffled and sorted by a number instead of several strings. Exact repeats of a
+    response are collapsed before the shuffle. The aggregation groups by a superset of the
+    join key and reuses its partitioning.
     """
-    first = resp.groupBy(*MATCH, "recv_us").agg(F.expr("min(struct(rcode, tc)) AS answer"))
-    cond = " AND ".join(f"a.{c} = r.{c}" for c in MATCH) + " AND r.recv_us BETWEEN a.send_us AND a.deadline_us"
-    hits = att.alias("a").join(first.alias("r"), F.expr(cond), "left").selectExpr(
-        "a.*", "CASE WHEN r.recv_us IS NOT NULL THEN struct(r.recv_us, r.answer) END AS hit"
+    match = f"xxhash64({', '.join(MATCH)}) AS match_key"
+    first = resp.selectExpr(match, *MATCH, "recv_us", "rcode").distinct()
+    same = " AND ".join(f"a.{c} = r.{c}" for c in MATCH)
+    on = f"a.match_key = r.match_key AND {same} AND r.recv_us BETWEEN a.send_us AND a.deadline_us"
+    hits = att.selectExpr("*", match).alias("a").join(first.alias("r"), F.expr(on), "left").selectExpr(
+        "a.*", "CASE WHEN r.recv_us IS NOT NULL THEN struct(r.recv_us, r.rcode) END AS hit"
     )
-    rest = [c for c in att.columns if c not in (*MATCH, "query_id", "attempt_no")]
+    rest = [c for c in att.columns if c not in ("query_id", "attempt_no")]
     return (
-        hits.groupBy(*MATCH, "query_id", "attempt_no")
+        hits.groupBy("match_key", "query_id", "attempt_no")
         .agg(*[F.expr(f"first(`{c}`) AS `{c}`") for c in rest], F.expr("min(hit) AS hit"))
         .selectExpr(
             *[f"`{c}`" for c in att.columns],
             "hit.recv_us AS recv_us",
-            "hit.answer.rcode AS rcode",
+            "hit.rcode AS rcode",
             "hit.recv_us - send_us AS latency_us",
         )
     )

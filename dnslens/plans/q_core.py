@@ -580,3 +580,37 @@ def a8(spark, sf):
 )
 def w2(spark, sf):
     return telemetry.inflight(v.outcomes(spark, sf), ["backend"]).select("backend", "t_us", "inflight")
+
+
+_CATALOGUE = (
+    "SELECT 'dns_backend_requests_total' AS name, backend AS label, NULL AS kind, count(*)::DOUBLE AS value FROM outc GROUP BY ALL "
+    "UNION ALL SELECT 'dns_responses_total', backend, rcode_class, count(*)::DOUBLE FROM outc WHERE rcode_class IS NOT NULL GROUP BY ALL "
+    "UNION ALL SELECT 'dns_backend_failures_total', backend, outcome, count(*)::DOUBLE FROM outc WHERE outcome <> 'ok' GROUP BY ALL "
+    "UNION ALL SELECT 'dns_queries_total', NULL, NULL, count(*)::DOUBLE FROM outc"
+)
+
+
+@query("s6_metric_samples", sql("outc", _CATALOGUE))
+def s6(spark, sf):
+    """Counters of the metric catalogue as (name, labels, value) rows."""
+    done = v.outcomes(spark, sf)
+    cube = done.groupBy("backend", "rcode_class", "outcome").agg(F.count("*").alias("n"))
+    ts = F.lit(None).cast("timestamp")
+
+    def total(t, *labels):
+        return t.groupBy(*labels).agg(F.sum("n").alias("n"))
+
+    failed = total(cube.filter("outcome <> 'ok'"), "backend", "outcome").withColumnRenamed("outcome", "kind")
+    parts = [
+        telemetry.metric_samples(total(cube, "backend"), "dns_backend_requests_total", ["backend"], F.col("n"), ts),
+        telemetry.metric_samples(
+            total(cube.filter("rcode_class IS NOT NULL"), "backend", "rcode_class"),
+            "dns_responses_total", ["backend", "rcode_class"], F.col("n"), ts,
+        ),
+        telemetry.metric_samples(failed, "dns_backend_failures_total", ["backend", "kind"], F.col("n"), ts),
+        telemetry.metric_samples(total(cube), "dns_queries_total", [], F.col("n"), ts),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.selectExpr("name", "labels['backend'] AS label", "coalesce(labels['rcode_class'], labels['kind']) AS kind", "value")

@@ -85,3 +85,39 @@ def st3(spark, sf):
 def st8(spark, sf):
     out = _finish(jobs.drop_stale(v.shape_responses(_stream(spark, sf)).drop("recv_us")))
     return out.select("worker_id", "backend", "upstream_txid", "generation", "question_hash", F.unix_micros("recv_ts").alias("recv_us"))
+
+
+@query(
+    "s1_s2_event_log",
+    sql(
+        "ev",
+        "SELECT t_us, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS level, event_type AS event, concat('q\"', k) AS name, event_id::VARCHAR AS hidden FROM ev",
+    ),
+)
+def s1_s2(spark, sf):
+    """Events written as JSON lines and read back; a field named ``event`` is renamed."""
+    from dnslens.sources.event_log import read_event_log, write_event_log
+
+    t = v.events(spark, sf).selectExpr(
+        "ts", "CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS level", "event_type AS event",
+        "map('name', concat('q\"', k), 'event', cast(event_id AS STRING)) AS fields",
+    )
+    path = scratch_path(spark, "event-log")
+    write_event_log(t, path)
+    return read_event_log(spark, path).filter("_corrupt IS NULL").selectExpr(
+        "unix_micros(ts) AS t_us", "level", "event", "fields['name'] AS name", "fields['field.event'] AS hidden"
+    )
+
+
+@query(
+    "st6_stream_ewma",
+)
+def st6(spark, sf):
+    """Decayed hourly mean latency per backend over the stream's closed windows."""
+    t = _stream(spark, sf).selectExpr("ts", f"{v.BACKEND} AS backend", "lat_us")
+    hourly = (
+        jobs.with_event_time(t).groupBy(F.window("ts", "1 hour"), "backend")
+        .agg(F.expr("sum(lat_us) div count(*)").cast("double").alias("x"))
+        .select("backend", F.unix_micros("window.start").alias("t_us"), "x", F.col("window.start").alias("ts"))
+    )
+    return _finish(jobs.stream_ewma(hourly, ["backend"], "x", 2 * HOUR))

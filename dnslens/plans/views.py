@@ -66,7 +66,7 @@ def shape_events(df: DataFrame) -> DataFrame:
         "user_id",
         "event_type",
         "cast(floor(value * 1000 + 0.5) AS BIGINT) AS lat_us",
-        "cast(get_json_object(props, '$.k') AS INT) AS k",
+        "from_json(props, 'k INT').k AS k",
     )
 
 
