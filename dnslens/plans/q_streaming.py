@@ -109,15 +109,61 @@ def s1_s2(spark, sf):
     )
 
 
-@query(
-    "st6_stream_ewma",
-)
+def _windows(spark, sf, shape):
+    """The closed hourly windows of one stream, as the source of the next one."""
+    t = shape(jobs.with_event_time(_stream(spark, sf).withColumn("backend", F.expr(v.BACKEND))))
+    base = scratch_path(spark, "windows")
+    jobs.run_to_end(t, f"{base}/out", f"{base}/state")
+    return jobs.with_event_time(spark.readStream.schema(t.schema).parquet(f"{base}/out"))
+
+
+@query("st6_stream_ewma")
 def st6(spark, sf):
-    """Decayed hourly mean latency per backend over the stream's closed windows."""
-    t = _stream(spark, sf).selectExpr("ts", f"{v.BACKEND} AS backend", "lat_us")
-    hourly = (
-        jobs.with_event_time(t).groupBy(F.window("ts", "1 hour"), "backend")
-        .agg(F.expr("sum(lat_us) div count(*)").cast("double").alias("x"))
-        .select("backend", F.unix_micros("window.start").alias("t_us"), "x", F.col("window.start").alias("ts"))
-    )
-    return _finish(jobs.stream_ewma(hourly, ["backend"], "x", 2 * HOUR))
+    """Decayed hourly mean latency per backend over the closed windows."""
+    def hourly(t):
+        return (
+            t.groupBy(F.window("ts", "1 hour"), "backend")
+            .agg(F.expr("cast(sum(lat_us) div count(*) AS DOUBLE) AS x"))
+            .select("backend", F.unix_micros("window.start").alias("t_us"), "x", F.col("window.start").alias("ts"))
+        )
+
+    return _finish(jobs.stream_ewma(_windows(spark, sf, hourly), ["backend"], "x", 2 * HOUR))
+
+
+@query("st5_stream_rate_limit")
+def st5(spark, sf):
+    """Hourly allowance of every client network on every worker."""
+    def hourly(t):
+        return (
+            t.withColumns({"worker_id": F.expr("cast(event_id % 2 AS INT)"), "prefix": F.expr("concat('net-', user_id % 4)")})
+            .groupBy(F.window("ts", "1 hour"), "worker_id", "prefix")
+            .agg(F.count("*").alias("n"))
+            .selectExpr("worker_id", "prefix", f"unix_micros(window.start) div {HOUR} AS bin", "n", "window.start AS ts")
+        )
+
+    return _finish(jobs.stream_rate_limit(_windows(spark, sf, hourly), 1 / 3600, 3.0, HOUR))
+
+
+@query("st4_stream_health")
+def st4(spark, sf):
+    """Health of every backend over the closed windows."""
+    from dnslens.operators.health import HealthConfig
+
+    def hourly(t):
+        return (
+            t.groupBy(F.window("ts", "1 hour"), "backend")
+            .agg(
+                F.count("*").alias("requests"),
+                F.count_if(F.col("event_type") == "error").alias("errors"),
+                F.count_if(F.col("lat_us") > v.TIMEOUT_US).alias("timeouts"),
+                F.count_if(F.col("event_id") % 10 == 0).alias("probes"),
+                F.count_if((F.col("event_id") % 10 == 0) & (F.col("event_type") == "error")).alias("probe_failures"),
+            )
+            .selectExpr(
+                "backend", "unix_micros(window.start) AS window_us", "requests", "errors", "timeouts",
+                "cast(null AS DOUBLE) AS p95", "probes", "probe_failures", "true AS may_eject", "window.start AS ts",
+            )
+        )
+
+    cfg = HealthConfig(degrade_threshold=0.2, eject_threshold=0.3, fail_threshold=2, cooldown_us=5 * HOUR, cooldown_cap_us=60 * HOUR)
+    return _finish(jobs.stream_health(_windows(spark, sf, hourly), cfg))

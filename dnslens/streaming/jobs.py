@@ -99,7 +99,8 @@ def stateful_fold(t: DataFrame, keys: list[str], ts: str, order: str, fold: Fold
     """Fold every key's rows in ``order``, each as soon as the watermark has passed it.
 
     Until then rows wait in the key's state, so late and shuffled input gives the rows of
-    the batch form. ``t`` carries a watermark on ``ts``; ``order`` is a long in microseconds
+    the batch form. Windowed series come from the table another stream writes: Spark does not
+    place this operator after an aggregation of the same query. ``t`` carries a watermark on ``ts``; ``order`` is a long in microseconds
     of the same time. The waiting rows span the watermark delay only.
     """
     names = [f.name for f in t.schema.fields if f.name != ts]
