@@ -264,10 +264,16 @@ def tag_traffic(t: DataFrame, bin_us: int, history: int = 24) -> DataFrame:
     no ratio flag.
     """
     t = t.withColumn("bin_us", F.expr(f"send_us div {bin_us} * {bin_us}"))
-    total = t.groupBy("bin_us").agg(
-        F.count("*").alias("total"),
-        F.avg((F.col("outcome") == "ok").cast("double")).alias("success"),
-        F.avg(F.coalesce(F.col("rcode_class") == "nxdomain", F.lit(False)).cast("double")).alias("nxdomain"),
+    # One pass over the log serves the totals, the regions and the backends.
+    cells = t.groupBy("bin_us", "region", "backend").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("outcome") == "ok").alias("ok"),
+        F.count_if(F.col("rcode_class") == "nxdomain").alias("nx"),
+    )
+    total = cells.groupBy("bin_us").agg(
+        F.sum("n").alias("total"),
+        (F.sum("ok") / F.sum("n")).alias("success"),
+        (F.sum("nx") / F.sum("n")).alias("nxdomain"),
     )
 
     def top(col: str, name: str) -> DataFrame:
@@ -275,11 +281,11 @@ def tag_traffic(t: DataFrame, bin_us: int, history: int = 24) -> DataFrame:
         return counts.groupBy("bin_us").agg((F.max("n") / F.sum("n")).alias(name))
 
     worst = (
-        t.groupBy("bin_us", "backend").agg(F.avg((F.col("outcome") == "ok").cast("double")).alias("s"))
+        cells.groupBy("bin_us", "backend").agg((F.sum("ok") / F.sum("n")).alias("s"))
         .groupBy("bin_us").agg(F.min("s").alias("worst_backend"))
     )
     p95 = latency_summary(t, ["bin_us"], ps=(0.95,)).select("bin_us", "p95")
-    regions = t.groupBy("region", "bin_us").agg(F.count("*").alias("n"))
+    regions = cells.groupBy("region", "bin_us").agg(F.sum("n").alias("n"))
     cell = 1_000 * bin_us
 
     def mean_before(col: str):

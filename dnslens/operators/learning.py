@@ -39,17 +39,20 @@ def build_dataset(
     spans: Sequence[int] = (6,),
     t_us: str = "t_us",
     cell_us: int = 3_600_000_000,
+    baselines: Sequence[str] = (),
 ) -> DataFrame:
     """Features per row and ``label``: the value of the next window of the same key.
 
     ``keys`` contains ``episode_id``, so neither features nor labels cross episodes. Rows
-    without a full history or without a next window are left out.
+    without a full history or without a next window are left out. ``baselines`` are columns
+    kept as they were at the row (``b_<name>``), to be compared with but not learned from.
     """
     # The label is a look ahead by one row; shifting by one turns it into a look back.
     def exprs(w):
         out = {f"f_lag_{n}": F.lag(col, n + 1).over(w) for n in lags}
         out["f_now"] = F.lag(col, 1).over(w)
         out["at_us"] = F.lag(t_us, 1).over(w)
+        out.update({f"b_{c}": F.lag(c, 1).over(w) for c in baselines})
         for n in spans:
             past = w.rowsBetween(-(n + 1), -2)
             out[f"f_avg_{n}"] = F.avg(col).over(past)
@@ -58,7 +61,7 @@ def build_dataset(
 
     names = [f"f_lag_{n}" for n in lags] + ["f_now"] + [f"f_{k}_{n}" for n in spans for k in ("avg", "max")]
     wide = bounded_windows(rates, keys, t_us, max([*lags, *spans]) + 1, exprs, cell=cell_us)
-    passed = [c for c in rates.columns if c not in (col, t_us, *keys)]
+    passed = [c for c in rates.columns if c not in (col, t_us, *keys, *baselines)] + [f"b_{c}" for c in baselines]
     return wide.select(*keys, *passed, F.col("at_us").alias(t_us), *names, F.col(col).alias("label")).dropna(
         subset=[*names, "label"]
     )
@@ -114,18 +117,16 @@ def predict(model, t: DataFrame) -> DataFrame:
     return model.transform(t).drop("features")
 
 
-def evaluate(pred: DataFrame, ewma_col: str | None = None) -> DataFrame:
+def evaluate(pred: DataFrame) -> DataFrame:
     """Mean absolute error by split of the model and its baselines.
 
-    Persistence predicts the current value; with ``ewma_col`` the decayed average is
-    listed too. The test split is reported, never tuned on.
+    Persistence predicts the current value; the decayed average takes part where the
+    dataset carries it (``b_ewma``). The test split is reported, never tuned on.
     """
     from dnslens.operators.experiments import mae_report
 
-    t = pred.withColumnsRenamed({"predicted_us": "model", "f_now": "persistence"})
-    names = ["model", "persistence"]
-    if ewma_col:
-        t, names = t.withColumnRenamed(ewma_col, "ewma"), [*names, "ewma"]
+    t = pred.withColumnsRenamed({"predicted_us": "model", "f_now": "persistence", "b_ewma": "ewma"})
+    names = [c for c in ("model", "persistence", "ewma") if c in t.columns]
     return mae_report(t, "label", names, ["split"])
 
 

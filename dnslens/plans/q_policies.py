@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dnslens.operators import asof, choice, health, policies, prepare, ratelimit, scoring, telemetry
+from dnslens.operators import asof, choice, correlate, health, policies, prepare, ratelimit, scoring, telemetry
 from dnslens.plans import views as v
 from dnslens.plans.fragments import sql, uniform_sql
 from dnslens.plans.registry import query
@@ -24,7 +24,11 @@ def _queries(spark, sf, snap, adv=None):
     if adv is not None:
         thin = v.queries_with_region(spark, sf).select("query_id", "arrival_us", "region")
         q = q.join(asof.asof_advice(thin, adv).select("query_id", "advice_issued_us"), "query_id")
-    load = telemetry.inflight_at_send(v.outcomes(spark, sf), NAMES).select("query_id", "inflight")
+    # The narrow outcome table is read three times below; matching it again each time would
+    # repeat the largest join.
+    done = correlate.outcomes(v.attempts(spark, sf), v.responses(spark, sf))
+    done = v.stored(done.select("query_id", "worker_id", "backend", "send_us", "recv_us", "deadline_us"))
+    load = telemetry.inflight_at_send(done, NAMES).select("query_id", "inflight")
     return q.join(load, "query_id")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dnslens.operators import learning
+from dnslens.operators import learning, telemetry
 from dnslens.plans import reports
 from dnslens.plans import views as v
 from dnslens.plans.fragments import sql
@@ -31,7 +31,8 @@ def _traces(spark, sf):
 
 def _dataset(spark, sf):
     keys = ["episode_id", "fault_type", "backend"]
-    return learning.build_dataset(_traces(spark, sf), keys, "x", (1, 2), (3,), cell_us=24 * HOUR)
+    traces = telemetry.ewma(_traces(spark, sf), keys, "x", 2 * HOUR)
+    return learning.build_dataset(traces, keys, "x", (1, 2), (3,), cell_us=24 * HOUR, baselines=("ewma",))
 
 
 _TRACES = (

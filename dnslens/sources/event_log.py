@@ -39,9 +39,10 @@ def event_line(ts: Column, level: Column, event: Column, fields: Column) -> Colu
     safe = F.transform_keys(
         fields, lambda k, _: F.when(k.isin(*RESERVED), F.concat(F.lit("field."), k)).otherwise(k)
     )
+    utc = F.to_utc_timestamp(ts, F.current_timezone())
     head = F.to_json(
         F.struct(
-            F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"), level.alias("level"), event.alias("event")
+            F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"), level.alias("level"), event.alias("event")
         )
     )
     tail = F.to_json(safe)
@@ -57,5 +58,5 @@ def event_lines(t: DataFrame) -> DataFrame:
 
 
 def write_event_log(t: DataFrame, path: str, mode: str = "append") -> None:
-    """Write events as JSON lines (times are taken as UTC)."""
+    """Write events as JSON lines, times in UTC."""
     event_lines(t).write.mode(mode).text(path)
