@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dnslens.llm.common import slices, stored
@@ -25,6 +25,8 @@ from dnslens.llm.components import components
 from dnslens.llm.passages import BANDS, paragraphs, shingle_set
 
 SIMILARITY = 0.8
+#: Repeated paragraphs count in runs of at least so many words; a shorter repeated line or phrase is left alone.
+MIN_RUN = 12
 #: Rows up to which a set of numbers is broadcast; beyond it it is shuffled.
 BROADCAST_KEYS = 1_000_000
 #: Contents in one band from which they are first dealt by the shingles that two similar ones must share.
@@ -162,7 +164,11 @@ def classes(docs: DataFrame) -> DataFrame:
     placed, _ = stored(placed, "placed")
     order = F.struct("doc_id", "no", "text_key")
     heads = placed.groupBy("class").agg(F.count("*").alias("n"), F.min(order).alias("head")).filter("n > 1")
-    return placed.join(heads, "class").select(
+    shared = placed.join(heads, "class")
+    run = F.col("no") - F.dense_rank().over(Window.partitionBy("doc_id", "text_key").orderBy("no"))
+    words = F.sum("n_words").over(Window.partitionBy("doc_id", "text_key", "run"))
+    shared = shared.withColumn("run", run).withColumn("words", words).filter(F.col("words") >= MIN_RUN)
+    return shared.select(
         "doc_id", "text_key", "no", "start", "end", "n_words",
         F.col("head.doc_id").alias("class_doc_id"), F.col("head.no").alias("class_no"),
         (~order.eqNullSafe(F.col("head"))).alias("removed"),
