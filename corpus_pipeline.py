@@ -15,8 +15,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; lang becomes what the text says. Null or letterless texts go."""
-    found = kernel_langid.identify(docs, kernel_langid.fit(docs)).filter("lang_pred <> 'und'")
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    found = kernel_langid.identify(docs, kernel_langid.fit(docs), names=("__lang", "__score")).filter("__lang <> 'und'")
+    return found.withColumn("lang", F.col("__lang")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +37,9 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no span with the benchmark."""
     verdict = winnow.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    hit, _ = stored(verdict.filter("n_hit > 0").select(F.col("doc_id").alias("hit")).distinct(), "contaminated")
+    hit, _ = stored(verdict.filter("n_hit > 0").select(F.col("doc_id").alias("__hit")).distinct(), "contaminated")
     few = hit.limit(winnow.BROADCAST_IDS + 1).count() <= winnow.BROADCAST_IDS
-    return docs.join(F.broadcast(hit) if few else hit, F.col("doc_id").eqNullSafe(F.col("hit")), "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(hit) if few else hit, F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

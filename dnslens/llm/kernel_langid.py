@@ -152,8 +152,8 @@ def fit(docs: DataFrame, rows_per_label: int = FIT_ROWS) -> Model | None:
     return train([bytes(r.text) for r in sample], [r.lang for r in sample])
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The columns of ``docs`` and lang_pred, lang_score for every whole text.
+def identify(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """The columns of ``docs`` and, as ``names``, the predicted language and its score for every whole text.
 
     ``und`` with score 0 stands for texts that are null or without a letter, and for all if there is no model.
     """
@@ -172,10 +172,10 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 best = values.argmax(axis=1)
                 for (i, _), b, v in zip(part, best, values, strict=True):
                     labels[i], scores[i] = found.labels[b], min(1.0, max(0.0, (1 + v[b]) / 2))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels), pa.array(scores)], [*fields, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels), pa.array(scores)], [*fields, *names])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{ddl}, lang_pred string, lang_score double")
+    return docs.mapInArrow(run, f"{ddl}, {names[0]} string, {names[1]} double")
 
 
 def report(docs: DataFrame) -> DataFrame:
