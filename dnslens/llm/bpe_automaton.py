@@ -29,8 +29,9 @@ from dnslens.llm.common import slices, texts_of
 from dnslens.llm.word_units import splitter, tokenizer_text, units
 
 _END = 0x400  # added to the last symbol of a word
-MAX_ARCS = 1_000_000
-MAX_WORDS = 400_000
+#: Entries of the transition table and of each word cache of a worker; the caches are emptied behind every task.
+MAX_ARCS = 400_000
+MAX_WORDS = 150_000
 
 
 class MergeAutomaton:
@@ -182,6 +183,11 @@ class Codec:
         known, unit = self._units.get, self._unit
         return b"".join([known(u) or unit(u) for u in units(text) if u])
 
+    def forget(self) -> None:
+        """Give the memory of looked-up words back; workers outlive their tasks."""
+        self._units.clear()
+        self._words.clear()
+
     def decode(self, ids: bytes) -> bytes:
         """The labels of the arcs passed, joined by blanks, as the tokenizer file without a decoder has it."""
         return b" ".join(map(self._labels.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -208,6 +214,7 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "do
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             flat = pa.array(np.concatenate([np.empty(0, "<i4"), *ids]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, flat)], ["doc_id", "ids"])
+        tool.forget()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {schema}, ids array<int>")
@@ -246,6 +253,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
                 decoded.append(digest(tool.decode(ids)).hexdigest())
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(coded), pa.array(decoded)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        tool.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

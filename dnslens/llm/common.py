@@ -36,11 +36,13 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that no slice of several rows holds much more than ``max_bytes`` of text."""
     for batch in batches:
         if not batch.num_rows:
             continue
+        # What the batch before took is free by now; workers outlive their tasks, so the allocator shall not keep it.
+        pa.default_memory_pool().release_unused()
         per_row = max(1, batch.column(batch.schema.get_field_index(text)).nbytes // batch.num_rows)
         step = max(1, max_bytes // per_row)
         for at in range(0, batch.num_rows, step):
