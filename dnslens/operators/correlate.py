@@ -108,6 +108,8 @@ def retry_plan(
     """
     if on_timeout not in ("servfail", "drop"):
         raise ValueError(f"unknown action {on_timeout!r}")
+    if not 1 <= max_attempts <= 2:
+        raise ValueError("max_attempts must be 1 or 2: a query gets one extra attempt at most")
     pool = snap.groupBy(*keys).agg(F.array_sort(F.collect_set("backend")).alias("pool"))
     df = done.join(pool, list(keys), "left")
     later = F.filter("pool", lambda b: b > F.col("backend"))
@@ -115,7 +117,6 @@ def retry_plan(
     target = F.when(F.size(later) > 0, F.try_element_at(later, F.lit(1))).otherwise(F.try_element_at(others, F.lit(1)))
     fits = (
         (F.col("attempt_no") < max_attempts)
-        & (F.col("attempt_no") < 2)
         & (F.col("deadline_us") + timeout_us <= F.col("send_us") + budget_us)
     )
     return (

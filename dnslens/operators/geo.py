@@ -49,7 +49,8 @@ def region_lpm(
     lengths.sort(key=lambda x: (-x[1], x[0]))
     tables = [nets.filter((F.col("family") == f) & (F.col("plen") == p)) for f, p in lengths]
     found = _match(q.select(family, hi, lo).distinct(), lengths, tables, out, family, hi, lo)
-    return q.join(found, [family, hi, lo], "left")
+    kept = [c for c in q.columns if c != out]
+    return q.select(*kept).join(found, [family, hi, lo], "left").select(*kept, out)
 
 
 def _match(q, lengths, tables, out, family, hi, lo) -> DataFrame:

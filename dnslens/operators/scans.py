@@ -160,6 +160,8 @@ def bounded_windows(
     ``span`` rows of a chunk are handed to the next one too, only to be looked at.
     ``exprs`` receives the ordered window (no frame) and returns named columns.
     """
+    if span >= chunk_rows:
+        raise ValueError(f"a span of {span} rows needs chunks of more rows than {chunk_rows}")
     keys = list(keys)
     numbered = running(df, keys, t, sums={"rn": F.lit(1)}, cell=cell)
     own = F.floor((F.col("rn") - 1) / chunk_rows).cast("long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,8 +33,8 @@ def build_session(app: str = "dnslens", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) a temporary folder is
-    made and set as the checkpoint folder of this session.
+    Only where the setting is absent and the master is local (tests on one machine) a
+    temporary folder is made and set as the checkpoint folder of this session.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -42,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         made = tempfile.mkdtemp(prefix="dnslens-ckpt-")
         spark.sparkContext.setCheckpointDir(made)
         return made

@@ -45,13 +45,12 @@ def read_facts(
 def write_facts(t: DataFrame, path: str, name: str, mode: str = "append") -> None:
     """Append a fact table, partitioned by its date.
 
-    The rows of a date are spread over 32 tasks by content, so that a date holding most of
-    the rows does not become one task.
+    Rows are brought together by date, and adaptive execution splits a date that holds more
+    than the advisory partition size, so tasks and files follow the volume.
     """
-    plain = [f.name for f in t.schema.fields if f.dataType.typeName() != "map"]
     (
         t.withColumn("dt", F.to_date(TIME_COLUMN[name]))
-        .repartition("dt", F.pmod(F.hash(*plain), F.lit(32)))
+        .hint("rebalance", F.col("dt"))
         .write.mode(mode)
         .partitionBy("dt")
         .parquet(f"{path}/{name}")

@@ -296,3 +296,27 @@ def test_pick_arrays_agree(spark):
     u = choice.uniform(7, F.col("query_id"), 1)
     b = q.join(items, ["version", "region"]).select("query_id", choice.pick_by_scan(F.col("i"), u).alias("pick"))
     assert a.exceptAll(b).count() == 0
+
+
+def test_region_lpm_is_one_operator_on_both_sides_of_the_size_check(spark):
+    from dnslens.operators.geo import region_lpm
+
+    cidrs = spark.createDataFrame([("a", "10.0.0.0/8"), ("b", "10.7.0.0/16"), ("c", "10.7.3.0/24")], "region string, cidr string")
+    q = spark.createDataFrame(
+        [(1, "old", 4, 0, 0x0A070309), (2, None, 4, 0, 0x0A080000), (3, "old", 4, 0, 0x0B000000), (4, "x", None, None, None)],
+        "id int, region string, client_family int, client_hi long, client_lo long",
+    ).withColumn("client_family", F.when(F.col("client_family") == 4, "ipv4"))
+    small, large = region_lpm(q, cidrs), region_lpm(q, cidrs, broadcast_rows=0)
+    assert small.columns == large.columns and len(set(large.columns)) == len(large.columns)
+    assert sorted(small.collect(), key=str) == sorted(large.collect(), key=str)
+
+
+def test_bounds_are_rejected_not_applied_silently(spark):
+    from dnslens.operators.correlate import retry_plan
+    from dnslens.operators.scans import bounded_windows
+
+    df = spark.createDataFrame([(1, 1)], "k int, t long")
+    with pytest.raises(ValueError):
+        retry_plan(df, df, max_attempts=3)
+    with pytest.raises(ValueError):
+        bounded_windows(df, ["k"], "t", 10, lambda w: {}, cell=10, chunk_rows=10)
