@@ -10,7 +10,7 @@ exists. There is no search, no priority queue and no re-merging.
 
 Copies are kept as differences (the gadget that made a row or column and the arc it took away), since a full table
 of 49,000 x 49,000 arcs would be mostly copies; an arc is resolved through the gadgets once and then kept in the
-transition table of the worker, which is emptied when it reaches a fixed size.
+transition table of the task, which is emptied when it reaches a fixed size.
 """
 
 from __future__ import annotations
@@ -18,20 +18,19 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dnslens.llm.common import slices, texts_of
-from dnslens.llm.word_units import splitter, tokenizer_text, units
+from dnslens.llm.common import give_back, slices, texts_of
+from dnslens.llm.word_units import UnitSplitter, tokenizer_text, units
 
 _END = 0x400  # added to the last symbol of a word
-#: Entries of the transition table and of each word cache of a worker; the caches are emptied behind every task.
-MAX_ARCS = 400_000
-MAX_WORDS = 150_000
+#: Entries of the transition table and of each word cache of a task; all goes when the task ends.
+MAX_ARCS = 200_000
+MAX_WORDS = 100_000
 
 
 class MergeAutomaton:
@@ -147,13 +146,16 @@ class MergeAutomaton:
 
 
 class Codec:
-    """Encoder and decoder of whole texts; words that recur are looked up."""
+    """Encoder and decoder of whole texts; words that recur are looked up.
+
+    Compiled anew by each task (0.7 s), so that workers hold nothing of it between tasks.
+    """
 
     def __init__(self, tokenizer_json: str) -> None:
         spec = json.loads(tokenizer_json)
         model = spec["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self._split = splitter(tokenizer_json)
+        self._split = UnitSplitter(tokenizer_json)
         self.automaton = MergeAutomaton(model["vocab"], merges, model.get("end_of_word_suffix") or "")
         labels = dict(enumerate(self.automaton.label))
         labels.update({i: s for s, i in self._split.special.items()})
@@ -183,22 +185,11 @@ class Codec:
         known, unit = self._units.get, self._unit
         return b"".join([known(u) or unit(u) for u in units(text) if u])
 
-    def forget(self) -> None:
-        """Give the memory of looked-up words back; workers outlive their tasks."""
-        self._units.clear()
-        self._words.clear()
-
     def decode(self, ids: bytes) -> bytes:
         """The labels of the arcs passed, joined by blanks, as the tokenizer file without a decoder has it."""
         return b" ".join(map(self._labels.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
-def codec(tokenizer_json: str) -> Codec:
-    """One codec per worker and tokenizer file."""
-    return Codec(tokenizer_json)
-
-
 def encode(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of every whole text.
 
@@ -208,13 +199,14 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "do
     schema = docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"].simpleString().split(":", 1)[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(file.value)
+        tool = Codec(file.value)
         for batch in slices(batches, max_bytes=2 << 20):
             ids = [np.frombuffer(tool.encode(t), "<u4").astype("<i4") for t in texts_of(batch.column(1))]
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             flat = pa.array(np.concatenate([np.empty(0, "<i4"), *ids]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, flat)], ["doc_id", "ids"])
-        tool.forget()
+        del tool
+        give_back()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {schema}, ids array<int>")
@@ -226,10 +218,12 @@ def decode(encoded: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     schema = encoded.select("doc_id").schema["doc_id"].simpleString().split(":", 1)[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(file.value)
+        tool = Codec(file.value)
         for batch in batches:
             texts = [tool.decode(np.array(x or [], "<u4").tobytes()).decode() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "decoded"])
+        del tool
+        give_back()
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {schema}, decoded string")
 
@@ -243,7 +237,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     file = docs.sparkSession.sparkContext.broadcast(tokenizer_text(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, digest = codec(file.value), hashlib.sha256
+        tool, digest = Codec(file.value), hashlib.sha256
         for batch in slices(batches):
             counts, coded, decoded = [], [], []
             for text in texts_of(batch.column(1)):
@@ -253,7 +247,8 @@ def round_trip(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
                 decoded.append(digest(tool.decode(ids)).hexdigest())
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(coded), pa.array(decoded)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        tool.forget()
+        del tool
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,14 +38,29 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def give_back() -> None:
+    """Return free memory to the system: Python workers outlive their tasks, and their executors run other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that no slice of several rows holds much more than ``max_bytes`` of text."""
+    """Cut Arrow batches so that no slice of several rows holds much more than ``max_bytes`` of text.
+
+    Behind the last one, free memory goes back to the system.
+    """
+    batch = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        # What the batch before took is free by now; workers outlive their tasks, so the allocator shall not keep it.
+        # What the batch before took is free by now.
         pa.default_memory_pool().release_unused()
         per_row = max(1, batch.column(batch.schema.get_field_index(text)).nbytes // batch.num_rows)
         step = max(1, max_bytes // per_row)
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    del batch
+    give_back()

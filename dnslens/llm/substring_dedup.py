@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dnslens.llm.common import slices, stored
+from dnslens.llm.common import give_back, slices, stored
 from dnslens.llm.components import components
 from dnslens.llm.passages import BANDS, paragraphs, shingle_set
 
@@ -79,6 +79,8 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append((content, np.frombuffer(packed, "<u8")))
         yield rows(edges)
     yield rows(tree_edges(held))
+    del held
+    give_back()
 
 
 def tree_edges(members: list[tuple[int, np.ndarray]], split: bool = True) -> list[tuple[int, int]]:

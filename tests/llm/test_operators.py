@@ -69,7 +69,7 @@ def docs_of(spark, sf_dir):
 
 
 def test_automaton_is_the_library(library):
-    tool, rng = bpe_automaton.codec(tokenizer_text()), random.Random(3)
+    tool, rng = bpe_automaton.Codec(tokenizer_text()), random.Random(3)
     texts = ["aaaaaaaaaaa", "<|endoftext|>x<|startoftext|>", "İ ΣΑΣ ﬁ x́ y\x1cz\x0bq 日本 don't 've", "", " ", "½²×÷ ª 😀", "éÉ é"]
     texts += ["".join(rng.choice("abehinorst é日'1!") for _ in range(rng.randint(1, 40))) for _ in range(3000)]
     for text, expected in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
