@@ -91,7 +91,7 @@ def test_durations(spark):
         for n in (0, *(rng.randrange(10 ** rng.randrange(1, 7)) for _ in range(12))):
             text = f"{n}{unit}"
             expected[text] = n * factor
-            for wrong in (f"{n}", unit, f"{n} {unit}", f"-{text}", f"+{text}", f"{text}{unit}?", f"{n}.5{unit}", f"{n}{unit}\n", f"{n}d", f"{'7' * 19}{unit}"):
+            for wrong in (f"{n}", unit, f"{n} {unit}", f"-{text}", f"+{text}", f"{text}{unit}?", f"{n}.5{unit}", f"{n}{unit}\n", f"{n}d", f"{'7' * 20}{unit}"):
                 expected[wrong] = None
     expected[""] = None
     rows = spark.createDataFrame([(t,) for t in expected], "d string")

@@ -9,28 +9,30 @@ from dnslens.sources.inventory import explode_regions
 
 
 def test_event_log_round_trip(spark, tmp_path):
+    odd = "tab\t, \\ and \"both\" ends\r\nüñ [1]"
     rows = [
-        ("2026-09-27T10:15:03.000042Z", "warn", "health_transition", {"backend": "pop-india", "to": "DEGRADED"}),
-        ("2026-09-27T10:15:04Z", "info", "evt", {"msg": 'quote" newline\n brace}'}),
-        ("2026-09-27T10:15:05Z", "info", "real", {"event": "fake", "level": "error"}),
-        ("2026-09-27T10:15:06Z", "info", "empty", {}),
+        ("2031-02-08T23:59:59.120007Z", "error", "cache_flush", {"node": "oslo", "items": "1200"}),
+        ("2031-02-09T00:00:00Z", "debug", "note", {"body": odd, "": "unnamed"}),
+        ("2031-02-09T00:00:01.5Z", "info", "shadow", {"ts": "never", "event": "other", "level": "none"}),
+        ("2031-02-09T00:00:02Z", "warn", "bare", {}),
     ]
     t = spark.createDataFrame(rows, "ts string, level string, event string, fields map<string,string>")
     t = t.withColumn("ts", F.to_timestamp("ts"))
     path = str(tmp_path / "log")
     event_log.write_event_log(t.coalesce(1), path)
     lines = [r["value"] for r in spark.read.text(path).collect()]
-    assert lines[0].startswith('{"ts":"2026-09-27T10:15:03.000042Z","level":"warn","event":"health_transition"')
+    assert lines[0].startswith('{"ts":"2031-02-08T23:59:59.120007Z","level":"error","event":"cache_flush"')
     parsed = [json.loads(x) for x in lines]
-    assert parsed[1]["msg"] == 'quote" newline\n brace}'
-    assert parsed[2]["event"] == "real" and parsed[2]["field.event"] == "fake" and parsed[2]["field.level"] == "error"
+    assert parsed[1]["body"] == odd
+    assert parsed[2]["event"] == "shadow" and parsed[2]["field.event"] == "other" and parsed[2]["field.level"] == "none"
     assert list(parsed[3]) == ["ts", "level", "event"]
-    spark.createDataFrame([("not json",), ('{"ts":"x"}',)], "value string").write.mode("append").text(path)
+    broken = ["[1, 2", '{"level":7']
+    spark.createDataFrame([(x,) for x in broken], "value string").write.mode("append").text(path)
     back = event_log.read_event_log(spark, path)
-    assert back.filter("_corrupt IS NULL").count() == 4
-    assert sorted(r[0] for r in back.filter("_corrupt IS NOT NULL").select("_corrupt").collect()) == ["not json", '{"ts":"x"}']
-    row = back.filter("event = 'health_transition'").first()
-    assert row["fields"] == {"backend": "pop-india", "to": "DEGRADED"}
+    assert back.filter("_corrupt IS NULL").count() == len(rows)
+    assert sorted(r[0] for r in back.filter("_corrupt IS NOT NULL").select("_corrupt").collect()) == sorted(broken)
+    row = back.filter("event = 'cache_flush'").first()
+    assert row["fields"] == {"node": "oslo", "items": "1200"}
 
 
 def test_facts_round_trip(spark, sf_dir, tmp_path):

@@ -1,4 +1,4 @@
-"""Accept and reject lists of the inventory rules."""
+"""Every rule of the inventory checks, on a small fleet broken in one place at a time."""
 
 import pytest
 
@@ -6,93 +6,111 @@ from dnslens.operators.validation import summary, validate_inventory
 from dnslens.schemas import INVENTORY
 from dnslens.sources.inventory import load_inventory, read_inventory
 
-GOOD_L = ("c", 0, "127.0.0.1", "5353", None)
-GOOD_B = ("c", 0, "a", "127.0.0.1", None, None, "india", None)
+FLEET = {
+    "dim_deployment": [("fleet-7", None, None, None, None, None, None)],
+    "dim_listener": [("fleet-7", 0, "198.51.100.20", "1053", None)],
+    "dim_backend": [("fleet-7", 0, "oslo", "203.0.113.30", None, None, "north", None)],
+    "dim_region_cidr": [],
+    "raw_keys": [],
+}
 
 
-def dims(spark, deployment=("c", None, None, None, None, None, None), listeners=(GOOD_L,), backends=(GOOD_B,), regions=(), keys=()):
-    data = {
-        "dim_deployment": [deployment],
-        "dim_listener": list(listeners),
-        "dim_backend": list(backends),
-        "dim_region_cidr": list(regions),
-        "raw_keys": list(keys),
-    }
-    return {name: spark.createDataFrame(data[name], schema) for name, schema in INVENTORY.items()}
+def fleet(spark, **changed):
+    return {name: spark.createDataFrame(changed.get(name, FLEET[name]), schema) for name, schema in INVENTORY.items()}
 
 
-def problems(d):
-    return sorted((r["rule"], r["path"]) for r in validate_inventory(d).collect())
+def deployment(**values):
+    names = [c.split()[0] for c in INVENTORY["dim_deployment"].split(", ")]
+    return [tuple({"config_id": "fleet-7", **values}.get(n) for n in names)]
 
 
-def test_minimal_is_accepted(spark):
-    assert problems(dims(spark)) == []
-    row = summary(dims(spark)).first().asDict()
-    assert row == {
-        "config_id": "c", "policy": "round_robin", "timeout": "800ms", "listeners": 1, "backends": 1, "regions": 0
-    }
+def found(dims):
+    return sorted((r["rule"], r["path"]) for r in validate_inventory(dims).collect())
 
 
-def test_missing_sections(spark):
-    assert problems(dims(spark, listeners=(), backends=())) == [("V1", "backends"), ("V1", "listeners")]
+def test_a_plain_fleet_has_no_problem_and_gets_defaults(spark):
+    dims = fleet(spark)
+    assert found(dims) == []
+    row = summary(dims).first()
+    assert (row["policy"], row["timeout"]) == ("round_robin", "800ms")
+    assert (row["listeners"], row["backends"], row["regions"]) == (1, 1, 0)
 
 
-def test_unknown_keys(spark):
-    keys = [("c", "", ["listeners", "routng"]), ("c", "listeners[0]", ["address", "proto"]), ("c", "backends[0]", ["name", "wieght"])]
-    assert problems(dims(spark, keys=keys)) == [("V2", "backends[0].wieght"), ("V2", "listeners[0].proto"), ("V2", "routng")]
+@pytest.mark.parametrize("table,path", [("dim_listener", "listeners"), ("dim_backend", "backends")])
+def test_a_whole_section_is_absent(spark, table, path):
+    assert found(fleet(spark, **{table: []})) == [("V1", path)]
 
 
-def test_bad_values(spark):
-    d = dims(
-        spark,
-        ("c", "0", None, "0", "loud", "random", "800"),
-        [("c", 0, "127.0.0.300", "70000", "sctp")],
-        [("c", 0, "Bad Name", "nope", "-1", "0", "india", None)],
-    )
-    paths = {p for _, p in problems(d)}
-    assert paths == {
-        "listeners[0].address", "listeners[0].port", "listeners[0].transport", "workers", "admin.port", "logging.level",
-        "backends[0].name", "backends[0].address", "backends[0].port", "backends[0].weight", "routing.policy",
-        "upstream.timeout",
-    }
+def test_keys_no_section_knows(spark):
+    keys = [("fleet-7", "", ["backends", "colour"]), ("fleet-7", "listeners[3]", ["port", "speed"]), ("fleet-7", "backends[12]", ["site", "owner", "name"])]
+    assert found(fleet(spark, raw_keys=keys)) == [("V2", "backends[12].owner"), ("V2", "colour"), ("V2", "listeners[3].speed")]
 
 
-@pytest.mark.parametrize("timeout", ["500us", "2m", "61s"])
-def test_timeout_bounds(spark, timeout):
-    assert problems(dims(spark, ("c", None, None, None, None, None, timeout))) == [("V6", "upstream.timeout")]
+@pytest.mark.parametrize(
+    "column,bad,rule,path",
+    [
+        ("workers", "257", "V3", "workers"), ("workers", "many", "V3", "workers"), ("admin_port", "65536", "V3", "admin.port"),
+        ("log_level", "whisper", "V5", "logging.level"), ("policy", "coin_toss", "V5", "routing.policy"),
+        ("admin_address", "203.0.113", "V7", "admin.address"), ("upstream_timeout", "soon", "V6", "upstream.timeout"),
+        ("upstream_timeout", "999us", "V6", "upstream.timeout"), ("upstream_timeout", "60001ms", "V6", "upstream.timeout"),
+    ],
+)
+def test_one_bad_value_in_the_deployment(spark, column, bad, rule, path):
+    assert found(fleet(spark, dim_deployment=deployment(**{column: bad}))) == [(rule, path)]
 
 
-def test_duplicates(spark):
-    d = dims(
-        spark,
-        listeners=[GOOD_L, ("c", 1, "127.0.0.1", "5353", "udp")],
-        backends=[("c", 0, "a", "127.0.0.1", "5401", None, "x", None), ("c", 1, "a", "127.0.0.1", "5401", None, "y", None)],
-        regions=[("c", 0, 0, "r1", "10.0.0.0/8"), ("c", 1, 0, "r1", "10.0.0.0/8")],
-    )
-    assert [r for r, _ in problems(d)] == ["V10", "V11", "V12", "V13", "V8"]
+def test_values_on_the_limits_pass(spark):
+    for values in ({"workers": "256", "admin_port": "65535", "upstream_timeout": "1ms"}, {"workers": "1", "admin_port": "1", "upstream_timeout": "60s"}):
+        assert found(fleet(spark, dim_deployment=deployment(**values))) == []
 
 
-def test_equal_endpoints_in_different_spelling(spark):
-    d = dims(
+def test_bad_values_in_rows(spark):
+    dims = fleet(
         spark,
-        backends=[("c", 0, "a", "2001:db8::1", "53", None, "x", None), ("c", 1, "b", "2001:DB8:0::1", None, None, "y", None)],
+        dim_listener=[("fleet-7", 4, "198.51.100", "99999", "carrier_pigeon")],
+        dim_backend=[("fleet-7", 6, "Oslo!", "203.0.113.1.1", "none", "10001", "-north", None)],
+        dim_region_cidr=[("fleet-7", 2, 5, "a b", "203.0.113.64/24")],
     )
-    assert problems(d) == [("V13", "backends")]
-
-
-def test_nested_prefixes_are_fine(spark):
-    regions = [("c", 0, 0, "wide", "10.0.0.0/8"), ("c", 1, 0, "narrow", "10.1.0.0/16"), ("c", 1, 1, "narrow", "10.1.0.0/16")]
-    assert problems(dims(spark, regions=regions)) == []
-
-
-@pytest.mark.parametrize("transport,expected", [("udp", []), ("tcp", [("V9", "admin")])])
-def test_admin_collision(spark, transport, expected):
-    d = dims(spark, ("c", None, None, "9000", None, None, None), [("c", 0, "127.0.0.1", "9000", transport)])
-    assert problems(d) == expected
+    assert found(dims) == [
+        ("V3", "backends[6].port"), ("V3", "backends[6].weight"), ("V3", "listeners[4].port"),
+        ("V4", "backends[6].name"), ("V4", "backends[6].site"), ("V4", "regions[2].name"),
+        ("V5", "listeners[4].transport"),
+        ("V7", "backends[6].address"), ("V7", "listeners[4].address"), ("V7", "regions[2].client_cidrs[5]"),
+    ]
+
+
+@pytest.mark.parametrize(
+    "table,rows,rule",
+    [
+        ("dim_listener", [("fleet-7", i, "198.51.100.20", "1053", t) for i, t in enumerate((None, "udp"))], "V8"),
+        ("dim_region_cidr", [("fleet-7", i, 0, "inland", f"203.0.{i}.0/24") for i in range(2)], "V10"),
+        ("dim_region_cidr", [("fleet-7", i, 0, f"zone{i}", "203.0.112.0/23") for i in range(2)], "V11"),
+        ("dim_backend", [("fleet-7", i, "oslo", f"203.0.113.{i}", None, None, "north", None) for i in range(2)], "V12"),
+        ("dim_backend", [("fleet-7", i, f"oslo{i}", "203.0.113.9", p, None, "north", None) for i, p in enumerate((None, "53"))], "V13"),
+        ("dim_backend", [("fleet-7", i, f"oslo{i}", a, None, None, "north", None) for i, a in enumerate(("fd00::a:0:1", "FD00:0:0:0:0:A:0:1"))], "V13"),
+    ],
+)
+def test_what_occurs_twice(spark, table, rows, rule):
+    assert [r for r, _ in found(fleet(spark, **{table: rows}))] == [rule]
+
+
+def test_a_prefix_inside_another_is_no_repeat(spark):
+    nested = [("fleet-7", i, 0, f"zone{i}", f"203.0.112.0/{20 + 2 * i}") for i in range(3)]
+    assert found(fleet(spark, dim_region_cidr=nested)) == []
+
+
+@pytest.mark.parametrize("transport,expected", [("tcp", [("V9", "admin")]), ("udp", []), (None, [])])
+def test_the_admin_endpoint_meets_a_listener(spark, transport, expected):
+    dims = fleet(
+        spark,
+        dim_deployment=deployment(admin_address="198.51.100.20", admin_port="7070"),
+        dim_listener=[("fleet-7", 0, "198.51.100.20", "7070", transport)],
+    )
+    assert found(dims) == expected
 
 
 def test_load_with_defaults(spark, tmp_path):
-    for name, df in dims(spark).items():
+    for name, df in fleet(spark).items():
         df.write.parquet(f"{tmp_path}/{name}")
     loaded = load_inventory(spark, str(tmp_path))
     b = loaded["dim_backend"].first()
