@@ -74,38 +74,38 @@ def check_fields(dims: dict[str, DataFrame]) -> DataFrame:
     deployment = _problems(
         dep,
         [
-            (f"workers <> 'auto' AND {_bad_int('workers', WORKERS)}", "'workers'", "V3", "must be an integer between 1 and 256"),
-            ("admin_address IS NOT NULL AND NOT admin_ok", "'admin.address'", "V7", "invalid IP address"),
-            (_bad_int("admin_port", PORT), "'admin.port'", "V3", "must be an integer between 1 and 65535"),
-            (f"log_level IS NOT NULL AND NOT {_in_list('log_level', LEVELS)}", "'logging.level'", "V5", "invalid log level"),
-            (f"policy IS NOT NULL AND NOT {_in_list('policy', NAMES)}", "'routing.policy'", "V5", "unknown policy"),
-            ("upstream_timeout IS NOT NULL AND timeout_us IS NULL", "'upstream.timeout'", "V6", "invalid duration"),
-            (f"timeout_us NOT BETWEEN {low} AND {high}", "'upstream.timeout'", "V6", "must be between 1ms and 60s"),
+            (f"workers <> 'auto' AND {_bad_int('workers', WORKERS)}", "'workers'", "V3", f"not a whole number from {WORKERS[0]} to {WORKERS[1]}"),
+            ("admin_address IS NOT NULL AND NOT admin_ok", "'admin.address'", "V7", "not an address"),
+            (_bad_int("admin_port", PORT), "'admin.port'", "V3", f"not a whole number from {PORT[0]} to {PORT[1]}"),
+            (f"log_level IS NOT NULL AND NOT {_in_list('log_level', LEVELS)}", "'logging.level'", "V5", "not one of the levels"),
+            (f"policy IS NOT NULL AND NOT {_in_list('policy', NAMES)}", "'routing.policy'", "V5", "not one of the policies"),
+            ("upstream_timeout IS NOT NULL AND timeout_us IS NULL", "'upstream.timeout'", "V6", "not a duration"),
+            (f"timeout_us NOT BETWEEN {low} AND {high}", "'upstream.timeout'", "V6", f"outside {low} to {high} microseconds"),
         ],
     )
     at = "concat('listeners[', pos, '].{}')"
     listener = _problems(
         normalise_addresses(dims["dim_listener"], "address", "a"),
         [
-            ("address IS NULL", at.format("address"), "V1", "is required"),
-            ("port IS NULL", at.format("port"), "V1", "is required"),
-            ("address IS NOT NULL AND NOT a_ok", at.format("address"), "V7", "invalid IP address"),
-            (_bad_int("port", PORT), at.format("port"), "V3", "must be an integer between 1 and 65535"),
-            (f"transport IS NOT NULL AND NOT {_in_list('transport', TRANSPORTS)}", at.format("transport"), "V5", "must be udp or tcp"),
+            ("address IS NULL", at.format("address"), "V1", "absent"),
+            ("port IS NULL", at.format("port"), "V1", "absent"),
+            ("address IS NOT NULL AND NOT a_ok", at.format("address"), "V7", "not an address"),
+            (_bad_int("port", PORT), at.format("port"), "V3", f"not a whole number from {PORT[0]} to {PORT[1]}"),
+            (f"transport IS NOT NULL AND NOT {_in_list('transport', TRANSPORTS)}", at.format("transport"), "V5", "not one of the transports"),
         ],
     )
     at = "concat('backends[', pos, '].{}')"
     backend = _problems(
         normalise_addresses(dims["dim_backend"], "address", "a"),
         [
-            ("name IS NULL", at.format("name"), "V1", "is required"),
-            ("address IS NULL", at.format("address"), "V1", "is required"),
-            ("site IS NULL", at.format("site"), "V1", "is required"),
-            (_bad_identifier("name"), at.format("name"), "V4", "invalid identifier"),
-            (_bad_identifier("site"), at.format("site"), "V4", "invalid identifier"),
-            ("address IS NOT NULL AND NOT a_ok", at.format("address"), "V7", "invalid IP address"),
-            (_bad_int("port", PORT), at.format("port"), "V3", "must be an integer between 1 and 65535"),
-            (_bad_int("weight", WEIGHT), at.format("weight"), "V3", "must be an integer between 1 and 10000"),
+            ("name IS NULL", at.format("name"), "V1", "absent"),
+            ("address IS NULL", at.format("address"), "V1", "absent"),
+            ("site IS NULL", at.format("site"), "V1", "absent"),
+            (_bad_identifier("name"), at.format("name"), "V4", "not a name"),
+            (_bad_identifier("site"), at.format("site"), "V4", "not a name"),
+            ("address IS NOT NULL AND NOT a_ok", at.format("address"), "V7", "not an address"),
+            (_bad_int("port", PORT), at.format("port"), "V3", f"not a whole number from {PORT[0]} to {PORT[1]}"),
+            (_bad_int("weight", WEIGHT), at.format("weight"), "V3", f"not a whole number from {WEIGHT[0]} to {WEIGHT[1]}"),
         ],
     )
     regions = normalise_cidrs(dims["dim_region_cidr"], "cidr", "net")
@@ -114,7 +114,7 @@ def check_fields(dims: dict[str, DataFrame]) -> DataFrame:
         [
             (
                 "cidr IS NOT NULL AND net_error IS NOT NULL",
-                "concat('regions[', region_pos, '].client_cidrs[', cidr_pos, ']')", "V7", "invalid CIDR",
+                "concat('regions[', region_pos, '].client_cidrs[', cidr_pos, ']')", "V7", "not a network",
             ),
         ],
     )
@@ -126,10 +126,10 @@ def check_fields(dims: dict[str, DataFrame]) -> DataFrame:
     region = _problems(
         entries,
         [
-            ("region IS NULL", at.format("name"), "V1", "is required"),
-            (_bad_identifier("region"), at.format("name"), "V4", "invalid identifier"),
-            ("last_pos IS NULL", at.format("client_cidrs"), "V1", "is required"),
-            ("last_pos IS NOT NULL AND n = 0", at.format("client_cidrs"), "V7", "must be a non-empty list"),
+            ("region IS NULL", at.format("name"), "V1", "absent"),
+            (_bad_identifier("region"), at.format("name"), "V4", "not a name"),
+            ("last_pos IS NULL", at.format("client_cidrs"), "V1", "absent"),
+            ("last_pos IS NOT NULL AND n = 0", at.format("client_cidrs"), "V7", "holds no network"),
         ],
     )
     return reduce(DataFrame.unionByName, [deployment, listener, backend, cidr, region])
@@ -143,8 +143,8 @@ def check_required(dims: dict[str, DataFrame]) -> DataFrame:
             .select("config_id", F.lit(path).alias("path"), F.lit("V1").alias("rule"), F.lit(what).alias("message"))
         )
 
-    return missing("dim_listener", "listeners", "is required (at least one listener)").unionByName(
-        missing("dim_backend", "backends", "is required (at least one backend)")
+    return missing("dim_listener", "listeners", "no row").unionByName(
+        missing("dim_backend", "backends", "no row")
     )
 
 
@@ -162,7 +162,7 @@ def check_keys(dims: dict[str, DataFrame]) -> DataFrame:
             "config_id",
             "CASE WHEN path = '' THEN key ELSE concat(path, '.', key) END AS path",
             "'V2' AS rule",
-            "'unknown key' AS message",
+            "'key of no use here' AS message",
         )
     )
 
@@ -209,22 +209,22 @@ def check_duplicates(dims: dict[str, DataFrame]) -> DataFrame:
     listeners, backends = valid_listeners(dims), valid_backends(dims)
     v8 = _repeats(
         listeners, ["address", "port", "transport"], "listeners", "V8",
-        "concat('duplicate listener ', address, ':', port, '/', transport)",
+        "concat('repeated ', address, ':', port, '/', transport)",
     )
     v9 = (
         listeners.filter("transport = 'tcp'").join(admin_endpoints(dims), ["config_id", "address", "port"])
         .selectExpr(
             "config_id", "'admin' AS path", "'V9' AS rule",
-            "concat('admin endpoint ', address, ':', port, ' collides with a TCP listener') AS message",
+            "concat(address, ':', port, ' serves both admin and tcp') AS message",
         )
     )
     named = dims["dim_region_cidr"].filter(f"region IS NOT NULL AND NOT ({_bad_identifier('region')})")
     entries = named.select("config_id", "region_pos", "region").distinct()
-    v10 = _repeats(entries, ["region"], "regions", "V10", "concat('duplicate region name ', region)")
+    v10 = _repeats(entries, ["region"], "regions", "V10", "concat('repeated ', region)")
     v11 = _shared_cidrs(named)
-    v12 = _repeats(backends, ["name"], "backends", "V12", "concat('duplicate backend name ', name)")
+    v12 = _repeats(backends, ["name"], "backends", "V12", "concat('repeated ', name)")
     v13 = _repeats(
-        backends, ["address", "port"], "backends", "V13", "concat('duplicate backend endpoint ', address, ':', port)"
+        backends, ["address", "port"], "backends", "V13", "concat('repeated ', address, ':', port)"
     )
     return reduce(DataFrame.unionByName, [v8, v9, v10, v11, v12, v13])
 
@@ -246,7 +246,7 @@ def _shared_cidrs(named: DataFrame) -> DataFrame:
     return (
         a.join(b, claim).filter("i < j").selectExpr(
             "config_id", "'regions' AS path", "'V11' AS rule",
-            "concat('CIDR ', cidr, ' is claimed by both ', r1, ' and ', r2) AS message",
+            "concat(cidr, ': ', r1, ', ', r2) AS message",
         )
     )
 

@@ -396,21 +396,21 @@ def inventory(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         _text(i).alias("config_id"),
         F.when(i % 7 == 0, F.lit("auto")).when(i % 37 == 1, F.lit("0")).when(i % 37 == 2, F.lit("abc"))
         .otherwise(_text(i % 64 + 1)).alias("workers"),
-        F.when(i % 11 == 0, F.lit("nope")).when(i % 11 == 1, F.lit(None)).otherwise(F.lit("127.0.0.1")).alias("admin_address"),
+        F.when(i % 11 == 0, F.lit("unset")).when(i % 11 == 1, F.lit(None)).otherwise(F.lit("127.0.0.1")).alias("admin_address"),
         F.when(i % 13 == 0, F.lit("0")).when(i % 13 == 1, F.lit(None)).otherwise(F.lit("8053")).alias("admin_port"),
-        F.when(i % 17 == 0, F.lit("loud")).otherwise(F.lit("info")).alias("log_level"),
-        F.when(i % 19 == 0, F.lit("random")).otherwise(_choose(policies, i % 7)).alias("policy"),
-        F.when(i % 23 == 0, F.lit("800")).when(i % 23 == 1, F.lit("2m")).when(i % 23 == 2, F.lit("500us"))
+        F.when(i % 17 == 0, F.lit("chatty")).otherwise(F.lit("info")).alias("log_level"),
+        F.when(i % 19 == 0, F.lit("dice")).otherwise(_choose(policies, i % 7)).alias("policy"),
+        F.when(i % 23 == 0, F.lit("75")).when(i % 23 == 1, F.lit("90s")).when(i % 23 == 2, F.lit("900us"))
         .when(i % 23 == 3, F.lit(None)).when(i % 23 == 4, F.lit("2s")).when(i % 23 == 5, F.lit("1500us"))
         .otherwise(F.lit("800ms")).alias("upstream_timeout"),
     )
     backend = li.select(
         _text(i).alias("config_id"),
         F.col("pos").cast("int").alias("pos"),
-        F.when(p % 37 == 0, F.lit("Bad Name")).when(p % 37 == 1, F.lit(None)).otherwise(F.concat(F.lit("pop-"), _text(s % 20))).alias("name"),
-        F.when(p % 41 == 0, F.lit("nope")).when(p % 41 == 1, F.lit(None))
+        F.when(p % 37 == 0, F.lit("Two Words")).when(p % 37 == 1, F.lit(None)).otherwise(F.concat(F.lit("pop-"), _text(s % 20))).alias("name"),
+        F.when(p % 41 == 0, F.lit("unset")).when(p % 41 == 1, F.lit(None))
         .otherwise(F.concat(F.lit("10.0."), _text(s % 8), F.lit("."), _text(p % 3))).alias("address"),
-        F.when(p % 43 == 0, F.lit("-1")).when(p % 2 == 0, F.lit(None)).otherwise(F.lit("5401")).alias("port"),
+        F.when(p % 43 == 0, F.lit("-7")).when(p % 2 == 0, F.lit(None)).otherwise(F.lit("5401")).alias("port"),
         F.when(p % 47 == 0, F.lit("0")).when(p % 47 == 1, F.lit(None)).otherwise(_text(F.col("qty"))).alias("weight"),
         F.when(p % 53 == 0, F.lit(None)).otherwise(F.concat(F.lit("site_"), _text(s % 5))).alias("site"),
         F.lit(None).cast("string").alias("capacity"),
@@ -418,15 +418,15 @@ def inventory(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     listener = li.filter("pos < 2 and p % 97 <> 0").select(
         _text(i).alias("config_id"),
         F.col("pos").cast("int").alias("pos"),
-        F.when(p % 31 == 0, F.lit("127.0.0.300")).otherwise(F.concat(F.lit("127.0.0."), _text(s % 2 + 1))).alias("address"),
-        F.when(p % 29 == 0, F.lit("70000")).when(p % 29 == 1, F.lit(None)).otherwise(F.when(p % 2 == 0, F.lit("8053")).otherwise(F.lit("5353"))).alias("port"),
-        F.when(p % 59 == 0, F.lit("sctp")).when(F.col("flag") == "A", F.lit("udp")).when(F.col("flag") == "N", F.lit("tcp")).alias("transport"),
+        F.when(p % 31 == 0, F.lit("127.0.0.999")).otherwise(F.concat(F.lit("127.0.0."), _text(s % 2 + 1))).alias("address"),
+        F.when(p % 29 == 0, F.lit("90001")).when(p % 29 == 1, F.lit(None)).otherwise(F.when(p % 2 == 0, F.lit("8053")).otherwise(F.lit("5353"))).alias("port"),
+        F.when(p % 59 == 0, F.lit("quic")).when(F.col("flag") == "A", F.lit("udp")).when(F.col("flag") == "N", F.lit("tcp")).alias("transport"),
     )
     region = li.filter("pos < 3").select(
         _text(i).alias("config_id"),
         F.col("pos").cast("int").alias("region_pos"),
         F.explode(F.array(F.lit(0), F.lit(1))).alias("cidr_pos"),
-        F.when(p % 61 == 0, F.lit("_bad")).otherwise(F.concat(F.lit("r"), _text(s % 6))).alias("region"),
+        F.when(p % 61 == 0, F.lit("-first")).otherwise(F.concat(F.lit("r"), _text(s % 6))).alias("region"),
         "p",
         "s",
     ).select(
@@ -434,9 +434,9 @@ def inventory(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "region_pos",
         "cidr_pos",
         "region",
-        F.when((p % 67 == 0) & (F.col("cidr_pos") == 0), F.lit("10.0.0.1/8"))
-        .when((p % 71 == 0) & (F.col("cidr_pos") == 0), F.lit("10.0.0.0"))
-        .when((p % 73 == 0) & (F.col("cidr_pos") == 0), F.lit("10.0.0.0/33"))
+        F.when((p % 67 == 0) & (F.col("cidr_pos") == 0), F.lit("10.9.0.1/12"))
+        .when((p % 71 == 0) & (F.col("cidr_pos") == 0), F.lit("10.9.0.0"))
+        .when((p % 73 == 0) & (F.col("cidr_pos") == 0), F.lit("10.9.0.0/40"))
         .otherwise(F.concat(F.lit("10."), _text((p + F.col("cidr_pos")) % 8), F.lit(".0.0/16")))
         .alias("cidr"),
     )
@@ -444,7 +444,7 @@ def inventory(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         o.select(
             _text(i).alias("config_id"),
             F.lit("").alias("path"),
-            F.when(i % 79 == 0, F.array(F.lit("listeners"), F.lit("backends"), F.lit("routng")))
+            F.when(i % 79 == 0, F.array(F.lit("listeners"), F.lit("backends"), F.lit("pollicy")))
             .otherwise(F.array(F.lit("listeners"), F.lit("backends"), F.lit("routing")))
             .alias("keys"),
         )
@@ -452,7 +452,7 @@ def inventory(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             li.select(
                 _text(i).alias("config_id"),
                 F.concat(F.lit("backends["), _text(F.col("pos")), F.lit("]")).alias("path"),
-                F.when(p % 83 == 0, F.array(F.lit("name"), F.lit("address"), F.lit("wieght")))
+                F.when(p % 83 == 0, F.array(F.lit("name"), F.lit("address"), F.lit("owner")))
                 .otherwise(F.array(F.lit("name"), F.lit("address"), F.lit("site")))
                 .alias("keys"),
             )
