@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dnslens.session import scratch_path
 
@@ -25,6 +26,11 @@ def stored(df: DataFrame, label: str, **options: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has no more than ``rows`` rows; otherwise Spark shuffles it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete scratch tables that no later plan reads."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -123,3 +123,11 @@ def paragraphs(texts: list[bytes]) -> dict[str, np.ndarray]:
 def shingle_set(text: bytes) -> np.ndarray:
     """The distinct shingles of one paragraph, sorted."""
     return np.unique(Words([text]).shingles())
+
+
+def band_last(shingles: np.ndarray, band: int) -> np.ndarray:
+    """The shingles in their order, but that one last whose MinHash value is ``band``."""
+    own = np.zeros(len(shingles), bool)
+    for b in range(BANDS):
+        own |= (shingles * _ODD[12 + b]).view(np.int64) == band
+    return np.concatenate([shingles[~own], shingles[own]])

@@ -6,7 +6,10 @@ covering radius 1 of one of them, its home. A fingerprint is sent to its home an
 home of a word within the threshold of the half, 1: these are all anchors within covering radius plus threshold that
 can matter, 16 or 17 of 2^27 for each half. So linked fingerprints meet at an anchor, and are compared there in full.
 
-Equal fingerprints count once. At an anchor, fingerprints are searched breadth-first, so a group of copies costs edges
+An anchor that many fingerprints meet at is dealt before it is compared: linked fingerprints agree in one of the four
+bytes of the other half, so each is sent to four smaller groups, and no anchor is one task's burden.
+
+Equal fingerprints count once. In a group, fingerprints are searched breadth-first, so a group of copies costs edges
 of a tree, not of all its pairs, and no link between different fingerprints is lost.
 """
 
@@ -20,13 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dnslens.llm.common import slices, stored
+from dnslens.llm.common import bounded, slices, stored
 from dnslens.llm.components import components
 
 BITS = 3
 SHINGLE, SEED = 3, 42
-#: Fingerprints at one anchor from which they are first dealt by the bytes of the other half, one of which must agree.
+#: Fingerprints at one anchor from which they are dealt by the bytes of the other half.
 SPLIT_AT = 20_000
+#: Anchors of that size up to which they are broadcast; beyond it they are shuffled.
+BROADCAST_ANCHORS = 1_000_000
 
 _POSITIONS = np.arange(1, 32, dtype=np.uint32)
 _PARITY = [np.uint32(sum(1 << (p - 1) for p in range(1, 32) if p >> j & 1)) for j in range(5)]
@@ -94,15 +99,8 @@ def _to_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(values))], ["anchor", "fp"])
 
 
-def tree_links(fps: np.ndarray, bits: int = BITS, other_half: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+def tree_links(fps: np.ndarray, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
     """Edges of a spanning forest of the links among distinct fingerprints."""
-    if other_half is not None and len(fps) > SPLIT_AT:
-        out = []
-        for k in range(4):
-            byte = (fps >> np.uint64(32 * other_half + 8 * k)) & np.uint64(255)
-            for value in np.unique(byte):
-                out += tree_links(fps[byte == value], bits)
-        return out
     out, left = [], fps
     while len(left) > 1:
         todo, left = [left[0]], left[1:]
@@ -117,7 +115,7 @@ def tree_links(fps: np.ndarray, bits: int = BITS, other_half: int | None = None)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges among the fingerprints of each anchor; the input is sorted by anchor and fingerprint."""
+    """Edges among the fingerprints of each group; the input is sorted by group and fingerprint."""
 
     def linked(keys: np.ndarray, fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -126,14 +124,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         close = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= BITS]
         out = [(fps[close], fps[close + 1])]
         for at, n in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            out += tree_links(fps[at : at + n], other_half=1 - int(keys[at] >> 32))
+            out += tree_links(fps[at : at + n])
         return out
 
     def rows(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         sides = [np.concatenate([f[k] for f in found]).view(np.int64) for k in (0, 1)]
         return pa.RecordBatch.from_arrays([pa.array(s) for s in sides], ["a", "b"])
 
-    held: list[tuple[np.ndarray, np.ndarray]] = []  # rows of the anchor that the next batch may go on with
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # rows of the group that the next batch may go on with
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -150,10 +148,22 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(linked(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])))
 
 
+def groups(distinct: DataFrame) -> DataFrame:
+    """(anchor, fp) of all that is to be compared; the numbers of dealt anchors carry the byte above bit 33."""
+    met = distinct.select("fp").mapInArrow(_to_anchors, "anchor long, fp long")
+    crowded = met.groupBy("anchor").count().filter(F.col("count") > SPLIT_AT).select("anchor", F.lit(True).alias("crowded"))
+    crowded, _ = stored(crowded, "crowded")
+    first = f"IF(anchor < {1 << 32}L, 32, 0)"
+    bytes_of = ", ".join(f"{1 + 256 * k}L + (shiftrightunsigned(fp, {first} + {8 * k}) & 255L)" for k in range(4))
+    return met.join(bounded(crowded, BROADCAST_ANCHORS), "anchor", "left").select(
+        "anchor", "fp", F.explode(F.expr(f"IF(crowded, array({bytes_of}), array(0L))")).alias("part")
+    ).select(F.expr("anchor | shiftleft(part, 34)").alias("anchor"), "fp")
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): links between different fingerprints (column fp, distinct), enough to connect all that are linked."""
-    met = distinct.select("fp").mapInArrow(_to_anchors, "anchor long, fp long")
-    return met.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(_compare, "a long, b long")
+    dealt = groups(distinct).repartition("anchor").sortWithinPartitions("anchor", "fp")
+    return dealt.mapInArrow(_compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -7,6 +7,9 @@ shingles of five words are rare enough for single rows to meet little else. Equa
 different ones that meet are verified by their exact Jaccard similarity, and the classes are connected components. The
 first occurrence of a class stays, all others are removals.
 
+A band in which many contents meet is dealt before it is compared: of similar sets, the first fifth and one more of
+their shingles, in any common order, have one in common. The band's own shingle, which all share, comes last in it.
+
 Nothing is gathered per band, class or document before it has been aggregated: which bands have several contents and
 which contents recur are counted with partial aggregation, and only paragraphs that take part go on.
 """
@@ -20,26 +23,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dnslens.llm.common import give_back, slices, stored
+from dnslens.llm.common import bounded, give_back, slices, stored
 from dnslens.llm.components import components
-from dnslens.llm.passages import BANDS, paragraphs, shingle_set
+from dnslens.llm.passages import BANDS, band_last, paragraphs, shingle_set
 
 SIMILARITY = 0.8
 #: Repeated paragraphs count in runs of at least so many words; a shorter repeated line or phrase is left alone.
 MIN_RUN = 12
 #: Rows up to which a set of numbers is broadcast; beyond it it is shuffled.
 BROADCAST_KEYS = 1_000_000
-#: Contents in one band from which they are first dealt by the shingles that two similar ones must share.
-SPLIT_AT = 5_000
+#: Contents in one band from which they are dealt by the shingles of which two similar ones must share one.
+SPLIT_AT = 1_000
 
 _KEYS = [f"k{b}" for b in range(BANDS)]
 _OCCURRENCE = "doc_id long, text_key long, no int, start int, end int, n_words int, content long, " + ", ".join(f"{k} long" for k in _KEYS)
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else df
-
-
 def _prepared(docs: DataFrame) -> DataFrame:
     """doc_id, text and a hash that tells apart texts under one doc_id."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -63,19 +62,19 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges between similar contents of one band; the input is sorted by band."""
+    """Edges between similar contents of one group; the input is sorted by group."""
 
     def rows(edges: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     held: list[tuple[int, np.ndarray]] = []
-    band = None
+    group = None
     for batch in batches:
         edges: list[tuple[int, int]] = []
-        for key, content, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if key != band:
+        for band, part, content, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (band, part) != group:
                 edges += tree_edges(held)
-                held, band = [], key
+                held, group = [], (band, part)
             held.append((content, np.frombuffer(packed, "<u8")))
         yield rows(edges)
     yield rows(tree_edges(held))
@@ -83,17 +82,38 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def tree_edges(members: list[tuple[int, np.ndarray]], split: bool = True) -> list[tuple[int, int]]:
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, part, content, shingles): one part for ordinary bands, one for each leading shingle in crowded ones."""
+    for batch in batches:
+        rows, parts = [], []
+        columns = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
+        for i, (band, crowded, packed) in enumerate(zip(*columns, strict=True)):
+            shingles = np.frombuffer(packed, "<u8")
+            leading = band_last(shingles, band)[: int((1 - SIMILARITY) * len(shingles) + 1e-9) + 1] if crowded else None
+            mine = [0] if leading is None else leading.view(np.int64).tolist()
+            rows += [i] * len(mine)
+            parts += mine
+        at = pa.array(rows, pa.int64())
+        taken = [batch.column(0).take(at), pa.array(parts, pa.int64()), batch.column(2).take(at), batch.column(3).take(at)]
+        yield pa.RecordBatch.from_arrays(taken, ["band", "part", "content", "shingles"])
+
+
+def similar(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): edges that connect similar contents of a band; ``met`` has content, band, ``sets`` content, shingles."""
+    crowded = met.groupBy("band").count().filter(F.col("count") > SPLIT_AT).select("band", F.lit(True).alias("crowded"))
+    crowded, _ = stored(crowded, "crowded")
+    rows = met.join(bounded(crowded, BROADCAST_KEYS), "band", "left").join(sets, "content")
+    dealt = rows.select("band", "crowded", "content", "shingles").mapInArrow(
+        _dealt, "band long, part long, content long, shingles binary"
+    )
+    sorted_rows = dealt.repartition("band", "part").sortWithinPartitions("band", "part", "content")
+    return sorted_rows.mapInArrow(_similar, "a long, b long")
+
+
+def tree_edges(members: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the pairs of (content, shingles) whose Jaccard similarity is high enough."""
     if len(members) < 2:
         return []
-    if split and len(members) > SPLIT_AT:
-        # Similar sets share one of the first fifth (and one more) of their shingles in hash order.
-        groups: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for m in members:
-            for s in m[1][: int((1 - SIMILARITY) * len(m[1]) + 1e-9) + 1].tolist():
-                groups.setdefault(s, []).append(m)
-        return [e for g in groups.values() for e in tree_edges(g, split=False)]
     sizes = np.array([len(s) for _, s in members])
     flat, owner = np.concatenate([s for _, s in members]), np.repeat(np.arange(len(members)), sizes)
     order = np.argsort(flat, kind="stable")
@@ -118,7 +138,7 @@ def tree_edges(members: list[tuple[int, np.ndarray]], split: bool = True) -> lis
 
 def _shingles_of(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(content, shingles) of one occurrence of each content in ``spans``, read again from its text."""
-    ids = _bounded(spans.select(F.col("doc_id").alias("of")).distinct())
+    ids = bounded(spans.select(F.col("doc_id").alias("of")).distinct(), BROADCAST_KEYS)
     texts = _prepared(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
     grouped = spans.groupBy(F.col("doc_id").alias("of"), F.col("text_key").alias("of_key")).agg(
         F.collect_list(F.struct("content", "start", "end")).alias("spans")
@@ -149,19 +169,15 @@ def classes(docs: DataFrame) -> DataFrame:
     bands = every.select("content", F.explode(F.array(*_KEYS)).alias("band"))
     spread = bands.groupBy("band").agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low <> high").select("band")
     spread, _ = stored(spread, "bands")
-    met, _ = stored(bands.join(_bounded(spread), "band").distinct(), "met")
+    met, _ = stored(bands.join(bounded(spread, BROADCAST_KEYS), "band").distinct(), "met")
     repeated = every.groupBy("content").agg(F.count("*").alias("n")).filter("n > 1").select("content")
     wanted, _ = stored(repeated.union(met.select("content")).distinct(), "wanted")
-    some, _ = stored(every.drop(*_KEYS).join(_bounded(wanted), "content", "left_semi"), "some")
+    some, _ = stored(every.drop(*_KEYS).join(bounded(wanted, BROADCAST_KEYS), "content", "left_semi"), "some")
     first = some.join(met.select("content").distinct(), "content", "left_semi").groupBy("content").agg(
         F.min(F.struct("doc_id", "text_key", "no", "start", "end")).alias("o")
     )
     sets = _shingles_of(docs, first.select("content", "o.doc_id", "o.text_key", "o.start", "o.end"))
-    pairs = (
-        met.join(sets, "content").select("band", "content", "shingles")
-        .repartition("band").sortWithinPartitions("band", "content").mapInArrow(_similar, "a long, b long")
-    )
-    member = components(pairs).select(F.col("node").alias("content"), "root")
+    member = components(similar(met, sets)).select(F.col("node").alias("content"), "root")
     placed = some.join(member, "content", "left").withColumn("class", F.coalesce("root", "content")).drop("root")
     placed, _ = stored(placed, "placed")
     order = F.struct("doc_id", "no", "text_key")

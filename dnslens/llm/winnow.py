@@ -16,7 +16,7 @@ import string
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dnslens.llm.common import stored
+from dnslens.llm.common import bounded, stored
 
 SPAN, K = 10, 5
 #: Rows up to which the benchmark's kept hashes, and candidate document ids, are broadcast; beyond it they are shuffled.
@@ -53,11 +53,6 @@ def kept(df: DataFrame, span: int, columns: list[str]) -> DataFrame:
     return rows.select(*columns, "fp", (F.col("i") + place).alias("at"))
 
 
-def _bounded(df: DataFrame, bound: int) -> DataFrame:
-    """``df`` marked for broadcast if its rows are no more than ``bound``; otherwise Spark shuffles it."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items (sorted item ids as strings), spans.
 
@@ -83,7 +78,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         marks, _ = stored(marks, "marks")
         pairs = (
             kept(worded, span, ["doc_id"])
-            .join(_bounded(marks, BROADCAST_FINGERPRINTS), "fp")
+            .join(bounded(marks, BROADCAST_FINGERPRINTS), "fp")
             .select("doc_id", "item", (F.col("at") - F.col("item_at")).alias("shift"))
         )
         found = pairs if found is None else found.union(pairs)
@@ -101,7 +96,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found, _ = stored(found.distinct(), "candidates")
     ids = found.select("doc_id").distinct()
     ids, _ = stored(ids, "candidate-ids")
-    ids = _bounded(ids.withColumnRenamed("doc_id", "candidate"), BROADCAST_IDS)
+    ids = bounded(ids.withColumnRenamed("doc_id", "candidate"), BROADCAST_IDS)
     same = F.col("doc_id").eqNullSafe(F.col("candidate"))
     aligned = (
         found.join(items, "item")

@@ -210,16 +210,20 @@ def test_anchors_find_every_pair(spark):
     assert brute_components(fps, pairs) == brute_components(fps, got)
 
 
-def test_tree_links_of_large_groups(monkeypatch):
+def test_crowded_anchors_are_dealt(spark, monkeypatch):
     rng = random.Random(2)
     base = rng.getrandbits(64)
-    fps = np.array(sorted({base ^ sum(1 << i for i in rng.sample(range(64), 2)) for _ in range(300)}), np.uint64)
-    whole = {(int(a), int(b)) for x, y in simhash_anchors.tree_links(fps) for a, b in zip(x, y)}
-    monkeypatch.setattr(simhash_anchors, "SPLIT_AT", 10)
-    split = {(int(a), int(b)) for x, y in simhash_anchors.tree_links(fps, other_half=1) for a, b in zip(x, y)}
-    nodes = [int(f) for f in fps]
-    pairs = [(a, b) for a in nodes for b in nodes if a < b and (a ^ b).bit_count() <= 3 and any((a ^ b) >> 32 + 8 * k & 255 == 0 for k in range(4))]
-    assert len(whole) <= len(fps) and brute_components(nodes, split) == brute_components(nodes, pairs)
+    fps = sorted({base ^ sum(1 << i for i in rng.sample(range(64), rng.randint(1, 6))) for _ in range(400)})
+    pairs = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 3]
+    distinct = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long").repartition(4)
+    sizes = []
+    for limit in (simhash_anchors.SPLIT_AT, 10):
+        monkeypatch.setattr(simhash_anchors, "SPLIT_AT", limit)
+        got = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash_anchors.links(distinct).collect()]
+        assert all((a ^ b).bit_count() <= 3 for a, b in got)
+        assert brute_components(fps, pairs) == brute_components(fps, got)
+        sizes.append(simhash_anchors.groups(distinct).groupBy("anchor").count().agg(F.max("count")).first()[0])
+    assert sizes[1] < sizes[0]
 
 
 def test_top_k(spark, empty):
@@ -385,16 +389,20 @@ def test_substring_dedup(spark, odd, empty):
     assert all(w in kept for w in prose(102, 25).split() + prose(103, 90).split()[20:])
 
 
-def test_similar_contents_are_linked():
+def test_similar_contents_are_linked(spark, monkeypatch):
     rng = random.Random(4)
-    base = [rng.getrandbits(63) for _ in range(40)]
-    sets = [np.array(sorted(rng.sample(base, rng.randint(34, 40))), np.uint64) for _ in range(60)]
-    members = list(enumerate(sets))
-    pairs = [(i, j) for i in range(60) for j in range(i) if len(set(sets[i].tolist()) & set(sets[j].tolist())) >= 0.8 * len(set(sets[i].tolist()) | set(sets[j].tolist()))]
-    expected = brute_components(range(60), pairs)
-    assert brute_components(range(60), substring_dedup.tree_edges(members)) == expected
-    substring_dedup.SPLIT_AT, before = 5, substring_dedup.SPLIT_AT
-    try:
-        assert brute_components(range(60), substring_dedup.tree_edges(members)) == expected
-    finally:
-        substring_dedup.SPLIT_AT = before
+    base = sorted((rng.getrandbits(63) for _ in range(40)), key=lambda x: x * int(passages._ODD[12]) % (1 << 64))
+    # All share the shingle of the band's value, which so parts nothing.
+    sets = [np.array(sorted([base[0], *rng.sample(base[1:], rng.randint(33, 39))]), np.uint64) for _ in range(60)]
+    sets += [np.array([base[0]], np.uint64)] * 2
+    n = len(sets)
+    pairs = [(i, j) for i in range(n) for j in range(i) if len(set(sets[i].tolist()) & set(sets[j].tolist())) >= 0.8 * len(set(sets[i].tolist()) | set(sets[j].tolist()))]
+    expected = brute_components(range(n), pairs)
+    assert brute_components(range(n), substring_dedup.tree_edges(list(enumerate(sets)))) == expected
+    band = int((sets[0] * passages._ODD[12]).min().view(np.int64))
+    assert all(int((s * passages._ODD[12]).min().view(np.int64)) == band for s in sets)
+    met = spark.createDataFrame([(i, band) for i in range(n)], "content long, band long")
+    shingles = spark.createDataFrame([(i, s.astype("<u8").tobytes()) for i, s in enumerate(sets)], "content long, shingles binary")
+    for limit in (substring_dedup.SPLIT_AT, 5):
+        monkeypatch.setattr(substring_dedup, "SPLIT_AT", limit)
+        assert brute_components(range(n), [tuple(r) for r in substring_dedup.similar(met, shingles).collect()]) == expected
