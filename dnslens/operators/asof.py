@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dnslens.operators.scans import HOT_ROWS, running
+from dnslens.operators.scans import running
 
 
 def asof(
@@ -18,44 +18,25 @@ def asof(
     payload: Sequence[str],
     keys: Sequence[str] = (),
     *,
-    cell_us: int = 3_600_000_000,
-    hot_rows: int | None = HOT_ROWS,
-    tie: str = "query_id",
+    cell_us: int = 1_000_000,
 ) -> DataFrame:
     """Add ``payload`` of the last ``right`` row with right_t <= left_t (same ``keys``).
 
-    Both sides are put on one timeline and scanned in chunks; a right row at the same
-    instant counts. ``right`` must be unique per (keys, right_t); null keys find nothing.
+    The distinct instants of the left side and the right rows form one timeline, which is
+    scanned in cells; what is found is joined back on the instant. Only keys and times of
+    the log go through the scan, and a burst on one instant is one row of it. ``right`` must
+    be unique per (keys, right_t); null keys and times find nothing.
     """
     keys = list(keys)
-    body = F.struct(*[c for c in left.columns if c not in keys])
+    at = "instant of the lookup"
     data = F.struct(*payload)
-    # Right rows sort first at equal times: their tie is below every id.
-    r = right.select(
-        *keys, F.col(right_t).alias("at"), F.lit(-1).cast("long").alias("tie"), data.alias("right_row"),
-        F.lit(None).cast(left.select(body.alias("b")).schema["b"].dataType).alias("left_row"),
-    )
-    rows = left.select(
-        *keys, F.col(left_t).alias("at"), F.col(tie).cast("long").alias("tie"),
-        F.lit(None).cast(r.schema["right_row"].dataType).alias("right_row"), body.alias("left_row"),
-    )
-    have_keys = rows
-    for k in keys:
-        have_keys = have_keys.filter(F.col(k).isNotNull())
-    line = r.unionByName(have_keys)
-    found = running(line, keys, "at", ["tie"], lasts={"found": F.col("right_row")}, cell=cell_us, hot_rows=hot_rows)
-    out = found.filter(F.col("left_row").isNotNull()).select(
-        *keys, "left_row.*", *[F.col(f"found.{c}").alias(c) for c in payload]
-    )
-    if keys:
-        cond = F.lit(False)
-        for k in keys:
-            cond = cond | F.col(k).isNull()
-        missed = rows.filter(cond).select(
-            *keys, "left_row.*", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in payload]
-        )
-        out = out.unionByName(missed)
-    return out
+    asked = left.select(*keys, F.col(left_t).alias(at), F.lit(None).cast(right.select(data.alias("d")).schema["d"].dataType).alias("row"))
+    line = asked.union(right.select(*keys, F.col(right_t).alias(at), data.alias("row"))).dropna(subset=[*keys, at])
+    line = line.groupBy(*keys, at).agg(F.max("row").alias("row"))
+    found = running(line, keys, at, lasts={"found": F.col("row")}, cell=cell_us).select(*keys, at, "found")
+    kept = [c for c in left.columns if c not in payload]
+    back = left.select(*kept).withColumn(at, F.col(left_t)).join(found, [*keys, at], "left")
+    return back.select(*kept, *[F.col(f"found.{c}").alias(c) for c in payload])
 
 
 def _published(snap: DataFrame) -> DataFrame:

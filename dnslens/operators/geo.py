@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dnslens.functions.netaddr import address_parts_sql, mask_hi_sql, mask_lo_sql, masks, normalise_cidrs
-
-#: A prefix table up to this many rows is broadcast (about 10 MB).
-BROADCAST_ROWS = 200_000
+from dnslens.functions.netaddr import address_parts_sql, mask_hi_sql, mask_lo_sql, normalise_cidrs
 
 
 def region_lpm(
@@ -20,49 +15,30 @@ def region_lpm(
     family: str = "client_family",
     hi: str = "client_hi",
     lo: str = "client_lo",
-    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Add the region of the longest configured prefix containing the address.
 
-    One equi-join per distinct (family, length) on the masked address replaces the range
-    join. A small prefix table is broadcast; a larger one is matched against the distinct
-    addresses only, and the result joined back, so the log is never shuffled per length.
+    Every distinct address is masked to each length that is configured for its family, and
+    one equi-join on the masked address replaces the range join; what is found is joined
+    back. Spark decides which sides are small. A prefix listed twice has its least region;
+    an existing column ``out`` is replaced, and the new one comes last.
     """
     nets = normalise_cidrs(cidrs, "cidr", "net").filter("net IS NOT NULL").selectExpr("region", "net.*")
-    head = nets.limit(broadcast_rows + 1).toArrow()
-    if head.num_rows <= broadcast_rows:
-        best: dict[tuple, str] = {}
-        for row in head.to_pylist():
-            net = (row["family"], row["plen"], row["net_hi"], row["net_lo"])
-            best[net] = min(row["region"], best.get(net, row["region"]))
-        spark = q.sparkSession
-        lengths = sorted({(f, p) for f, p, _, _ in best}, key=lambda x: (-x[1], x[0]))
-        tables = []
-        for length in lengths:
-            rows = [(h, l, r) for (f, p, h, l), r in best.items() if (f, p) == length]
-            columns = dict(zip(("net_hi", "net_lo", "region"), map(list, zip(*rows))))
-            tables.append(F.broadcast(spark.createDataFrame(pa.table(columns))))
-        return _match(q, lengths, tables, out, family, hi, lo)
-    nets = nets.groupBy("family", "net_hi", "net_lo", "plen").agg(F.min("region").alias("region"))
-    # At most 33 + 129 lengths exist.
-    lengths = [(r["family"], r["plen"]) for r in nets.select("family", "plen").distinct().collect()]
-    lengths.sort(key=lambda x: (-x[1], x[0]))
-    tables = [nets.filter((F.col("family") == f) & (F.col("plen") == p)) for f, p in lengths]
-    found = _match(q.select(family, hi, lo).distinct(), lengths, tables, out, family, hi, lo)
-    kept = [c for c in q.columns if c != out]
-    return q.select(*kept).join(found, [family, hi, lo], "left").select(*kept, out)
-
-
-def _match(q, lengths, tables, out, family, hi, lo) -> DataFrame:
-    df = q
-    for n, ((fam, plen), nets) in enumerate(zip(lengths, tables)):
-        m_hi, m_lo = masks(fam, plen)
-        part = nets.selectExpr(f"net_hi AS __h{n}", f"net_lo AS __l{n}", f"region AS __r{n}")
-        on = f"`{family}` = '{fam}' AND (`{hi}` & {m_hi}L) = __h{n} AND (`{lo}` & {m_lo}L) = __l{n}"
-        df = df.join(part, F.expr(on), "left")
-    picks = ", ".join(f"__r{n}" for n in range(len(lengths)))
-    region = f"coalesce({picks})" if len(lengths) > 1 else (picks or "cast(null AS STRING)")
-    return df.selectExpr(*[f"`{c}`" for c in q.columns if c != out], f"{region} AS `{out}`")
+    nets = nets.groupBy("family", "plen", "net_hi", "net_lo").agg(F.min("region").alias("__found"))
+    # Two families have 33 + 129 lengths at most.
+    lengths = F.broadcast(nets.select("family", "plen").distinct())
+    asked = q.selectExpr(f"`{family}` AS family", f"`{hi}` AS hi", f"`{lo}` AS lo").distinct()
+    masked = asked.join(lengths, "family").selectExpr(
+        "family", "hi", "lo", "plen",
+        f"hi & {mask_hi_sql('family', 'plen')} AS net_hi", f"lo & {mask_lo_sql('family', 'plen')} AS net_lo",
+    )
+    found = masked.join(nets, ["family", "plen", "net_hi", "net_lo"]).groupBy("family", "hi", "lo").agg(
+        F.max_by("__found", "plen").alias("__found")
+    )
+    found = found.selectExpr("family AS __family", "hi AS __hi", "lo AS __lo", "__found")
+    on = F.expr(f"`{family}` = __family AND `{hi}` = __hi AND `{lo}` = __lo")
+    kept = [F.col(f"`{c}`") for c in q.columns if c != out]
+    return q.join(found, on, "left").select(*kept, F.col("__found").alias(out))
 
 
 def region_ecs(q: DataFrame, cidrs: DataFrame, trust: bool = False, plen: int = 24, out: str = "region") -> DataFrame:

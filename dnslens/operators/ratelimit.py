@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dnslens.functions.netaddr import client_prefix
 from dnslens.operators.folds import chunked_fold
-from dnslens.operators.scans import HOT_ROWS, running
+from dnslens.operators.scans import TIE_SPAN, running
 
 
 def bucket_fold(rate: float, burst: float, bin_us: int):
@@ -58,7 +58,6 @@ def rate_limit(
     burst: float,
     bin_us: int = 100_000,
     action: str = "drop",
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Add ``allowed`` and ``action`` per query.
 
@@ -72,7 +71,7 @@ def rate_limit(
     counts = q.groupBy("worker_id", "prefix", "bin").agg(F.count("*").alias("n"))
     allowance = bin_allowance(counts, rate, burst, bin_us).drop("n")
     keys = ["worker_id", "prefix", "bin"]
-    ranked = running(q, keys, "arrival_us", ["query_id"], sums={"pos": F.lit(1)}, cell=bin_us, hot_rows=hot_rows)
+    ranked = running(q, keys, "arrival_us", ["query_id"], sums={"pos": F.lit(1)}, cell=bin_us, tie_span=TIE_SPAN)
     out = ranked.join(allowance.withColumnRenamed("allowed", "quota"), keys, "left")
     ok = F.col("pos") <= F.col("quota")
     return out.withColumn("allowed", ok).withColumn("action", F.when(~ok, F.lit(action))).drop("pos", "quota", "bin")

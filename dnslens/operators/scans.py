@@ -3,28 +3,28 @@
 A running sum or "last known value" over a hot key (few backends, two workers, or no
 key at all) would sort all of its rows in one task. Both are associative, so rows are
 cut into chunks: each chunk is scanned on its own, one total per chunk is carried
-through a small table, and the carry is joined back on the chunk key - the rows are
+through small tables, and the carry is joined back on the chunk key - the rows are
 shuffled once for the window and the join together.
 
-Chunks are time cells. A cell that holds more than ``hot_rows`` rows is cut into finer
-time slices, and a slice that is still too large into exact instants and ranges of the
-tie-breaking id, so that even a burst on one instant is spread.
+The chunk key is the same at every size: a time cell, or, where many rows may share one
+instant, that instant and a range of the tie-breaking id. Chunk totals are carried level
+by level (chunks in a cell, cells in a block, blocks of a key), so their number is no
+burden on one task either.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows a single chunk may hold before it is split further.
-HOT_ROWS = 4_000_000
-
-#: Ids per chunk of a split instant.
+#: Ids per chunk of an instant.
 TIE_SPAN = 65_536
 
+#: Cells per block.
+BLOCK = 4_096
+
 
 def running(
     df: DataFrame,
@@ -36,7 +36,7 @@ def running(
     lasts: Mapping[str, Column] | None = None,
     before: Mapping[str, Column] | None = None,
     cell: int,
-    hot_rows: int | None = None,
+    tie_span: int | None = None,
 ) -> DataFrame:
     """Add running values over rows ordered by (t, tie) inside ``keys``.
 
@@ -44,20 +44,22 @@ def running(
     ``lasts``  last non-null value up to and including the row;
     ``before`` last non-null value strictly before the row.
 
-    ``t`` is a long, ``cell`` is in its unit. Keys must not be null. With ``hot_rows``
-    the cell sizes are counted first (one job over key and time only); (keys, t, tie)
-    must then be unique and ``tie`` a single number.
+    ``t`` is a long, ``cell`` is in its unit. Keys must not be null. One task sorts the rows
+    of one key and cell: choose ``cell`` so that they fit (a second of distinct microseconds
+    has a million at most). Where rows of one key may pile up on an instant, give
+    ``tie_span``: ``tie`` must then be one number, and a task sorts no more ids than that.
     """
     sums, lasts, before = dict(sums or {}), dict(lasts or {}), dict(before or {})
     keys = list(keys)
     order = [t, *tie]
     keep = [c for c in df.columns if not c.startswith("__")]
-
-    df = df.withColumn("__cell", F.expr(f"floor(`{t}` / {cell})"))
-    extra: list[str] = []
-    if hot_rows is not None:
-        df, extra = _split_hot_cells(df, keys, t, tie, cell, hot_rows)
-    chunk = [*keys, "__cell", *extra]
+    if tie_span is None:
+        df, place, widths = df.withColumn("__cell", F.expr(f"floor(`{t}` / {cell})")), ["__cell"], [BLOCK]
+    else:
+        (one,) = tie
+        df = df.withColumn("__at", F.col(t)).withColumn("__ids", F.expr(f"floor(`{one}` / {tie_span})"))
+        place, widths = ["__at", "__ids"], [cell, BLOCK]
+    chunk = [*keys, *place]
 
     within = Window.partitionBy(*chunk).orderBy(*order)
     upto = within.rowsBetween(Window.unboundedPreceding, 0)
@@ -69,23 +71,10 @@ def running(
         *[F.last(c, ignorenulls=True).over(earlier).alias(f"__v_{n}") for n, c in before.items()],
     )
 
-    rank = F.struct(*order)
     carried = {**lasts, **before}
-    totals = df.groupBy(*chunk).agg(
-        *[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()],
-        *[F.max_by(c, F.when(c.isNotNull(), rank)).alias(f"__t_{n}") for n, c in carried.items()],
-    )
-    # One row per chunk: a key has as many as its time span has cells.
-    chain = (
-        Window.partitionBy(*(keys or [F.lit(0)]))
-        .orderBy("__cell", *extra)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carry = totals.select(
-        *chunk,
-        *[F.sum(f"__t_{n}").over(chain).alias(f"__c_{n}") for n in sums],
-        *[F.last(f"__t_{n}", ignorenulls=True).over(chain).alias(f"__c_{n}") for n in carried],
-    )
+    totals = _totals(df, chunk, sums, carried, order)
+    carry = _earlier(totals, keys, place, list(sums), list(carried), widths)
+    carry = carry.select(*chunk, *[F.col(f"__b_{n}").alias(f"__c_{n}") for n in (*sums, *carried)])
     return local.join(carry, chunk, "left").selectExpr(
         *[f"`{c}`" for c in keep],
         *[f"coalesce(`__v_{n}`, 0) + coalesce(`__c_{n}`, 0) AS `{n}`" for n in sums],
@@ -93,37 +82,39 @@ def running(
     )
 
 
-def _split_hot_cells(
-    df: DataFrame, keys: list[str], t: str, tie: Sequence[str], cell: int, hot_rows: int
-) -> tuple[DataFrame, list[str]]:
-    """Cut cells with more than ``hot_rows`` rows; returns the frame and the new chunk columns."""
-    sizes = df.groupBy(*keys, "__cell").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows)
-    # At most (rows / hot_rows) cells qualify - a few megabytes even for 10^12 rows - so
-    # listing and broadcasting them is bounded by construction.
-    hot = sizes.withColumn("__slices", F.expr(f"4 * ceil(__n / {hot_rows})")).drop("__n").toArrow()
-    if hot.num_rows == 0:
-        return df, []
-    spark = df.sparkSession
-    df = df.join(F.broadcast(spark.createDataFrame(hot)), [*keys, "__cell"], "left").withColumn(
-        "__slice",
-        F.expr(f"coalesce(floor((`{t}` - __cell * {cell}) * __slices / {cell}), 0)"),
+def _totals(df: DataFrame, group: list[str], sums: Mapping[str, Column], carried: Mapping[str, Column], order: list[str]) -> DataFrame:
+    """Per group the sums and the last non-null values, as columns ``__t_<name>``."""
+    rank = F.struct(*order)
+    return df.groupBy(*group).agg(
+        *[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()],
+        *[F.max_by(c, F.when(c.isNotNull(), rank)).alias(f"__t_{n}") for n, c in carried.items()],
     )
-    bursts = (
-        df.filter("__slices IS NOT NULL")
-        .groupBy(*keys, "__cell", "__slice")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .filter(F.col("__n") > hot_rows)
-        .drop("__n")
-        .toArrow()
+
+
+def _earlier(totals: DataFrame, keys: list[str], place: list[str], sums: list[str], carried: list[str], widths: list[int]) -> DataFrame:
+    """Add ``__b_<name>``, what the rows before each one of its key add up to, for every ``__t_<name>``.
+
+    Rows are ordered by ``place``; groups of ``widths[0]`` places are scanned on their own,
+    and their totals the same way with the other widths.
+    """
+    group = f"__g{len(widths)}"
+    level = totals.withColumn(group, F.expr(f"floor(`{place[0]}` / {widths[0]})") if widths else F.lit(0))
+    upto = Window.partitionBy(*keys, group).orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    level = level.select(
+        "*",
+        *[F.sum(f"__t_{n}").over(upto).alias(f"__b_{n}") for n in sums],
+        *[F.last(f"__t_{n}", ignorenulls=True).over(upto).alias(f"__b_{n}") for n in carried],
     )
-    if bursts.num_rows == 0 or len(tie) != 1:
-        return df.drop("__slices"), ["__slice"]
-    burst = spark.createDataFrame(bursts.append_column("__burst", pa.array([True] * bursts.num_rows)))
-    df = df.join(F.broadcast(burst), [*keys, "__cell", "__slice"], "left")
-    df = df.withColumn("__at", F.expr(f"CASE WHEN __burst THEN `{t}` ELSE 0L END")).withColumn(
-        "__ids", F.expr(f"CASE WHEN __burst THEN floor(`{tie[0]}` / {TIE_SPAN}) ELSE 0L END")
+    if not widths:
+        return level
+    above = _totals(level, [*keys, group], *[{n: F.col(f"__t_{n}") for n in names} for names in (sums, carried)], place)
+    above = _earlier(above, keys, [group], sums, carried, widths[1:])
+    above = above.select(*keys, group, *[F.col(f"__b_{n}").alias(f"__u_{n}") for n in (*sums, *carried)])
+    return level.join(above, [*keys, group]).selectExpr(
+        *[f"`{c}`" for c in totals.columns],
+        *[f"coalesce(`__b_{n}`, 0) + coalesce(`__u_{n}`, 0) AS `__b_{n}`" for n in sums],
+        *[f"coalesce(`__b_{n}`, `__u_{n}`) AS `__b_{n}`" for n in carried],
     )
-    return df.drop("__slices", "__burst"), ["__slice", "__at", "__ids"]
 
 
 def run_lengths(

@@ -36,7 +36,10 @@ def window_rates(t: DataFrame, period_us: int = 100_000, keys: Sequence[str] = (
 def counter_delta(
     t: DataFrame, keys: Sequence[str], counters: Sequence[str], t_us: str = "t_us", cell_us: int = 3_600_000_000
 ) -> DataFrame:
-    """Increments of cumulative counters; a decrease means a restart, so the value counts."""
+    """Increments of cumulative counters; a decrease means a restart, so the value counts.
+
+    For binned counters: one task sorts the bins of one key and cell.
+    """
     prev = running(t, keys, t_us, before={f"p_{c}": F.col(c) for c in counters}, cell=cell_us)
     deltas = [
         F.when(F.col(f"p_{c}").isNull() | (F.col(c) < F.col(f"p_{c}")), F.col(c))
@@ -151,11 +154,11 @@ def metric_samples(t: DataFrame, name: str, labels: Sequence[str], value: Column
     )
 
 
-def inflight(done: DataFrame, keys: Sequence[str], cell_us: int = 3_600_000_000) -> DataFrame:
+def inflight(done: DataFrame, keys: Sequence[str], cell_us: int = 1_000_000) -> DataFrame:
     """Inflight count after every instant at which it changes.
 
     +1 at send, -1 at the response or, without one, at the deadline. Changes at one
-    instant are summed before the running sum.
+    instant are summed before the running sum, so a cell of a second has a million rows at most.
     """
     end = F.coalesce(F.col("recv_us"), F.col("deadline_us"))
     steps = F.array(
@@ -169,7 +172,7 @@ def inflight(done: DataFrame, keys: Sequence[str], cell_us: int = 3_600_000_000)
 
 
 def inflight_at_send(
-    done: DataFrame, backends: Sequence[str], keys: Sequence[str] = ("worker_id",), cell_us: int = 3_600_000_000
+    done: DataFrame, backends: Sequence[str], keys: Sequence[str] = ("worker_id",), cell_us: int = 1_000_000
 ) -> DataFrame:
     """For each attempt, the inflight count per backend just before it is sent.
 

@@ -274,6 +274,39 @@ def j1(spark, sf):
     return v.queries_with_region(spark, sf).select("query_id", "region")
 
 
+# Nested IPv6 prefixes, one per part, and clients in the same networks.
+_V6_GROUP = "CASE {k} % 3 WHEN 0 THEN 0 WHEN 1 THEN {k} {div} 3 % 256 * 256 ELSE {k} {div} 3 % 256 * 256 + {k} % 4 END"
+_V6_LEN = "CASE {k} % 3 WHEN 0 THEN 48 WHEN 1 THEN 56 ELSE 64 END"
+
+
+@query(
+    "j1_region_lpm_v6",
+    sql(
+        "",
+        "SELECT c.event_id AS query_id, coalesce(l.region, m.region, s.region) AS region FROM c "
+        "LEFT JOIN n l ON l.plen = 64 AND l.a = c.a AND l.b = c.b "
+        "LEFT JOIN n m ON m.plen = 56 AND m.a = c.a AND m.b = c.b // 256 * 256 "
+        "LEFT JOIN n s ON s.plen = 48 AND s.a = c.a",
+        n=f"SELECT {_V6_LEN.format(k='p_partkey')} AS plen, p_partkey % 61 AS a, {_V6_GROUP.format(k='p_partkey', div='//')} AS b, "
+        "min('r' || (p_partkey % 97)) AS region FROM part GROUP BY 1, 2, 3",
+        c="SELECT event_id, user_id % 64 AS a, event_id // 8 % 256 * 256 + event_id % 8 AS b FROM events",
+    ),
+)
+def j1_v6(spark, sf):
+    """IPv6 clients of the event log against one nested prefix per part."""
+    group = _V6_GROUP.format(k="p_partkey", div="div")
+    cidrs = v.table(spark, sf, "part").selectExpr(
+        "concat('r', p_partkey % 97) AS region",
+        f"concat('2001:db8:', lower(hex(p_partkey % 61)), ':', lower(hex({group})), '::/', {_V6_LEN.format(k='p_partkey')}) AS cidr",
+    )
+    clients = v.table(spark, sf, "events").selectExpr(
+        "event_id AS query_id",
+        "concat('2001:db8:', lower(hex(user_id % 64)), ':', lower(hex(event_id div 8 % 256 * 256 + event_id % 8)), '::', lower(hex(event_id % 4096 + 1))) AS client",
+    )
+    q = normalise_addresses(clients, "client", "client")
+    return geo.region_lpm(q, cidrs).select("query_id", "region")
+
+
 @query(
     "j2_region_ecs",
     sql(

@@ -106,16 +106,14 @@ def test_user_policy_can_be_registered(spark):
         policies.make("nope")
 
 
-def test_longest_prefix_wins_small_and_large(spark):
+def test_longest_prefix_wins(spark):
     q = spark.createDataFrame(
         [(1, "v4", 0, 10 << 24), (2, "v4", 0, (10 << 24) + (1 << 16)), (3, "v4", 0, 5), (4, "v6", 0, 10 << 24)],
         "query_id long, client_family string, client_hi long, client_lo long",
     )
     nets = spark.createDataFrame([("wide", "10.0.0.0/8"), ("narrow", "10.1.0.0/16"), ("six", "2001:db8::/32"), ("bad", "x/1")], "region string, cidr string")
     want = {1: "wide", 2: "narrow", 3: None, 4: None}
-    for limit in (200_000, 0):
-        got = {r["query_id"]: r["region"] for r in geo.region_lpm(q, nets, broadcast_rows=limit).collect()}
-        assert got == want
+    assert {r["query_id"]: r["region"] for r in geo.region_lpm(q, nets).collect()} == want
 
 
 def test_correlation_edges(spark):
@@ -234,7 +232,7 @@ def test_token_bucket(spark, rate, burst):
         t = rng.randrange(0, 200_000_000) if not flood else rng.randrange(90_000_000, 140_000_000)
         rows.append((i, t, 0, "x" if flood else rng.choice("xy")))
     q = spark.createDataFrame(rows, "query_id long, arrival_us long, worker_id int, prefix string")
-    got = ratelimit.rate_limit(q, rate, burst, 100_000, "refused", hot_rows=200).collect()
+    got = ratelimit.rate_limit(q, rate, burst, 100_000, "refused").collect()
     assert len(got) == 3000
     by_key = defaultdict(list)
     for r in got:
@@ -298,17 +296,20 @@ def test_pick_arrays_agree(spark):
     assert a.exceptAll(b).count() == 0
 
 
-def test_region_lpm_is_one_operator_on_both_sides_of_the_size_check(spark):
+def test_region_lpm_replaces_a_region_and_keeps_rows(spark):
     from dnslens.operators.geo import region_lpm
 
-    cidrs = spark.createDataFrame([("a", "10.0.0.0/8"), ("b", "10.7.0.0/16"), ("c", "10.7.3.0/24")], "region string, cidr string")
-    q = spark.createDataFrame(
-        [(1, "old", 4, 0, 0x0A070309), (2, None, 4, 0, 0x0A080000), (3, "old", 4, 0, 0x0B000000), (4, "x", None, None, None)],
-        "id int, region string, client_family int, client_hi long, client_lo long",
-    ).withColumn("client_family", F.when(F.col("client_family") == 4, "ipv4"))
-    small, large = region_lpm(q, cidrs), region_lpm(q, cidrs, broadcast_rows=0)
-    assert small.columns == large.columns and len(set(large.columns)) == len(large.columns)
-    assert sorted(small.collect(), key=str) == sorted(large.collect(), key=str)
+    listed = [("a", "10.0.0.0/8"), ("b", "10.7.0.0/16"), ("d", "10.7.3.0/24"), ("c", "10.7.3.0/24"), ("all", "::/0"), ("one", "::9/128")]
+    cidrs = spark.createDataFrame(listed, "region string, cidr string")
+    rows = [
+        (1, "old", "v4", 0, 0x0A070309), (1, "old", "v4", 0, 0x0A070309), (2, None, "v4", 0, 0x0A080000),
+        (3, "old", "v4", 0, 0x0B000000), (4, "x", None, None, None), (5, "x", "v6", 0, 9), (6, "x", "v6", -1, -1),
+    ]
+    q = spark.createDataFrame(rows, "id int, region string, client_family string, client_hi long, client_lo long")
+    out = region_lpm(q, cidrs)
+    assert out.columns == ["id", "client_family", "client_hi", "client_lo", "region"]
+    assert sorted((r.id, r.region or "") for r in out.collect()) == [(1, "c"), (1, "c"), (2, "a"), (3, ""), (4, ""), (5, "one"), (6, "all")]
+    assert region_lpm(q, cidrs.filter("false")).filter("region IS NULL").count() == len(rows)
 
 
 def test_bounds_are_rejected_not_applied_silently(spark):

@@ -29,13 +29,14 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize("hot_rows", [None, 100, 10_000])
-def test_running(spark, rows, hot_rows, monkeypatch):
-    monkeypatch.setattr("dnslens.operators.scans.TIE_SPAN", 128)
+@pytest.mark.parametrize("tie_span", [None, 128])
+@pytest.mark.parametrize("cell", [700, 20_000])
+def test_running(spark, rows, cell, tie_span, monkeypatch):
+    monkeypatch.setattr("dnslens.operators.scans.BLOCK", 5)
     df = spark.createDataFrame(rows, "k string, t long, id long, x long, n long")
     got = running(
         df, ["k"], "t", ["id"], sums={"s": F.col("n"), "rank": F.lit(1)}, lasts={"l": F.col("x")},
-        before={"b": F.col("x")}, cell=20_000, hot_rows=hot_rows,
+        before={"b": F.col("x")}, cell=cell, tie_span=tie_span,
     ).toPandas()
     want = pd.DataFrame(rows, columns=["k", "t", "id", "x", "n"]).sort_values(["k", "t", "id"])
     want["s"] = want.groupby("k")["n"].cumsum()
@@ -49,18 +50,6 @@ def test_running(spark, rows, hot_rows, monkeypatch):
         pd.testing.assert_series_equal(got[c].astype(float), want[c].astype(float), check_names=False)
 
 
-def test_hot_cells_are_split(spark, rows, monkeypatch):
-    monkeypatch.setattr("dnslens.operators.scans.TIE_SPAN", 128)
-    from dnslens.operators.scans import _split_hot_cells
-
-    df = spark.createDataFrame(rows, "k string, t long, id long, x long, n long")
-    df = df.withColumn("__cell", F.expr("floor(t / 20000)"))
-    split, extra = _split_hot_cells(df, ["k"], "t", ["id"], 20_000, 100)
-    largest = split.groupBy("k", "__cell", *extra).count().agg(F.max("count")).first()[0]
-    assert extra == ["__slice", "__at", "__ids"]
-    assert largest <= 128
-
-
 def test_run_lengths(spark):
     rng = random.Random(1)
     data = [(rng.choice("ab"), i, rng.choice([True, True, True, False, None])) for i in range(500)]
@@ -86,17 +75,18 @@ def test_bounded_windows(spark):
     pd.testing.assert_series_equal(got["p"].reset_index(drop=True), want["x"].shift(2), check_names=False)
 
 
-@pytest.mark.parametrize("hot_rows", [None, 50])
-def test_asof(spark, hot_rows):
+@pytest.mark.parametrize("cell", [7, 100])
+def test_asof(spark, cell):
     rng = random.Random(9)
     right = sorted(rng.sample(range(100, 1000), 40))
-    left = [(i, rng.choice([500, rng.randrange(1000)]), "r") for i in range(600)]
+    left = [(i, rng.choice([500, rng.randrange(1000)]), "r") for i in range(598)] + [(598, 700, None), (599, None, "r")]
     q = spark.createDataFrame(left, "query_id long, at_us long, region string")
     s = spark.createDataFrame([(t, t * 2, "r") for t in right], "pub long, v long, region string")
-    got = asof(q, s, "at_us", "pub", ["v"], ["region"], cell_us=100, hot_rows=hot_rows).collect()
+    got = asof(q, s, "at_us", "pub", ["v"], ["region"], cell_us=cell).collect()
     assert len(got) == 600
     for r in got:
-        want = max((t for t in right if t <= r["at_us"]), default=None)
+        known = r["region"] is not None and r["at_us"] is not None
+        want = max((t for t in right if t <= r["at_us"]), default=None) if known else None
         assert r["v"] == (None if want is None else want * 2)
 
 
