@@ -120,9 +120,30 @@ class MergeAutomaton:
         out.reverse()
         return out
 
-    def _ending(self, word: str, i: int, known: dict[int, tuple[int, int]]) -> int:
-        """The token that ends at ``i``; ``known`` gets it with its start. Only positions that matter are visited."""
-        trie, ends, arcs = self._trie, self._ends, self._arcs
+    def _ending(self, word: str, i: int, known: dict[int, tuple[int, int]]) -> None:
+        """Put the token that ends at ``i`` and its start into ``known``. Only positions that matter are visited."""
+        arcs = self._arcs
+        todo = [(i, self._candidates(word, i))]
+        while todo:
+            end, left = todo[-1]
+            if not left:
+                raise ValueError(f"symbol {word[end - 1]!r} is not in the vocabulary")
+            token, j = left[-1]
+            if j:
+                if j not in known:
+                    todo.append((j, self._candidates(word, j)))
+                    continue
+                before = known[j][0]
+                arc = arcs.get(before << 32 | token)
+                if not (arc or arc is None and self.has_arc(before, token)):
+                    left.pop()
+                    continue
+            known[end] = left[-1]
+            todo.pop()
+
+    def _candidates(self, word: str, i: int) -> list[tuple[int, int]]:
+        """The tokens spelled like what ends at ``i``, with their starts; the longest comes last."""
+        trie, ends = self._trie, self._ends
         node, j, found = 0, i, []
         while j:
             node = trie[node].get(word[j - 1])
@@ -132,17 +153,7 @@ class MergeAutomaton:
             token = ends[node]
             if token >= 0:
                 found.append((token, j))
-        for step in reversed(found):
-            token, j = step
-            if j == 0:
-                known[i] = step
-                return token
-            before = known[j][0] if j in known else self._ending(word, j, known)
-            arc = arcs.get(before << 32 | token)
-            if arc or arc is None and self.has_arc(before, token):
-                known[i] = step
-                return token
-        raise ValueError(f"symbol {word[i - 1]!r} is not in the vocabulary")
+        return found
 
 
 class Codec:

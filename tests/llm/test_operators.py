@@ -78,6 +78,13 @@ def test_automaton_is_the_library(library):
         assert tool.decode(ids).decode() == library.decode(expected.ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("letters", ["acgt", "a", "日本語漢字", "qzxj'é", "the"])
+def test_long_pieces_are_the_library(library, letters):
+    tool, rng = bpe_automaton.Codec(tokenizer_text()), random.Random(8)
+    for text in ((letters * 10_000)[:10_000], "".join(rng.choice(letters) for _ in range(10_000))):
+        assert tool.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_round_trip_rows(spark, odd, empty, library):
     rows = bpe_automaton.round_trip(odd).collect()
     assert len(rows) == odd.count() and bpe_automaton.round_trip(empty).count() == 0
