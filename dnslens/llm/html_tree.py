@@ -30,6 +30,8 @@ ASIDE_WORDS = frozenset(
     "comments disqus share sharing social related newsletter subscribe widget toolbar search complementary contentinfo".split()
 )
 BODY_TAGS = frozenset(("article", "main"))
+#: Never set aside for a class name.
+WHOLE_TAGS = BODY_TAGS | {"html", "body"}
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -42,14 +44,20 @@ _NAMES = re.compile(r"[^a-z0-9]+")
 
 
 class Page:
-    """Elements in page order (``label``, ``parent``, ``aside``, ``body``) and ``blocks``: (element, text)."""
+    """Elements in page order (``label``, ``parent``, ``aside``, ``body``) and ``blocks``: (element, text).
+
+    ``aside`` says what elements of ``ASIDE_TAGS`` hold. ``named`` is the innermost element at or above one that has a
+    word of ``ASIDE_WORDS``, or -1; elements of ``WHOLE_TAGS`` and those around an article have none.
+    """
 
     def __init__(self, source: str) -> None:
-        self.label, self.parent, self.aside, self.body = ["#"], [-1], [False], [False]
+        self.label, self.parent, self.aside, self.body, self.named = ["#"], [-1], [False], [False], [-1]
+        self._words: list[bool | None] = [None]
         self.blocks: list[tuple[int, str]] = []
         self._tags, self._open, self._text = ["#"], [0], []
         self._read(source)
         self._flush()
+        self._name()
 
     def _flush(self) -> None:
         if self._text:
@@ -58,17 +66,34 @@ class Page:
                 self.blocks.append((self._open[-1], text))
             self._text = []
 
+    def _name(self) -> None:
+        around: dict[int, bool] = {}  # elements around an article; whether one of them is ``main``
+        for e, tag in enumerate(self._tags):
+            main, up = tag == "main", self.parent[e]
+            if tag in BODY_TAGS and not self.aside[e]:
+                while up >= 0 and (up not in around or main and not around[up]):
+                    around[up] = main
+                    up = self.parent[up]
+        for e in range(1, len(self._tags)):
+            plain = self._words[e]
+            mine = plain is not None and self._tags[e] not in WHOLE_TAGS and (e not in around or plain and not around[e])
+            self.named.append(e if mine else self.named[self.parent[e]])
+
     def _push(self, tag: str, attributes: str) -> None:
         words: set[str] = set()
+        tokens: set[str] = set()
         name = tag
         if attributes and "=" in attributes:
             for kind, *values in _ATTRIBUTE.findall(attributes):
                 value = "".join(values).lower()
                 words.update(_NAMES.split(value))
+                tokens.update(value.split())
                 if kind.lower() == "class":
                     name += "." + ".".join(sorted(value.split()))
         top = self._open[-1]
-        aside = self.aside[top] or tag in ASIDE_TAGS or not words.isdisjoint(ASIDE_WORDS)
+        aside = self.aside[top] or tag in ASIDE_TAGS
+        # Around an article a word counts only as a whole name: "comments" may hold articles, "has-comments" says little.
+        self._words.append(None if words.isdisjoint(ASIDE_WORDS) else not tokens.isdisjoint(ASIDE_WORDS))
         self.label.append(re.sub(r"[;:\s]", "_", name))
         self._tags.append(tag)
         self.parent.append(top)

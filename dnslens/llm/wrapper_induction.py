@@ -29,7 +29,7 @@ BROADCAST_SKELETONS = 100_000
 
 _PARSED = (
     "page_id long, url string, host string, skeleton string, places array<int>, hashes array<long>, whole long, "
-    "nodes array<int>, texts array<string>, inside array<boolean>, marked boolean"
+    "nodes array<int>, texts array<string>, inside array<boolean>, named array<int>, spans array<array<int>>"
 )
 
 
@@ -105,7 +105,7 @@ def align(skeleton: str, wrapper: str) -> tuple[int, ...]:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """One row per page: its skeleton and blocks (node, text, not marked as aside, inside an article)."""
+    """One row per page: its skeleton and blocks (node, text, inside an article, number of the span named aside)."""
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),
@@ -115,8 +115,8 @@ def parsed(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(),
-                 pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.bool_()]
-        names = ["page_id", "url", "host", "skeleton", "places", "hashes", "whole", "nodes", "texts", "inside", "marked"]
+                 pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))]
+        names = ["page_id", "url", "host", "skeleton", "places", "hashes", "whole", "nodes", "texts", "inside", "named", "spans"]
         for batch in slices(batches, text="html"):
             made: list[list] = [[] for _ in types]
             for source in batch.column(3).to_pylist():
@@ -129,7 +129,11 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 
 def _page(source: str) -> list:
-    """Skeleton, nodes with text and the hash of each one's text, hash of the whole; then the blocks not set aside."""
+    """Skeleton, nodes with text and the hash of each one's text, hash of the whole; then the blocks not set aside by a tag.
+
+    Blocks below elements that a class name marks as aside have the number of their innermost one; its span is the first
+    block, from one, and the number of blocks.
+    """
     page = Page(source)
     skeleton, node = page.skeleton()
     text: dict[int, list[str]] = {}
@@ -140,7 +144,19 @@ def _page(source: str) -> list:
     whole = xxhash.xxh64_intdigest(repr((skeleton, hashes))) - (1 << 63)
     kept = [(e, t) for e, t in page.blocks if not page.aside[e]]
     inside = [page.body[e] for e, _ in kept]
-    return [skeleton, places, hashes, whole, [node[e] for e, _ in kept], [t for _, t in kept], inside, any(inside)]
+    # The blocks below an element follow one another.
+    first: dict[int, int] = {}
+    last: dict[int, int] = {}
+    for i, (e, _) in enumerate(kept, 1):
+        up = page.named[e]
+        while up >= 0:
+            first.setdefault(up, i)
+            last[up] = i
+            up = page.named[page.parent[up]]
+    number = {e: i for i, e in enumerate(first)}
+    named = [number.get(page.named[e], -1) for e, _ in kept]
+    spans = [[i, last[e] - i + 1] for e, i in first.items()]
+    return [skeleton, places, hashes, whole, [node[e] for e, _ in kept], [t for _, t in kept], inside, named, spans]
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,8 +228,20 @@ def extract(pages: DataFrame) -> DataFrame:
     template, _ = stored(induce(rows), "templates")
     few = template.limit(BROADCAST_SKELETONS + 1).count() <= BROADCAST_SKELETONS
     joined = rows.join(F.broadcast(template) if few else template, ["host", "skeleton"], "left")
-    kept = F.expr("""
-        filter(texts, (t, i) -> IF(marked, inside[i], NOT array_contains(coalesce(template, array()), nodes[i])))""")
+    # What a class name marks as aside goes, but for an element that holds most of the text that varies.
+    steps = {
+        "fixed": "transform(nodes, n -> array_contains(coalesce(template, array()), n))",
+        "mass": "transform(texts, (t, i) -> IF(fixed[i], 0L, CAST(length(t) AS long)))",
+        "half": "aggregate(mass, 0L, (a, x) -> a + x) / 2",
+        "goes": "transform(spans, s -> aggregate(slice(mass, s[0], s[1]), 0L, (a, x) -> a + x) < half)",
+        "stays": "transform(named, n -> n < 0 OR NOT goes[n])",
+        "marked": "exists(zip_with(inside, stays, (x, y) -> x AND y), x -> x)",
+    }
+    chosen = "filter(texts, (t, i) -> stays[i] AND IF(marked, inside[i], NOT fixed[i]))"
+    # Each step is bound to a variable: as columns they would be evaluated again for every block.
+    for name, step in reversed(steps.items()):
+        chosen = f"element_at(transform(array({step}), {name} -> {chosen}), 1)"
+    kept = F.expr(chosen)
     return joined.select(
         "page_id", "url", kept.alias("blocks"), F.size(F.coalesce("template", F.expr("cast(array() as array<int>)"))).alias("n_template")
     ).select(

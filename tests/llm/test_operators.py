@@ -359,6 +359,19 @@ def test_pages(spark):
     assert wrapper_induction.report(df.filter("false")).count() == 0
 
 
+def test_class_names_set_no_article_aside(spark):
+    text = prose(70, 60)
+    open_close = [("<body class='single has-sidebar'><article>", "</article>"), ("<div id='page' class='no-sidebar'><article>", "</article></div><div>other</div>"),
+                  ("<article class='post has-comments'>", "</article>"), ("<main class='site-main search'>", "</main>"),
+                  ("<div class=related><main>", "</main></div>"), ("<article id='share-prices'>", "</article>"), ("<div class='share-page'><p>", "</div><p>other")]
+    inner = "<p>%s</p><div class='comments'><article class='comment'>no</article></div><div class='share'>no</div><nav>no</nav>"
+    pages = [plain_page(i, a + inner % text + b, f"{i}.example") for i, (a, b) in enumerate(open_close)]
+    pages.append(plain_page(50, f"<div>{text}</div><div class=comments><article class=comment>no</article></div>", "z.example"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
+    got = {r.page_id: r.text for r in wrapper_induction.report(df).collect()}
+    assert got == {i: text for i in (0, 1, 2, 3, 4, 5, 50)} | {6: text + " other"}
+
+
 def test_alignment_matches_most_nodes():
     a, b = "-1:#;0:div;0:p;0:ul;3:li", "-1:#;0:p;0:nav;0:ul;3:li;3:a"
     assert wrapper_induction.align(a, b) == (0, -1, 1, 3, 4)
