@@ -5,8 +5,9 @@ together); the host's most frequent skeleton is its wrapper, and every other one
 matching. Over all pages of the host, counted without gathering them, a node whose text is constant (few distinct texts
 for many pages) belongs to the template; a node whose text varies is a slot. What is extracted are the slots' texts,
 less elements that HTML or their class names mark as menus, adverts, comments and the like. Where a page marks its
-article (``article``, ``main``), text outside goes and text inside stays whatever its neighbours hold, since copies of
-one article on several pages of a host make no template. A host with too few pages has its marks only.
+article (``article``, ``main``), text outside goes too. Copies and near copies of one article on several pages of a host
+make no template: a constant node inside it is one only if the rest of the article varies, of which the least shingle
+hash is counted. A host with too few pages has its marks only.
 """
 
 from __future__ import annotations
@@ -24,11 +25,13 @@ from dnslens.llm.html_tree import Page
 
 #: A template node has at least so many pages, and at most one distinct text for so many of them.
 MIN_PAGES, PAGES_PER_TEXT = 8, 3
+#: Inside an article, at least one article for so many of its pages: a change in a near copy moves its least hash at times.
+PAGES_PER_ARTICLE = 5
 #: Rows up to which the decisions for (host, skeleton) are broadcast; beyond it they are shuffled.
 BROADCAST_SKELETONS = 100_000
 
 _PARSED = (
-    "page_id long, url string, host string, skeleton string, places array<int>, hashes array<long>, whole long, "
+    "page_id long, url string, host string, skeleton string, places array<int>, hashes array<long>, least array<long>, whole long, "
     "nodes array<int>, texts array<string>, inside array<boolean>, named array<int>, spans array<array<int>>"
 )
 
@@ -114,9 +117,9 @@ def parsed(pages: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(),
+        types = [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(),
                  pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))]
-        names = ["page_id", "url", "host", "skeleton", "places", "hashes", "whole", "nodes", "texts", "inside", "named", "spans"]
+        names = ["page_id", "url", "host", "skeleton", "places", "hashes", "least", "whole", "nodes", "texts", "inside", "named", "spans"]
         for batch in slices(batches, text="html"):
             made: list[list] = [[] for _ in types]
             for source in batch.column(3).to_pylist():
@@ -129,7 +132,7 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 
 def _page(source: str) -> list:
-    """Skeleton, nodes with text and the hash of each one's text, hash of the whole; then the blocks not set aside by a tag.
+    """Skeleton, nodes with text, hash and least shingle hash (null outside articles) of each; hash of the whole; then the blocks not set aside by a tag.
 
     Blocks below elements that a class name marks as aside have the number of their innermost one; its span is the first
     block, from one, and the number of blocks.
@@ -137,10 +140,14 @@ def _page(source: str) -> list:
     page = Page(source)
     skeleton, node = page.skeleton()
     text: dict[int, list[str]] = {}
+    body: set[int] = set()
     for e, t in page.blocks:
         text.setdefault(node[e], []).append(t)
+        if page.body[e] and not page.aside[e]:
+            body.add(node[e])
     places = sorted(text)
     hashes = [xxhash.xxh64_intdigest("\n".join(text[n])) - (1 << 63) for n in places]
+    least = [_least("\n".join(text[n])) if n in body else None for n in places]
     whole = xxhash.xxh64_intdigest(repr((skeleton, hashes))) - (1 << 63)
     kept = [(e, t) for e, t in page.blocks if not page.aside[e]]
     inside = [page.body[e] for e, _ in kept]
@@ -156,21 +163,46 @@ def _page(source: str) -> list:
     number = {e: i for i, e in enumerate(first)}
     named = [number.get(page.named[e], -1) for e, _ in kept]
     spans = [[i, last[e] - i + 1] for e, i in first.items()]
-    return [skeleton, places, hashes, whole, [node[e] for e, _ in kept], [t for _, t in kept], inside, named, spans]
+    return [skeleton, places, hashes, least, whole, [node[e] for e, _ in kept], [t for _, t in kept], inside, named, spans]
+
+
+def _least(text: str) -> int:
+    """The least hash of three words in a row."""
+    words = text.encode().split()
+    return min(xxhash.xxh3_64_intdigest(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))) - (1 << 63)
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, places, hashes = [], [], []
+        hosts, places, hashes, within = [], [], [], []
         for row in batch.to_pylist():
             match = align(row["skeleton"], row["wrapper"])
-            for n, h in zip(row["nodes"], row["hashes"], strict=True):
+            for n, h, m in zip(row["nodes"], row["hashes"], row["least"], strict=True):
                 if match[n] >= 0:
                     hosts.append(row["host"])
                     places.append(match[n])
                     hashes.append(h)
+                    within.append(m is not None)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(hosts, pa.string()), pa.array(places, pa.int32()), pa.array(hashes, pa.int64()), pa.array(within, pa.bool_())],
+            ["host", "place", "hash", "within"],
+        )
+
+
+def _articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, place, article) of the constant places inside articles: the least hash of what is not constant there."""
+    for batch in batches:
+        hosts, places, articles = [], [], []
+        for row in batch.to_pylist():
+            match, constant = align(row["skeleton"], row["wrapper"]), set(row["places"])
+            inside = [(match[n], m) for n, m in zip(row["nodes"], row["least"], strict=True) if m is not None]
+            article = min((m for w, m in inside if w not in constant), default=None)
+            for w in {w for w, _ in inside if w in constant}:
+                hosts.append(row["host"])
+                places.append(w)
+                articles.append(article)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array(places, pa.int32()), pa.array(hashes, pa.int64())], ["host", "place", "hash"]
+            [pa.array(hosts, pa.string()), pa.array(places, pa.int32()), pa.array(articles, pa.int64())], ["host", "place", "article"]
         )
 
 
@@ -190,25 +222,37 @@ def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def induce(rows: DataFrame) -> DataFrame:
     """(host, skeleton, template): for each skeleton of a host the nodes that belong to the host's template."""
     seen, _ = stored(
-        rows.select("host", "skeleton", "places", "hashes", "whole")
+        rows.select("host", "skeleton", "places", "hashes", "least", "whole")
         # Pages that are copies of one another count once.
         .groupBy("host", "skeleton", "whole")
-        .agg(F.first("places").alias("nodes"), F.first("hashes").alias("hashes"), F.count("*").alias("n")),
+        .agg(F.first("places").alias("nodes"), F.first("hashes").alias("hashes"), F.first("least").alias("least"), F.count("*").alias("n")),
         "skeletons",
     )
     kinds, _ = stored(seen.groupBy("host", "skeleton").agg(F.sum("n").alias("n")), "kinds")
     wrappers = kinds.groupBy("host").agg(F.max_by("skeleton", F.struct("n", "skeleton")).alias("wrapper"))
+    matched = seen.select("host", "skeleton", "nodes", "hashes", "least").join(wrappers, "host")
     counted = (
-        seen.select("host", "skeleton", "nodes", "hashes")
-        .join(wrappers, "host")
-        .select("host", "skeleton", "wrapper", "nodes", "hashes")
-        .mapInArrow(_aligned, "host string, place int, hash long")
+        matched.select("host", "skeleton", "wrapper", "nodes", "hashes", "least")
+        .mapInArrow(_aligned, "host string, place int, hash long, within boolean")
         .groupBy("host", "place", "hash")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("n"), F.max("within").alias("within"))
         .groupBy("host", "place")
-        .agg(F.sum("n").alias("pages"), F.count("*").alias("texts"))
+        .agg(F.sum("n").alias("pages"), F.count("*").alias("texts"), F.max("within").alias("within"))
     )
     constant = counted.filter((F.col("pages") >= MIN_PAGES) & (F.col("texts") * PAGES_PER_TEXT <= F.col("pages")))
+    constant, _ = stored(constant, "constant")
+    doubted = constant.filter("within").groupBy("host").agg(F.collect_set("place").alias("places"))
+    articles = (
+        matched.join(doubted, "host")
+        .select("skeleton", "wrapper", "host", "nodes", "least", "places")
+        .mapInArrow(_articles, "host string, place int, article long")
+        .groupBy("host", "place", "article")
+        .agg(F.lit(1).alias("one"))
+        .groupBy("host", "place")
+        .agg(F.count("article").alias("articles"))
+    )
+    varied = F.expr(f"articles >= {MIN_PAGES} AND texts * {PAGES_PER_TEXT} <= articles AND articles * {PAGES_PER_ARTICLE} >= pages")
+    constant = constant.join(articles, ["host", "place"], "left").filter(~F.col("within") | varied)
     places = constant.groupBy("host").agg(F.array_sort(F.collect_list("place")).alias("places"))
     return (
         kinds.join(wrappers, "host")
@@ -237,7 +281,7 @@ def extract(pages: DataFrame) -> DataFrame:
         "stays": "transform(named, n -> n < 0 OR NOT goes[n])",
         "marked": "exists(zip_with(inside, stays, (x, y) -> x AND y), x -> x)",
     }
-    chosen = "filter(texts, (t, i) -> stays[i] AND IF(marked, inside[i], NOT fixed[i]))"
+    chosen = "filter(texts, (t, i) -> stays[i] AND NOT fixed[i] AND (inside[i] OR NOT marked))"
     # Each step is bound to a variable: as columns they would be evaluated again for every block.
     for name, step in reversed(steps.items()):
         chosen = f"element_at(transform(array({step}), {name} -> {chosen}), 1)"

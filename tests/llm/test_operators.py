@@ -359,6 +359,25 @@ def test_pages(spark):
     assert wrapper_induction.report(df.filter("false")).count() == 0
 
 
+def test_template_inside_marked_articles(spark):
+    def page(i, host, title, text):
+        notice = "<div class=box>Read more of this in our archive of old and new stories</div>"
+        return plain_page(i, f"<body><div>{prose(i, 5)}</div><article><h1>{title}</h1>{notice}<p>{text}</p><section>Ring 555</section></article>", host)
+
+    near = [prose(300, 80).split() for _ in range(40)]
+    for i, words in enumerate(near):
+        words[2 * i] = f"changed{i}"
+    pages = [page(i, "varied.example", prose(200 + i, 4), prose(i, 20)) for i in range(20)]
+    pages += [page(100 + i, "copies.example", "One title", prose(301, 30)) for i in range(20)]
+    pages += [page(200 + i, "near.example", "One title", " ".join(words)) for i, words in enumerate(near)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
+    got = {r.page_id: r.text for r in wrapper_induction.report(df).collect()}
+    whole = "One title Read more of this in our archive of old and new stories {} Ring 555"
+    assert all(got[i] == f"{prose(200 + i, 4)} {prose(i, 20)}" for i in range(20))
+    assert all(got[100 + i] == whole.format(prose(301, 30)) for i in range(20))
+    assert all(got[200 + i] == whole.format(" ".join(words)) for i, words in enumerate(near))
+
+
 def test_class_names_set_no_article_aside(spark):
     text = prose(70, 60)
     open_close = [("<body class='single has-sidebar'><article>", "</article>"), ("<div id='page' class='no-sidebar'><article>", "</article></div><div>other</div>"),
