@@ -9,6 +9,8 @@ first occurrence of a class stays, all others are removals.
 
 A band in which many contents meet is dealt before it is compared: of similar sets, the first fifth and one more of
 their shingles, in any common order, have one in common. The band's own shingle, which all share, comes last in it.
+Where many contents share such a shingle too, they are cut into blocks, and every pair of blocks is a group of its own;
+the components join what the groups link.
 
 Nothing is gathered per band, class or document before it has been aggregated: which bands have several contents and
 which contents recur are counted with partial aggregation, and only paragraphs that take part go on.
@@ -71,10 +73,10 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     group = None
     for batch in batches:
         edges: list[tuple[int, int]] = []
-        for band, part, content, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (band, part) != group:
+        for *key, content, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != group:
                 edges += tree_edges(held)
-                held, group = [], (band, part)
+                held, group = [], key
             held.append((content, np.frombuffer(packed, "<u8")))
         yield rows(edges)
     yield rows(tree_edges(held))
@@ -98,16 +100,35 @@ def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(taken, ["band", "part", "content", "shingles"])
 
 
-def similar(met: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): edges that connect similar contents of a band; ``met`` has content, band, ``sets`` content, shingles."""
+def groups(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """(band, part, low, high, content, shingles) of all that is to be compared.
+
+    Groups have up to about twice ``SPLIT_AT`` contents: ``low`` and ``high`` are two blocks of a part that has more.
+    """
     crowded = met.groupBy("band").count().filter(F.col("count") > SPLIT_AT).select("band", F.lit(True).alias("crowded"))
     crowded, _ = stored(crowded, "crowded")
     rows = met.join(bounded(crowded, BROADCAST_KEYS), "band", "left").join(sets, "content")
-    dealt = rows.select("band", "crowded", "content", "shingles").mapInArrow(
-        _dealt, "band long, part long, content long, shingles binary"
-    )
-    sorted_rows = dealt.repartition("band", "part").sortWithinPartitions("band", "part", "content")
-    return sorted_rows.mapInArrow(_similar, "a long, b long")
+
+    def dealt(some: DataFrame) -> DataFrame:
+        return some.select("band", "crowded", "content", "shingles").mapInArrow(
+            _dealt, "band long, part long, content long, shingles binary"
+        )
+
+    sizes = dealt(rows.filter("crowded")).groupBy("band", "part").count().filter(F.col("count") > SPLIT_AT)
+    blocks, _ = stored(sizes.select("band", "part", F.ceil(F.col("count") / SPLIT_AT).cast("long").alias("blocks")), "blocks")
+    own = "pmod(xxhash64(content), blocks)"
+    pairs = f"transform(sequence(0L, blocks - 1), k -> struct(least({own}, k) AS low, greatest({own}, k) AS high))"
+    return (
+        dealt(rows).join(bounded(blocks, BROADCAST_KEYS), ["band", "part"], "left")
+        .withColumn("pair", F.explode(F.expr(f"IF(blocks IS NULL, array(struct(0L AS low, 0L AS high)), {pairs})")))
+        .select("band", "part", "pair.low", "pair.high", "content", "shingles")
+    )
+
+
+def similar(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): edges that connect similar contents of a band; ``met`` has content, band, ``sets`` content, shingles."""
+    keys = ["band", "part", "low", "high"]
+    return groups(met, sets).repartition(*keys).sortWithinPartitions(*keys, "content").mapInArrow(_similar, "a long, b long")
 
 
 def tree_edges(members: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
@@ -115,24 +136,37 @@ def tree_edges(members: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
     if len(members) < 2:
         return []
     sizes = np.array([len(s) for _, s in members])
-    flat, owner = np.concatenate([s for _, s in members]), np.repeat(np.arange(len(members)), sizes)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
     left, edges = np.ones(len(members), bool), []
+
+    def index() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The members that are left, their shingles in order, and whose they are."""
+        rest = np.flatnonzero(left)
+        flat, owner = np.concatenate([members[i][1] for i in rest.tolist()]), np.repeat(np.arange(len(rest)), sizes[rest])
+        order = np.argsort(flat, kind="stable")
+        return rest, flat[order], owner[order]
+
+    rest, flat, owner = index()
+    waiting = len(members)
     for seed in range(len(members)):
         if not left[seed]:
             continue
         left[seed] = False
+        waiting -= 1
         todo = [seed]
-        while todo:
+        while todo and waiting:
+            if 2 * waiting <= len(rest):
+                rest, flat, owner = index()
             one = todo.pop()
             own = members[one][1]
             lows, highs = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
-            meet = np.bincount(np.concatenate([owner[a:b] for a, b in zip(lows, highs, strict=True)]), minlength=len(members))
-            near = np.flatnonzero(left & (meet >= SIMILARITY * (sizes + len(own) - meet) - 1e-9))
+            meet = np.bincount(np.concatenate([owner[a:b] for a, b in zip(lows, highs, strict=True)]), minlength=len(rest))
+            near = rest[left[rest] & (meet >= SIMILARITY * (sizes[rest] + len(own) - meet) - 1e-9)]
             left[near] = False
+            waiting -= len(near)
             edges += [(members[one][0], members[i][0]) for i in near.tolist()]
             todo += near.tolist()
+        if not waiting:
+            break
     return edges
 
 

@@ -445,3 +445,26 @@ def test_similar_contents_are_linked(spark, monkeypatch):
     for limit in (substring_dedup.SPLIT_AT, 5):
         monkeypatch.setattr(substring_dedup, "SPLIT_AT", limit)
         assert brute_components(range(n), [tuple(r) for r in substring_dedup.similar(met, shingles).collect()]) == expected
+
+
+def test_linked_contents_need_few_scans(monkeypatch):
+    common = list(range(10, 20))
+    members = [(i, np.array([*common, 100 + i], np.uint64)) for i in range(3000)]
+    scans, plain = [], np.bincount
+    monkeypatch.setattr(substring_dedup.np, "bincount", lambda *a, **k: scans.append(1) or plain(*a, **k))
+    edges = substring_dedup.tree_edges(members)
+    assert len(edges) == 2999 and len(set(brute_components(range(3000), edges).values())) == 1 and len(scans) < 5
+
+
+def test_parts_of_one_leading_shingle_are_cut_into_blocks(spark, monkeypatch):
+    # Variants of one sentence: ten shingles of eleven are equal, so all fall into the same parts.
+    sets = [np.array([*range(10, 20), 100 + i], np.uint64) for i in range(400)]
+    sets += [np.array([*range(10, 14), *range(1000 + 10 * i, 1007 + 10 * i)], np.uint64) for i in range(200)]
+    n = len(sets)
+    met = spark.createDataFrame([(i, 5) for i in range(n)], "content long, band long")
+    shingles = spark.createDataFrame([(i, s.astype("<u8").tobytes()) for i, s in enumerate(sets)], "content long, shingles binary")
+    monkeypatch.setattr(substring_dedup, "SPLIT_AT", 50)
+    made = substring_dedup.groups(met, shingles)
+    assert made.groupBy("band", "part", "low", "high").count().agg(F.max("count")).first()[0] <= 200
+    home = brute_components(range(n), [tuple(r) for r in substring_dedup.similar(met, shingles).collect()])
+    assert home == {i: 0 if i < 400 else i for i in range(n)}
