@@ -38,12 +38,15 @@ def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Word starts, ends (bytes), hashes and text numbers of a list of texts joined by line ends."""
+    """Word starts, ends (bytes), hashes and text numbers of a list of texts joined by line ends.
 
-    def __init__(self, texts: list[bytes]) -> None:
+    ``space`` says which bytes part words; a line end has to be one of them.
+    """
+
+    def __init__(self, texts: list[bytes], space: np.ndarray = _SPACE) -> None:
         data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         self.text_start = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
-        space = _SPACE[data]
+        space = space[data]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         if len(space) and not space[0]:
             edge = np.concatenate([[0], edge])

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dnslens.llm import (
+    backoff_automaton,
     bpe_automaton,
     chat_format,
     exact_top_k,
@@ -40,6 +41,7 @@ QUERIES: dict[str, Query] = {
     "op8_bpe_round_trip": _on("documents", bpe_automaton.round_trip),
     "op9_sharding": lambda spark, sf_dir: shard_packing.shard(table(spark, sf_dir, "documents")).drop("tokens"),
     "op10_token_packs": _on("documents", id_packs.write_and_index),
+    "op12_lm_scoring": _on("documents", backoff_automaton.score),
 }
 
 ORACLES: dict[str, str] = {
