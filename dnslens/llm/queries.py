@@ -13,6 +13,7 @@ from dnslens.llm import (
     exact_top_k,
     id_packs,
     kernel_langid,
+    phrase_mining,
     shard_packing,
     simhash_anchors,
     substring_dedup,
@@ -42,10 +43,12 @@ QUERIES: dict[str, Query] = {
     "op9_sharding": lambda spark, sf_dir: shard_packing.shard(table(spark, sf_dir, "documents")).drop("tokens"),
     "op10_token_packs": _on("documents", id_packs.write_and_index),
     "op12_lm_scoring": _on("documents", backoff_automaton.score),
+    "op13_phrase_mining": _on("documents", phrase_mining.mine),
 }
 
 ORACLES: dict[str, str] = {
     "op3_chat_formatting": chat_format.ORACLE,
     "op6_exact_top_k": exact_top_k.ORACLE,
     "op7_decontamination": winnow.ORACLE,
+    "op13_phrase_mining": phrase_mining.ORACLE,
 }
