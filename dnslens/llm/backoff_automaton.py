@@ -198,7 +198,8 @@ class Automaton:
         self.arcs: list[np.ndarray] = [self.base]
         self.fails: list[np.ndarray] = []
         for level in range(2, order + 1):
-            kept, kept_sum = (x.astype(np.float64) for x in got[CONTEXT + level - 1][:2])
+            own = got.get(CONTEXT + level - 1, [np.empty(0, np.uint64)] * 2)
+            kept, kept_sum = (x.astype(np.float64) for x in own[:2])
             seen = total[level - 1].astype(np.float64)
             freed = np.divide(seen - (kept_sum - DISCOUNT * kept), seen, out=np.ones(len(seen)), where=seen > 0)
             context, tail = grams.contexts(level), grams.tails(level)

@@ -17,6 +17,7 @@ from dnslens.llm import (
     shard_packing,
     simhash_anchors,
     substring_dedup,
+    token_alignment,
     winnow,
     wrapper_induction,
 )
@@ -42,6 +43,7 @@ QUERIES: dict[str, Query] = {
     "op8_bpe_round_trip": _on("documents", bpe_automaton.round_trip),
     "op9_sharding": lambda spark, sf_dir: shard_packing.shard(table(spark, sf_dir, "documents")).drop("tokens"),
     "op10_token_packs": _on("documents", id_packs.write_and_index),
+    "op11_token_alignment": _on("documents", token_alignment.report),
     "op12_lm_scoring": _on("documents", backoff_automaton.score),
     "op13_phrase_mining": _on("documents", phrase_mining.mine),
 }

@@ -110,8 +110,8 @@ def cut_slices(docs: DataFrame, build: Callable[[int, list[pa.RecordBatch]], dic
 def parcels(level: int, number: int, keys: np.ndarray, counts: list[np.ndarray], parts: int) -> Iterator[dict]:
     """What slice ``number`` sends: its distinct keys in order, cut into the parts of the hash space."""
     part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(part)), bool), part[1:] != part[:-1]]))
-    for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
+    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(keys) else np.empty(0, np.int64)
+    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         yield {
             "level": level, "part": int(part[low]), "slice": number, "keys": pack(keys[low:high], rising=True),
             "counts": [pack(c[low:high]) for c in counts],
