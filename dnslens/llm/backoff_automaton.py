@@ -244,7 +244,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         raise ValueError(f"order must be 1 to {len(MIN_COUNT)}")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held"))
-    cut = cut_slices(rows, _slice, _SLICE_SCHEMA, _SLICE)
+    cut, buckets = cut_slices(rows, _slice, _SLICE_SCHEMA, _SLICE)
     tokens, trained = cut.agg(F.sum("n_tokens"), F.sum("n_train")).first()
     parts, trained = math.ceil((tokens or 1) / PART_KEYS), trained or 0
     needed = ["slice", "held", "lens", "words", "tokens"]
@@ -252,7 +252,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     distinct = first.filter("level = 1").agg(F.sum("fresh")).first()[0] or 0
     rounds = [first]
     for level in range(2, order + 1):
-        posted = answered(cut.select(*needed), *rounds).drop("n_train").mapInArrow(_next_round(level, order, parts), PARCEL)
+        posted = answered(cut.select(*needed), buckets, *rounds).drop("n_train").mapInArrow(_next_round(level, order, parts), PARCEL)
         rounds.append(tally(posted))
     n_rounds = len(rounds)
 
@@ -270,4 +270,4 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    return answered(cut.drop("n_train", "n_tokens"), *rounds).mapInArrow(run, _SCORE)
+    return answered(cut.drop("n_train", "n_tokens"), buckets, *rounds).mapInArrow(run, _SCORE)

@@ -249,14 +249,14 @@ def frequent(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]
     """(lang, size, phrase, f) of every phrase of 1 to ``LONGEST`` words with ``least`` occurrences, and (lang, n)."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     rows = docs.select(F.col("text").cast("string").alias("text"), lang.alias("lang"), F.xxhash64(lang).alias("seed"))
-    cut = cut_slices(rows, _slice, _SLICE_SCHEMA, _SLICE)
+    cut, buckets = cut_slices(rows, _slice, _SLICE_SCHEMA, _SLICE)
     parts = math.ceil((cut.agg(F.sum("n_tokens")).first()[0] or 1) / PART_KEYS)
     needed = cut.select("slice", "words", "tokens", "left")
     merge = _surviving(least)
     short = tally(needed.mapInArrow(_post_short(parts), PARCEL), merge)
-    long = tally(answered(needed, short).mapInArrow(_post_long(parts), PARCEL), merge)
-    exact = tally(answered(needed, short, long).mapInArrow(_post_survivors(parts), PARCEL))
-    words = answered(cut.drop("lang_n", "n_tokens"), short, long, exact).mapInArrow(_frequent(least), _FREQUENT)
+    long = tally(answered(needed, buckets, short).mapInArrow(_post_long(parts), PARCEL), merge)
+    exact = tally(answered(needed, buckets, short, long).mapInArrow(_post_survivors(parts), PARCEL))
+    words = answered(cut.drop("lang_n", "n_tokens"), buckets, short, long, exact).mapInArrow(_frequent(least), _FREQUENT)
     sizes = cut.select(F.explode(F.arrays_zip("langs", "lang_n")).alias("x")).groupBy(F.col("x.langs").alias("lang"))
     return stored(words, "phrases")[0], sizes.agg(F.sum("x.lang_n").alias("n"))
 

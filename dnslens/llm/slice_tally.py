@@ -78,8 +78,8 @@ def runs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def cut_slices(docs: DataFrame, build: Callable[[int, list[pa.RecordBatch]], dict], schema: pa.Schema, fields: str, text: str = "text") -> DataFrame:
-    """The table of slices, stored and bucketed by ``slice``.
+def cut_slices(docs: DataFrame, build: Callable[[int, list[pa.RecordBatch]], dict], schema: pa.Schema, fields: str, text: str = "text") -> tuple[DataFrame, int]:
+    """The table of slices, stored and bucketed by ``slice``, and the number of its buckets.
 
     ``build`` takes a slice's number and its rows in batches of about a megabyte and gives one row of ``schema``.
     """
@@ -104,7 +104,7 @@ def cut_slices(docs: DataFrame, build: Callable[[int, list[pa.RecordBatch]], dic
     name = f"slices_{uuid.uuid4().hex}"
     made = docs.mapInArrow(run, fields).write.format("parquet").bucketBy(buckets, "slice")
     made.option("path", scratch_path(spark, "slices")).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), buckets
 
 
 def parcels(level: int, number: int, keys: np.ndarray, counts: list[np.ndarray], parts: int) -> Iterator[dict]:
@@ -177,10 +177,10 @@ def tally(posted: DataFrame, merge: Merge = added_up, label: str = "answers") ->
     return stored(posted.groupBy("level", "part").applyInArrow(run, ANSWER), label)[0]
 
 
-def answered(cut: DataFrame, *answers: DataFrame) -> DataFrame:
-    """Slices with one more column ``a0``, ``a1``, ... for each round of answers."""
+def answered(cut: DataFrame, buckets: int, *answers: DataFrame) -> DataFrame:
+    """Slices with one more column ``a0``, ``a1``, ... for each round of answers, which are dealt as the slices are."""
     for n, round_ in enumerate(answers):
-        mine = round_.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("level", "part", "totals"))).alias(f"a{n}"))
+        mine = round_.repartition(buckets, "slice").groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("level", "part", "totals"))).alias(f"a{n}"))
         cut = cut.join(mine, "slice", "left")
     return cut
 

@@ -15,10 +15,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,8 @@ from dnslens.llm.word_units import byte_symbols
 CACHED_UNITS, LONG_UNIT = 120_000, 64
 #: Units whose documents' pairs are sorted at a time.
 STEP_UNITS = 150_000
+#: Links of a group up to which each is written down.
+LARGE_GROUP = 4_096
 
 _BLANK = " "
 #: Behind these the next blank may not start a unit.
@@ -63,32 +65,49 @@ _SLICE_SCHEMA = pa.schema([
 ])
 
 
-def common_ends(short: Sequence[int], long: Sequence[int]) -> list[tuple[int, int]]:
-    """Places (in ``short``, in ``long``) of the offsets that both rising lists have; ``short`` drives."""
-    found, low, size = [], 0, len(long)
-    for i, offset in enumerate(short):
-        step, high = 1, low
-        while high < size and long[high] < offset:
-            low = high + 1
-            high += step
-            step *= 2
-        low = bisect_left(long, offset, low, min(high + 1, size))
-        if low < size and long[low] == offset:
-            found.append((i, low))
-            low += 1
-    return found
-
-
-def groups(ends_a: Sequence[int], ends_b: Sequence[int]) -> list[tuple[int, int, int, int]]:
-    """(first A token, one behind its last, first B token, one behind its last) of each group."""
+def common_ends(short: np.ndarray, long: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``short`` and in ``long`` of the offsets that both rising lists have; ``short`` drives.
+
+    All its offsets gallop in step, each from its ``start``, a place in ``long`` that is not behind the one sought: the
+    steps double while they end before the offset, and the last one is searched by bisection.
+    """
+    size = len(long)
+    low, high, step = start.copy(), start.copy(), 1
+    going = np.arange(len(short))
+    while len(going):
+        going = going[(high[going] < size) & (long[np.minimum(high[going], size - 1)] < short[going])]
+        low[going] = high[going] + 1
+        high[going] += step
+        step *= 2
+    high = np.minimum(high, size)
+    going = np.flatnonzero(low < high)
+    while len(going):
+        middle = (low[going] + high[going]) // 2
+        below = long[middle] < short[going]
+        low[going[below]] = middle[below] + 1
+        high[going[~below]] = middle[~below]
+        going = going[low[going] < high[going]]
+    met = np.flatnonzero((low < size) & (long[np.minimum(low, size - 1)] == short))
+    return met, low[met]
+
+
+def groups(ends_a: np.ndarray, ends_b: np.ndarray, start_a: np.ndarray, start_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many A and B tokens each group has; ``start_b`` says for each A offset where its search in B starts."""
     if len(ends_a) <= len(ends_b):
-        met = common_ends(ends_a, ends_b)
+        in_a, in_b = common_ends(ends_a, ends_b, start_b)
     else:
-        met = [(i, j) for j, i in common_ends(ends_b, ends_a)]
-    out, a, b = [], 0, 0
-    for i, j in met:
-        out.append((a, i + 1, b, j + 1))
-        a, b = i + 1, j + 1
+        in_b, in_a = common_ends(ends_b, ends_a, start_a)
+    return np.diff(in_a, prepend=-1), np.diff(in_b, prepend=-1)
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
+
+
+def _summed(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n, np.int64)
+    np.add.at(out, owner, values)
     return out
 
 
@@ -114,39 +133,71 @@ class Pair:
             piece = self.b.id_to_piece(number)
             own = bytes([int(piece[3:5], 16)]) if self.b.is_byte(number) else piece.replace("▁", _BLANK).encode()
             self.bytes_b.append(own)
+        self.size_a, self.size_b = (np.array([len(x) for x in names], np.int64) for names in (self.bytes_a, self.bytes_b))
+        self.shown_a, self.shown_b = (
+            np.array([[b"%d%s" % (x, sign) for x in range(len(names))] for sign in (b",", close)], object)
+            for names, close in ((self.bytes_a, b"|"), (self.bytes_b, b";"))
+        )
         self.blank = self.b.piece_to_id("▁")
         self._young: dict[str, Unit | None] = {}
         self._old: dict[str, Unit | None] = {}
 
-    def aligned(self, ids_a: list[int], ids_b: list[int], raw: bytes) -> Unit | None:
-        """Token, group and link counts, the groups as text, linked pairs and how often each; None if bytes differ."""
-        parts_a, parts_b = [self.bytes_a[x] for x in ids_a], [self.bytes_b[x] for x in ids_b]
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-            return None
-        ends: list[list[int]] = []
-        for parts in (parts_a, parts_b):
-            at, own = 0, []
-            for part in parts:
-                at += len(part)
-                own.append(at)
-            ends.append(own)
-        found = groups(*ends)
-        links: Counter[int] = Counter()
-        shown, total = [], 0
-        for a, a_end, b, b_end in found:
-            left, right = ids_a[a:a_end], ids_b[b:b_end]
-            total += len(left) * len(right)
-            shown.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
-            if len(left) == len(right) == 1:
-                links[left[0] << 32 | right[0]] += 1
-            else:
-                many_left, many_right = Counter(left), Counter(right)
-                for x, n in many_left.items():
-                    for y, m in many_right.items():
-                        links[x << 32 | y] += n * m
-        keys = np.fromiter(links.keys(), np.uint64, len(links)).tobytes()
-        times = np.fromiter(links.values(), np.uint32, len(links)).tobytes()
-        return len(ids_a), len(ids_b), len(found), total, ";".join(shown).encode(), keys, times
+    def aligned(self, ids_a: list[list[int]], ids_b: list[list[int]], raws: list[bytes]) -> list[Unit | None]:
+        """Of each unit: token, group and link counts, its groups as text, linked pairs and how often each.
+
+        None where the tokens don't give back the bytes.
+        """
+        out: list[Unit | None] = [None] * len(raws)
+        whole = b"".join(raws)
+        if any(b"".join([names[x] for x in chain.from_iterable(ids)]) != whole for names, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))):
+            good = [
+                k for k, raw in enumerate(raws)
+                if raw == b"".join([self.bytes_a[x] for x in ids_a[k]]) == b"".join([self.bytes_b[x] for x in ids_b[k]])
+            ]
+            if len(good) < len(raws):
+                for k, one in zip(good, self.aligned(*([x[k] for k in good] for x in (ids_a, ids_b, raws))), strict=True):
+                    out[k] = one
+                return out
+        if not raws:
+            return out
+        # Each unit ends where both sides have an end, so the units one after another are one text.
+        (flat_a, many_a), (flat_b, many_b) = _flat(ids_a), _flat(ids_b)
+        first_a, first_b = np.cumsum(many_a) - many_a, np.cumsum(many_b) - many_b
+        size_a, size_b = groups(
+            np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b]), np.repeat(first_a, many_b), np.repeat(first_b, many_a)
+        )
+        low_a, low_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+        unit = np.searchsorted(first_a, low_a, "right") - 1
+        n_groups = np.bincount(unit, minlength=len(raws))
+        product = size_a * size_b
+        n_links = _summed(product, unit, len(raws))
+        # The groups as text: of each group the A tokens, then the B tokens, each with the sign that follows it.
+        shown = np.empty(len(flat_a) + len(flat_b), object)
+        last_a, last_b = np.zeros(len(flat_a), np.int64), np.zeros(len(flat_b), np.int64)
+        last_a[low_a + size_a - 1] = 1
+        last_b[low_b + size_b - 1] = 1
+        shown[np.arange(len(flat_a)) + np.repeat(low_b, size_a)] = self.shown_a[last_a, flat_a]
+        shown[np.arange(len(flat_b)) + np.repeat(low_a + size_a, size_b)] = self.shown_b[last_b, flat_b]
+        text, starts = shown.tolist(), (first_a + first_b).tolist()
+        # Links of small groups one by one, of large ones by distinct ids.
+        small = np.flatnonzero(product <= LARGE_GROUP)
+        owner, place = runs(product[small])
+        of = small[owner]
+        keys = (flat_a[low_a[of] + place // size_b[of]] << 32 | flat_b[low_b[of] + place % size_b[of]]).astype(np.uint64)
+        ends = np.cumsum(np.bincount(unit[of], minlength=len(raws))).tolist()
+        figures = zip(many_a.tolist(), many_b.tolist(), n_groups.tolist(), n_links.tolist(), strict=True)
+        low = 0
+        for k, (figure, begin, end, high) in enumerate(zip(figures, starts, [*starts[1:], len(text)], ends, strict=True)):
+            out[k] = (*figure, b"".join(text[begin:end])[:-1], keys[low:high].tobytes(), b"\1\0\0\0" * (high - low))
+            low = high
+        for g in np.flatnonzero(product > LARGE_GROUP).tolist():
+            left = Counter(flat_a[low_a[g] : low_a[g] + size_a[g]].tolist())
+            right = Counter(flat_b[low_b[g] : low_b[g] + size_b[g]].tolist())
+            links = {x << 32 | y: n * m for x, n in left.items() for y, m in right.items()}
+            *figure, text_of, had, times = out[unit[g]]
+            had += np.fromiter(links.keys(), np.uint64, len(links)).tobytes()
+            out[unit[g]] = (*figure, text_of, had, times + np.fromiter(links.values(), np.uint32, len(links)).tobytes())
+        return out
 
     def units(self, text: str) -> list[str]:
         """The units of a text, each with the blank before it."""
@@ -168,10 +219,10 @@ class Pair:
             got[unit] = known
         coded_a = self.a.encode_batch(fresh, add_special_tokens=False)
         coded_b = self.b.encode([u[1:] for u in fresh], num_threads=1)
-        for unit, a, b in zip(fresh, coded_a, coded_b, strict=True):
-            got[unit] = one = self.aligned(a.ids, [self.blank] if unit == _BLANK else b, unit.encode())
-            if len(unit) < LONG_UNIT:
-                self._young[unit] = one
+        coded_b = [[self.blank] if unit == _BLANK else ids for unit, ids in zip(fresh, coded_b, strict=True)]
+        made = self.aligned([x.ids for x in coded_a], coded_b, [u.encode() for u in fresh])
+        got.update(zip(fresh, made, strict=True))
+        self._young.update([(u, one) for u, one in zip(fresh, made, strict=True) if len(u) < LONG_UNIT])
         if len(self._young) > CACHED_UNITS:
             self._young, self._old = {}, self._young
 
@@ -264,11 +315,11 @@ def _tokenizers(path_a: str | None, path_b: str | None) -> tuple[str, bytes]:
         return a.read(), b.read()
 
 
-def alignment(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(slices, answers): the aligned corpus, and the number of documents that hold each of its pairs of ids."""
+def alignment(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> tuple[DataFrame, int, DataFrame]:
+    """(slices, buckets, answers): the aligned corpus, and the number of documents that hold each of its pairs of ids."""
     files = docs.sparkSession.sparkContext.broadcast(_tokenizers(path_a, path_b))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cut = cut_slices(rows, _slice_builder(files), _SLICE_SCHEMA, _SLICE)
+    cut, buckets = cut_slices(rows, _slice_builder(files), _SLICE_SCHEMA, _SLICE)
 
     def n_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
@@ -283,10 +334,10 @@ def alignment(docs: DataFrame, path_a: str | None = None, path_b: str | None = N
 
         return sent(parcels_())
 
-    return cut, tally(cut.select("slice", "keys", "docs").mapInArrow(post, PARCEL))
+    return cut, buckets, tally(cut.select("slice", "keys", "docs").mapInArrow(post, PARCEL))
 
 
-def link_counts(cut: DataFrame, counts: DataFrame) -> DataFrame:
+def link_counts(cut: DataFrame, buckets: int, counts: DataFrame) -> DataFrame:
     """(a, b, docs): every pair of linked ids with the number of documents that hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +351,7 @@ def link_counts(cut: DataFrame, counts: DataFrame) -> DataFrame:
             columns = [pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF), total[mine]]
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["a", "b", "docs"])
 
-    return answered(cut.select("slice", "keys"), counts).mapInArrow(run, "a long, b long, docs long")
+    return answered(cut.select("slice", "keys"), buckets, counts).mapInArrow(run, "a long, b long, docs long")
 
 
 def report(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
@@ -310,9 +361,9 @@ def report(docs: DataFrame, path_a: str | None = None, path_b: str | None = None
     is a document, whether its id or text recurs or is null. An empty table gives an empty result; other columns are not
     carried.
     """
-    cut, counts = alignment(docs, path_a, path_b)
+    cut, buckets, counts = alignment(docs, path_a, path_b)
     # One row for each id of tokenizer A at most.
-    highest = link_counts(cut, counts).groupBy("a").agg(F.max("docs").alias("most")).collect()
+    highest = link_counts(cut, buckets, counts).groupBy("a").agg(F.max("docs").alias("most")).collect()
     most = np.zeros(max([r.a for r in highest], default=0) + 1, np.int64)
     for r in highest:
         most[r.a] = r.most
@@ -343,4 +394,4 @@ def report(docs: DataFrame, path_a: str | None = None, path_b: str | None = None
             )
 
     fields = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return answered(cut.drop("docs"), counts).mapInArrow(run, fields)
+    return answered(cut.drop("docs"), buckets, counts).mapInArrow(run, fields)
