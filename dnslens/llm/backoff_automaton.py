@@ -135,8 +135,6 @@ def _known(grams: Grams, got: dict[int, list[np.ndarray]], order: int) -> tuple[
     """Counts of each level over the corpus, and marks of the keys that this slice adds to their context."""
     total, first = [None, got[1][0]], [None, got[1][1]]
     for level in range(2, order + 1):
-        if level not in got and level > 2:
-            break
         keys = grams.keys[level]
         chosen = np.ones(len(keys), bool) if MIN_COUNT[level - 1] < 2 else grams.possible(level, total[level - 1])
         count, mark = got.get(level, (np.empty(0, np.uint64),) * 2)[:2]

@@ -11,14 +11,14 @@ from dnslens.llm.queries import ORACLES, QUERIES
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "language_id", "simhash_near_dedup", "substring_dedup", "benchmark_decontamination", "bpe_encoding",
     ]
 
 
 def test_stages_against_plain_rules(spark, sf_dir):
-    import test_operators as plain
+    import test_llm_operators as plain
     from tokenizers import Tokenizer
 
     from dnslens.llm.word_units import tokenizer_text
