@@ -321,3 +321,39 @@ def test_bounds_are_rejected_not_applied_silently(spark):
         retry_plan(df, df, max_attempts=3)
     with pytest.raises(ValueError):
         bounded_windows(df, ["k"], "t", 10, lambda w: {}, cell=10, chunk_rows=10)
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_nested_prefixes_against_brute_force(spark, monkeypatch, few):
+    """Nested and adjoining prefixes of both families, edges of each, default routes, ends of the address space."""
+    import ipaddress
+    import random
+
+    monkeypatch.setattr(geo, "MAX_PREFIXES", 10**6 if few else 0)
+    rng = random.Random(11)
+    nets = {(4, 0, 0): "v4 rest", (6, 0, 0): "v6 rest", (4, 1, 1 << 31): "upper half", (6, 1, 1 << 127): "upper six"}
+    for k in range(1_500):
+        version, width = (4, 32) if k % 2 else (6, 128)
+        around = rng.choice([10 << 24, 0xFFFFFFFF, 0]) if version == 4 else rng.choice([0x20010DB8 << 96, (1 << 128) - 1, (1 << 127) - 1])
+        plen = rng.choice([9, 15, 16, 17, 24, 32] if version == 4 else [17, 32, 47, 48, 49, 64, 127, 128])
+        start = (around ^ rng.getrandbits(rng.choice([8, 16, 22] if version == 4 else [8, 60, 66, 80, 90]))) >> (width - plen) << (width - plen)
+        nets[version, plen, start] = f"r{k}"
+    listed = [(r, f"{(ipaddress.IPv4Address if v == 4 else ipaddress.IPv6Address)(a)}/{p}") for (v, p, a), r in nets.items()]
+    asked = []
+    for version, plen, start in nets:
+        width = 32 if version == 4 else 128
+        size = 1 << (width - plen)
+        asked += [(version, a) for a in (start - 1, start, start + size // 2, start + size - 1, start + size) if 0 <= a < 1 << width]
+
+    def brute(version, a):
+        width = 32 if version == 4 else 128
+        found = (nets.get((version, p, a >> (width - p) << (width - p))) for p in range(width, -1, -1))
+        return next((r for r in found if r), None)
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    rows = [(i, f"v{v}", 0 if v == 4 else signed(a >> 64), a if v == 4 else signed(a & ((1 << 64) - 1))) for i, (v, a) in enumerate(asked)]
+    q = spark.createDataFrame(rows, "id int, client_family string, client_hi long, client_lo long")
+    got = {r.id: r.region for r in geo.region_lpm(q, spark.createDataFrame(listed, "region string, cidr string")).collect()}
+    assert got == {i: brute(v, a) for i, (v, a) in enumerate(asked)}
