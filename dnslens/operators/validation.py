@@ -16,6 +16,7 @@ from dnslens.functions.durations import duration_text, duration_us
 from dnslens.functions.netaddr import normalise_addresses, normalise_cidrs
 from dnslens.operators.policies import NAMES
 from dnslens.operators.prepare import LEVELS
+from dnslens.operators.scans import running
 
 # Limits and allowed names.
 PORT = (1, 65535)
@@ -218,7 +219,7 @@ def check_duplicates(dims: dict[str, DataFrame]) -> DataFrame:
             "concat(address, ':', port, ' serves both admin and tcp') AS message",
         )
     )
-    named = dims["dim_region_cidr"].filter(f"region IS NOT NULL AND NOT ({_bad_identifier('region')})")
+    named = named_regions(dims)
     entries = named.select("config_id", "region_pos", "region").distinct()
     v10 = _repeats(entries, ["region"], "regions", "V10", "concat('repeated ', region)")
     v11 = _shared_cidrs(named)
@@ -229,25 +230,47 @@ def check_duplicates(dims: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [v8, v9, v10, v11, v12, v13])
 
 
-def _shared_cidrs(named: DataFrame) -> DataFrame:
-    """V11: the same prefix in two region entries of one deployment.
+def named_regions(dims: dict[str, DataFrame]) -> DataFrame:
+    """Prefixes of region entries whose name is valid."""
+    return dims["dim_region_cidr"].filter(f"region IS NOT NULL AND NOT ({_bad_identifier('region')})")
 
-    The report names every pair of claimants, so the pairs are the result itself; the
-    equi-join on (deployment, prefix) yields no others.
+
+#: Region entries of one claimed prefix that one task puts in order.
+CLAIM_SPAN = 65_536
+
+_CLAIM = ["config_id", "family", "net_hi", "net_lo", "plen"]
+
+
+def cidr_claims(named: DataFrame) -> DataFrame:
+    """One row for each prefix that a region entry claims, however often the entry lists it: the claim, region_pos,
+    region, cidr (the least of its spellings)."""
+    nets = normalise_cidrs(named, "cidr", "net").filter("net IS NOT NULL")
+    nets = nets.select("config_id", "region_pos", "region", "cidr", "net.family", "net.net_hi", "net.net_lo", "net.plen")
+    return nets.groupBy(*_CLAIM, "region_pos").agg(F.min("region").alias("region"), F.min("cidr").alias("cidr"))
+
+
+def claim_counts(named: DataFrame) -> DataFrame:
+    """(config_id, cidr, entries, pairs) of every prefix that several region entries of a deployment claim."""
+    n = cidr_claims(named).groupBy(*_CLAIM).agg(F.min("cidr").alias("cidr"), F.count("*").alias("entries"))
+    return n.filter("entries > 1").selectExpr("config_id", "cidr", "entries", "entries * (entries - 1) div 2 AS pairs")
+
+
+def _shared_cidrs(named: DataFrame, every_pair: bool = False) -> DataFrame:
+    """V11: the same prefix in several region entries of one deployment.
+
+    The claimants of a prefix form a chain in the order of their entries: each but the first is reported with the one
+    before it, so n claimants give n - 1 rows, and a prefix that a third of all entries claim is scanned in spans.
+    ``every_pair`` reports each claimant with all others instead, n (n - 1) / 2 rows.
     """
-    nets = (
-        normalise_cidrs(named, "cidr", "net").filter("net IS NOT NULL")
-        .select("config_id", "region_pos", "region", "cidr", "net.family", "net.net_hi", "net.net_lo", "net.plen")
-    )
-    claim = ["config_id", "family", "net_hi", "net_lo", "plen"]
-    # A prefix repeated inside one entry counts once for each copy.
-    a = nets.select(*claim, F.col("region_pos").alias("i"), F.col("region").alias("r1"), "cidr")
-    b = nets.select(*claim, F.col("region_pos").alias("j"), F.col("region").alias("r2"))
-    return (
-        a.join(b, claim).filter("i < j").selectExpr(
-            "config_id", "'regions' AS path", "'V11' AS rule",
-            "concat(cidr, ': ', r1, ', ', r2) AS message",
-        )
+    claims = cidr_claims(named)
+    if every_pair:
+        a = claims.select(*_CLAIM, F.col("region_pos").alias("i"), F.col("region").alias("earlier"), "cidr")
+        met = a.join(claims.select(*_CLAIM, "region_pos", "region"), _CLAIM).filter("i < region_pos")
+    else:
+        placed = claims.withColumn("at", F.col("region_pos").cast("long"))
+        met = running(placed, _CLAIM, "at", before={"earlier": F.col("region")}, cell=CLAIM_SPAN).filter("earlier IS NOT NULL")
+    return met.selectExpr(
+        "config_id", "'regions' AS path", "'V11' AS rule", "concat(cidr, ': ', earlier, ', ', region) AS message"
     )
 
 
@@ -262,7 +285,7 @@ def summary(dims: dict[str, DataFrame]) -> DataFrame:
     def count(t: DataFrame, name: str) -> DataFrame:
         return t.groupBy("config_id").agg(F.count("*").alias(name))
 
-    named = dims["dim_region_cidr"].filter(f"region IS NOT NULL AND NOT ({_bad_identifier('region')})")
+    named = named_regions(dims)
     entries = named.select("config_id", "region_pos").distinct()
     us = duration_us(F.col("upstream_timeout"))
     t = dims["dim_deployment"].withColumn("us", F.when(us.between(*TIMEOUT_US), us).otherwise(F.lit(800_000)))

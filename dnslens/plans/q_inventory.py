@@ -200,15 +200,29 @@ def v10(spark, sf):
     "v11_shared_cidr",
     _sql(
         "li rg okr",
-        "SELECT a.config_id, 'regions' AS path, 'V11' AS rule, concat(a.cidr, ': ', a.region, ', ', b.region) AS message "
-        "FROM okr a JOIN okr b ON a.config_id = b.config_id AND a.cidr = b.cidr AND a.region_pos < b.region_pos "
-        "WHERE a.cidr NOT IN ('10.9.0.1/12', '10.9.0.0', '10.9.0.0/40')",
+        "SELECT config_id, 'regions' AS path, 'V11' AS rule, concat(cidr, ': ', earlier, ', ', region) AS message FROM ("
+        "SELECT config_id, cidr, region, lag(region) OVER (PARTITION BY config_id, cidr ORDER BY region_pos) AS earlier FROM ("
+        "SELECT config_id, cidr, region_pos, min(region) AS region FROM okr "
+        "WHERE cidr NOT IN ('10.9.0.1/12', '10.9.0.0', '10.9.0.0/40') GROUP BY ALL)) WHERE earlier IS NOT NULL",
     ),
 )
 def v11(spark, sf):
     return _dup(spark, sf, "V11")
 
 
+@query(
+    "v11_claim_counts",
+    _sql(
+        "li rg okr",
+        "SELECT config_id, cidr, entries, entries * (entries - 1) // 2 AS pairs FROM ("
+        "SELECT config_id, cidr, count(DISTINCT region_pos) AS entries FROM okr "
+        "WHERE cidr NOT IN ('10.9.0.1/12', '10.9.0.0', '10.9.0.0/40') GROUP BY ALL) WHERE entries > 1",
+    ),
+)
+def v11_counts(spark, sf):
+    return validation.claim_counts(validation.named_regions(v.inventory(spark, sf)))
+
+
 @query(
     "v12_duplicate_backend",
     _sql("li be okb", _dupes("V12", "okb", "name", "backends", "concat('repeated ', name)")),

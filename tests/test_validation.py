@@ -2,6 +2,7 @@
 
 import pytest
 
+from dnslens.operators import validation
 from dnslens.operators.validation import summary, validate_inventory
 from dnslens.schemas import INVENTORY
 from dnslens.sources.inventory import load_inventory, read_inventory
@@ -117,3 +118,13 @@ def test_load_with_defaults(spark, tmp_path):
     assert (b["port"], b["weight"]) == ("53", "1")
     assert loaded["dim_listener"].first()["transport"] == "udp"
     assert read_inventory(spark, str(tmp_path))["dim_backend"].first()["port"] is None
+
+
+def test_claimants_of_a_prefix_form_a_chain(spark):
+    rows = [("fleet-7", i, c, f"zone{i}", "203.0.112.0/23") for i in range(5) for c in range(2)] + [("fleet-8", 1, 0, "zone1", "203.0.112.0/23")]
+    dims = fleet(spark, dim_region_cidr=rows)
+    named = validation.named_regions(dims)
+    chain = validation._shared_cidrs(named).orderBy("message").collect()
+    assert [r.message for r in chain] == [f"203.0.112.0/23: zone{i}, zone{i + 1}" for i in range(4)]
+    assert validation._shared_cidrs(named, every_pair=True).count() == 10
+    assert [tuple(r) for r in validation.claim_counts(named).collect()] == [("fleet-7", "203.0.112.0/23", 5, 10)]
