@@ -157,6 +157,57 @@ def uniform_sql(seed: int, key: str, draw: int) -> str:
     return f"(('0x' || substr(md5(concat_ws('/', '{seed}', {key}, '{draw}')), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
+def health_walk_sql(cooldown: int, cap: int) -> str:
+    """The health machine over ``steps``, window by window."""
+    return f"""
+  SELECT backend, window_us, state, previous, reason, cooldown_us FROM (WITH RECURSIVE w AS (
+    SELECT backend, 0::BIGINT AS n, NULL::BIGINT AS window_us, 'HEALTHY' AS state, 'HEALTHY' AS previous, NULL::VARCHAR AS reason,
+      0::BIGINT AS bad, 0::BIGINT AS clean, 0::BIGINT AS fails, 0::BIGINT AS oks, NULL::BIGINT AS ejected, {cooldown}::BIGINT AS cooldown_us
+    FROM (SELECT DISTINCT backend FROM steps)
+    UNION ALL
+    SELECT backend, n, window_us, CASE rule WHEN 0 THEN state WHEN 1 THEN 'RECOVERING' WHEN 3 THEN 'HEALTHY' WHEN 6 THEN 'DEGRADED'
+        WHEN 7 THEN 'HEALTHY' ELSE 'UNHEALTHY' END, state,
+      CASE rule WHEN 1 THEN 'cooldown_elapsed' WHEN 2 THEN 'eject_again' WHEN 3 THEN 'recovered' WHEN 4 THEN 'probe_failures'
+        WHEN 5 THEN 'timeout_rate' WHEN 6 THEN 'degraded_windows' WHEN 7 THEN 'clean_windows' END,
+      CASE WHEN rule = 3 THEN 0 ELSE bad END, CASE WHEN rule = 1 THEN 0 ELSE clean END, fails,
+      CASE WHEN rule IN (2, 4, 5) THEN 0 ELSE oks END, CASE WHEN rule IN (2, 4, 5) THEN window_us WHEN rule = 3 THEN NULL ELSE ejected END,
+      CASE rule WHEN 2 THEN least(2 * cooldown_us, {cap}) WHEN 3 THEN {cooldown} ELSE cooldown_us END
+    FROM (SELECT *, CASE WHEN state = 'UNHEALTHY' AND ejected IS NOT NULL AND window_us - ejected >= cooldown_us AND oks >= 2 THEN 1
+        WHEN state = 'RECOVERING' AND opened THEN 2 WHEN state = 'RECOVERING' AND clean >= 5 THEN 3
+        WHEN state IN ('HEALTHY', 'DEGRADED') AND fails >= 2 THEN 4 WHEN state IN ('HEALTHY', 'DEGRADED') AND opened AND may_eject THEN 5
+        WHEN state = 'HEALTHY' AND bad >= 3 THEN 6 WHEN state = 'DEGRADED' AND clean >= 5 THEN 7 ELSE 0 END AS rule
+      FROM (SELECT s.backend, s.n, s.window_us, s.opened, s.may_eject, w.state, w.ejected, w.cooldown_us,
+          CASE WHEN NOT traffic THEN w.bad WHEN poor THEN w.bad + 1 ELSE 0 END AS bad,
+          CASE WHEN NOT traffic THEN w.clean WHEN poor THEN 0 ELSE w.clean + 1 END AS clean,
+          CASE WHEN probes = 0 THEN w.fails WHEN failed = probes THEN w.fails + probes ELSE 0 END AS fails,
+          CASE WHEN probes = 0 THEN w.oks WHEN failed = 0 THEN w.oks + probes ELSE 0 END AS oks
+        FROM w JOIN steps s ON s.backend = w.backend AND s.n = w.n + 1)))
+    SELECT * FROM w WHERE n > 0)"""
+
+
+def bucket_walk_sql(rate: str, burst: int, bin_us: int) -> str:
+    """The token bucket over ``steps`` (worker_id, prefix, bin, n, step), bin by bin."""
+    return f"""
+  SELECT worker_id, prefix, bin, n, spent FROM (WITH RECURSIVE f AS (
+    SELECT worker_id, prefix, bin, n, step, least(n, {burst})::BIGINT AS spent, {burst}::DOUBLE - least(n, {burst}) AS tokens FROM steps WHERE step = 1
+    UNION ALL
+    SELECT worker_id, prefix, bin, n, step, least(n, floor(tokens + 1e-9))::BIGINT, tokens - least(n, floor(tokens + 1e-9)) FROM (
+      SELECT s.*, least({burst}::DOUBLE, f.tokens + ({rate}) * (s.bin - f.bin)::DOUBLE * {bin_us}::DOUBLE / 1000000.0::DOUBLE) AS tokens
+      FROM f JOIN steps s ON s.worker_id = f.worker_id AND s.prefix = f.prefix AND s.step = f.step + 1))
+    SELECT * FROM f)"""
+
+
+def decay_walk_sql(tau_us: int) -> str:
+    """The decayed average over ``steps`` (backend, t_us, x, step)."""
+    return f"""
+  SELECT backend, t_us, x, ewma FROM (WITH RECURSIVE f AS (
+    SELECT backend, t_us, x, step, x AS ewma FROM steps WHERE step = 1
+    UNION ALL
+    SELECT s.backend, s.t_us, s.x, s.step, f.ewma * exp(-(s.t_us - f.t_us) / {tau_us}::DOUBLE) + s.x * (1 - exp(-(s.t_us - f.t_us) / {tau_us}::DOUBLE))
+    FROM f JOIN steps s ON s.backend = f.backend AND s.step = f.step + 1)
+    SELECT * FROM f)"""
+
+
 def bucket_sql(us: str) -> str:
     """The histogram bucket in SQL."""
     v = f"least(greatest({us}, 1), 10000000)::BIGINT"

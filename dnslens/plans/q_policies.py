@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dnslens.operators import asof, choice, correlate, health, policies, prepare, ratelimit, scoring, telemetry
 from dnslens.plans import views as v
-from dnslens.plans.fragments import sql, uniform_sql
+from dnslens.plans.fragments import bucket_walk_sql, health_walk_sql, sql, uniform_sql
 from dnslens.plans.registry import query
 
 HOUR, BIN = v.HOUR, v.BIN
@@ -463,30 +463,7 @@ _HEALTH_SQL = sql(
     steps="SELECT backend, window_us, row_number() OVER (PARTITION BY backend ORDER BY window_us) AS n, requests > 0 AS traffic, "
     "requests > 0 AND (errors / requests > 0.2 OR timeouts / requests > 0.2) AS poor, requests > 0 AND timeouts / requests > 0.3 AS opened, "
     "severity > 0.3 AND place <= cap AS may_eject, probes, failed FROM ranked",
-    walked=f"""
-  SELECT backend, window_us, state, previous, reason, cooldown_us FROM (WITH RECURSIVE w AS (
-    SELECT backend, 0::BIGINT AS n, NULL::BIGINT AS window_us, 'HEALTHY' AS state, 'HEALTHY' AS previous, NULL::VARCHAR AS reason,
-      0::BIGINT AS bad, 0::BIGINT AS clean, 0::BIGINT AS fails, 0::BIGINT AS oks, NULL::BIGINT AS ejected, {5 * HOUR}::BIGINT AS cooldown_us
-    FROM (SELECT DISTINCT backend FROM steps)
-    UNION ALL
-    SELECT backend, n, window_us, CASE rule WHEN 0 THEN state WHEN 1 THEN 'RECOVERING' WHEN 3 THEN 'HEALTHY' WHEN 6 THEN 'DEGRADED'
-        WHEN 7 THEN 'HEALTHY' ELSE 'UNHEALTHY' END, state,
-      CASE rule WHEN 1 THEN 'cooldown_elapsed' WHEN 2 THEN 'eject_again' WHEN 3 THEN 'recovered' WHEN 4 THEN 'probe_failures'
-        WHEN 5 THEN 'timeout_rate' WHEN 6 THEN 'degraded_windows' WHEN 7 THEN 'clean_windows' END,
-      CASE WHEN rule = 3 THEN 0 ELSE bad END, CASE WHEN rule = 1 THEN 0 ELSE clean END, fails,
-      CASE WHEN rule IN (2, 4, 5) THEN 0 ELSE oks END, CASE WHEN rule IN (2, 4, 5) THEN window_us WHEN rule = 3 THEN NULL ELSE ejected END,
-      CASE rule WHEN 2 THEN least(2 * cooldown_us, {60 * HOUR}) WHEN 3 THEN {5 * HOUR} ELSE cooldown_us END
-    FROM (SELECT *, CASE WHEN state = 'UNHEALTHY' AND ejected IS NOT NULL AND window_us - ejected >= cooldown_us AND oks >= 2 THEN 1
-        WHEN state = 'RECOVERING' AND opened THEN 2 WHEN state = 'RECOVERING' AND clean >= 5 THEN 3
-        WHEN state IN ('HEALTHY', 'DEGRADED') AND fails >= 2 THEN 4 WHEN state IN ('HEALTHY', 'DEGRADED') AND opened AND may_eject THEN 5
-        WHEN state = 'HEALTHY' AND bad >= 3 THEN 6 WHEN state = 'DEGRADED' AND clean >= 5 THEN 7 ELSE 0 END AS rule
-      FROM (SELECT s.backend, s.n, s.window_us, s.opened, s.may_eject, w.state, w.ejected, w.cooldown_us,
-          CASE WHEN NOT traffic THEN w.bad WHEN poor THEN w.bad + 1 ELSE 0 END AS bad,
-          CASE WHEN NOT traffic THEN w.clean WHEN poor THEN 0 ELSE w.clean + 1 END AS clean,
-          CASE WHEN probes = 0 THEN w.fails WHEN failed = probes THEN w.fails + probes ELSE 0 END AS fails,
-          CASE WHEN probes = 0 THEN w.oks WHEN failed = 0 THEN w.oks + probes ELSE 0 END AS oks
-        FROM w JOIN steps s ON s.backend = w.backend AND s.n = w.n + 1)))
-    SELECT * FROM w WHERE n > 0)""",
+    walked=health_walk_sql(5 * HOUR, 60 * HOUR),
 )
 
 #: The token bucket once more as recursive SQL, bin by bin.
@@ -498,14 +475,7 @@ _BUCKET_SQL = sql(
     binned="SELECT *, client_lo - client_lo % 256 AS prefix, arrival_us // 60000000 AS bin FROM ql",
     steps="SELECT *, row_number() OVER (PARTITION BY worker_id, prefix ORDER BY bin) AS step FROM ("
     "SELECT worker_id, prefix, bin, count(*) AS n FROM binned GROUP BY ALL)",
-    filled="""
-  SELECT worker_id, prefix, bin, spent FROM (WITH RECURSIVE f AS (
-    SELECT worker_id, prefix, bin, step, least(n, 3)::BIGINT AS spent, 3.0::DOUBLE - least(n, 3) AS tokens FROM steps WHERE step = 1
-    UNION ALL
-    SELECT worker_id, prefix, bin, step, least(n, floor(tokens + 1e-9))::BIGINT, tokens - least(n, floor(tokens + 1e-9)) FROM (
-      SELECT s.*, least(3.0::DOUBLE, f.tokens + (1.0::DOUBLE / 3600.0::DOUBLE) * (s.bin - f.bin)::DOUBLE * 60000000.0::DOUBLE / 1000000.0::DOUBLE) AS tokens
-      FROM f JOIN steps s ON s.worker_id = f.worker_id AND s.prefix = f.prefix AND s.step = f.step + 1))
-    SELECT * FROM f)""",
+    filled=bucket_walk_sql("1.0::DOUBLE / 3600.0::DOUBLE", 3, 60_000_000),
 )
 
 

@@ -1,16 +1,16 @@
 """Registered queries: streams over the supplied events, checked against batch SQL.
 
-The event file is the stream's source. What a stream has emitted when its input ends
-depends on the watermark, so a closing row far in the future is not needed: the last
-windows that stay open are left out on both sides by the same bound.
+The event file is the stream's source. When it has ended, a closing row moves the watermark
+past all that is still open, so the last windows are in the results.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dnslens.functions.netaddr import client_prefix
 from dnslens.plans import views as v
-from dnslens.plans.fragments import bucket_sql, sql
+from dnslens.plans.fragments import bucket_sql, bucket_walk_sql, decay_walk_sql, health_walk_sql, sql
 from dnslens.plans.registry import query
 from dnslens.session import scratch_path
 from dnslens.streaming import jobs
@@ -25,13 +25,15 @@ def _stream(spark, sf):
     return v.shape_events(raw)
 
 
-def _finish(df):
-    base = scratch_path(df.sparkSession, "stream")
-    return jobs.run_to_end(df, f"{base}/out", f"{base}/state")
+def _closing(t, ts="ts"):
+    """A stream with room for its closing row, its watermark set, and what ``_finish`` needs to close it."""
+    folder = scratch_path(t.sparkSession, "closing")
+    return jobs.with_event_time(jobs.with_closing(t, folder), ts=ts), (folder, t.schema, ts)
 
 
-# Windows close when the watermark (last event minus the delay) passes their end.
-_CLOSED = f"(SELECT max(t_us) FROM ev) - 2000000 >= (t_us // {HOUR} + 1) * {HOUR}"
+def _finish(df, closing=None):
+    base = scratch_path(df.sparkSession, "stream")
+    return jobs.run_to_end(df, f"{base}/out", f"{base}/state", closing=closing)
 
 
 @query(
@@ -39,12 +41,13 @@ _CLOSED = f"(SELECT max(t_us) FROM ev) - 2000000 >= (t_us // {HOUR} + 1) * {HOUR
     sql(
         "att ev",
         f"SELECT t_us // {HOUR} * {HOUR} AS window_us, backend, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors FROM ev JOIN (SELECT query_id AS event_id, backend FROM att) USING (event_id) "
-        f"WHERE {_CLOSED} GROUP BY ALL",
+        "GROUP BY ALL",
     ),
 )
 def st2(spark, sf):
     t = _stream(spark, sf).selectExpr("ts", f"{v.BACKEND} AS backend", "CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS outcome")
-    out = _finish(jobs.stream_rates(jobs.with_event_time(t), "1 hour"))
+    t, closing = _closing(t)
+    out = _finish(jobs.stream_rates(t, "1 hour"), closing)
     return out.select("window_us", "backend", "requests", "errors")
 
 
@@ -52,12 +55,13 @@ def st2(spark, sf):
     "st9_stream_hist",
     sql(
         "att ev",
-        f"SELECT t_us // {HOUR} * {HOUR} AS window_us, backend, {bucket_sql('lat_us')} AS bucket, count(*) AS cnt FROM ev JOIN (SELECT query_id AS event_id, backend FROM att) USING (event_id) WHERE {_CLOSED} GROUP BY ALL",
+        f"SELECT t_us // {HOUR} * {HOUR} AS window_us, backend, {bucket_sql('lat_us')} AS bucket, count(*) AS cnt FROM ev JOIN (SELECT query_id AS event_id, backend FROM att) USING (event_id) GROUP BY ALL",
     ),
 )
 def st9(spark, sf):
     t = _stream(spark, sf).selectExpr("ts", f"{v.BACKEND} AS backend", "lat_us AS latency_us")
-    return _finish(jobs.stream_hist(jobs.with_event_time(t), "1 hour"))
+    t, closing = _closing(t)
+    return _finish(jobs.stream_hist(t, "1 hour"), closing)
 
 
 @query(
@@ -110,16 +114,26 @@ def s1_s2(spark, sf):
 
 
 def _windows(spark, sf, shape):
-    """The closed hourly windows of one stream, as the source of the next one."""
-    t = shape(jobs.with_event_time(_stream(spark, sf).withColumn("backend", F.expr(v.BACKEND))))
+    """The hourly windows of one stream, as the source of the next one."""
+    t, closing = _closing(_stream(spark, sf).withColumn("backend", F.expr(v.BACKEND)))
+    t = shape(t)
     base = scratch_path(spark, "windows")
-    jobs.run_to_end(t, f"{base}/out", f"{base}/state")
-    return jobs.with_event_time(spark.readStream.schema(t.schema).parquet(f"{base}/out"))
+    jobs.run_to_end(t, f"{base}/out", f"{base}/state", closing=closing)
+    return _closing(spark.readStream.schema(t.schema).parquet(f"{base}/out"))
 
 
-@query("st6_stream_ewma")
+@query(
+    "st6_stream_ewma",
+    sql(
+        "ev att", "SELECT backend, t_us, x, round(ewma, 6) AS ewma FROM walked",
+        steps="SELECT *, row_number() OVER (PARTITION BY backend ORDER BY t_us) AS step FROM ("
+        f"SELECT backend, t_us // {HOUR} * {HOUR} AS t_us, (sum(lat_us) // count(*))::DOUBLE AS x "
+        "FROM ev JOIN (SELECT query_id AS event_id, backend FROM att) USING (event_id) GROUP BY ALL)",
+        walked=decay_walk_sql(2 * HOUR),
+    ),
+)
 def st6(spark, sf):
-    """Decayed hourly mean latency per backend over the closed windows."""
+    """Decayed hourly mean latency per backend over all windows."""
     def hourly(t):
         return (
             t.groupBy(F.window("ts", "1 hour"), "backend")
@@ -127,26 +141,50 @@ def st6(spark, sf):
             .select("backend", F.unix_micros("window.start").alias("t_us"), "x", F.col("window.start").alias("ts"))
         )
 
-    return _finish(jobs.stream_ewma(_windows(spark, sf, hourly), ["backend"], "x", 2 * HOUR))
+    t, closing = _windows(spark, sf, hourly)
+    out = _finish(jobs.stream_ewma(t, ["backend"], "x", 2 * HOUR), closing)
+    return out.withColumn("ewma", F.round("ewma", 6))
 
 
-@query("st5_stream_rate_limit")
+@query(
+    "st5_stream_rate_limit",
+    sql(
+        "ql", "SELECT worker_id::INTEGER AS worker_id, concat(prefix // 16777216, '.', prefix // 65536 % 256, '.', prefix // 256 % 256, '.0/24') AS prefix, "
+        "bin, n, spent AS allowed FROM walked",
+        steps="SELECT *, row_number() OVER (PARTITION BY worker_id, prefix ORDER BY bin) AS step FROM ("
+        f"SELECT worker_id, client_lo - client_lo % 256 AS prefix, arrival_us // {HOUR} AS bin, count(*) AS n FROM ql GROUP BY ALL)",
+        walked=bucket_walk_sql("1.0::DOUBLE / 3600.0::DOUBLE", 3, HOUR),
+    ),
+)
 def st5(spark, sf):
     """Hourly allowance of every client network on every worker."""
     def hourly(t):
         return (
-            t.withColumns({"worker_id": F.expr("cast(event_id % 2 AS INT)"), "prefix": F.expr("concat('net-', user_id % 4)")})
+            client_prefix(v.shape_queries(t)).withColumnRenamed("arrival_ts", "ts")
             .groupBy(F.window("ts", "1 hour"), "worker_id", "prefix")
             .agg(F.count("*").alias("n"))
             .selectExpr("worker_id", "prefix", f"unix_micros(window.start) div {HOUR} AS bin", "n", "window.start AS ts")
         )
 
-    return _finish(jobs.stream_rate_limit(_windows(spark, sf, hourly), 1 / 3600, 3.0, HOUR))
+    t, closing = _windows(spark, sf, hourly)
+    return _finish(jobs.stream_rate_limit(t, 1 / 3600, 3.0, HOUR), closing)
 
 
-@query("st4_stream_health")
+@query(
+    "st4_stream_health",
+    sql(
+        "ev att", "SELECT * FROM walked",
+        steps="SELECT *, row_number() OVER (PARTITION BY backend ORDER BY window_us) AS n, true AS traffic, true AS may_eject, "
+        "errors / requests > 0.2 OR timeouts / requests > 0.2 AS poor, timeouts / requests > 0.3 AS opened FROM ("
+        f"SELECT backend, t_us // {HOUR} * {HOUR} AS window_us, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, "
+        f"count(*) FILTER (lat_us > {v.TIMEOUT_US}) AS timeouts, count(*) FILTER (event_id % 10 = 0) AS probes, "
+        "count(*) FILTER (event_id % 10 = 0 AND event_type = 'error') AS failed "
+        "FROM ev JOIN (SELECT query_id AS event_id, backend FROM att) USING (event_id) GROUP BY ALL)",
+        walked=health_walk_sql(5 * HOUR, 60 * HOUR),
+    ),
+)
 def st4(spark, sf):
-    """Health of every backend over the closed windows."""
+    """Health of every backend over all windows."""
     from dnslens.operators.health import HealthConfig
 
     def hourly(t):
@@ -166,4 +204,5 @@ def st4(spark, sf):
         )
 
     cfg = HealthConfig(degrade_threshold=0.2, eject_threshold=0.3, fail_threshold=2, cooldown_us=5 * HOUR, cooldown_cap_us=60 * HOUR)
-    return _finish(jobs.stream_health(_windows(spark, sf, hourly), cfg))
+    t, closing = _windows(spark, sf, hourly)
+    return _finish(jobs.stream_health(t, cfg), closing)

@@ -158,3 +158,25 @@ def test_latest_table_is_read_per_batch(spark, tmp_path):
     step(q, 0)
     step(q, 1)
     assert seen == [(0, 1), (1, 2)]
+
+
+def test_state_of_an_idle_key_goes_and_the_last_rows_come_out(spark, tmp_path):
+    """Buckets idle long enough to be full again are removed; the closing row lets the open end out."""
+    rows = [(T0, 0, "idle", 1_000, 3)] + [(T0 + i * S, 0, "busy", 1_000 + i, 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "us long, worker_id int, prefix string, bin long, n long")
+    df = df.withColumn("ts", F.timestamp_micros("us")).drop("us")
+    folder, state = str(tmp_path / "closing"), str(tmp_path / "state")
+    src = jobs.with_event_time(jobs.with_closing(as_stream(spark, df, tmp_path / "in", 8), folder))
+    out = jobs.stream_rate_limit(src, 0.5, 4.0, S)
+
+    def kept(variable):
+        t = spark.read.format("statestore").option("stateVarName", variable).load(state)
+        return sorted(r.key.prefix for r in t.select("key").distinct().collect())
+
+    got = jobs.run_to_end(out, str(tmp_path / "out"), state)
+    assert got.agg(F.max("bin")).first()[0] < 1_119
+    # Eight seconds fill the bucket of four tokens; a hundred have passed.
+    assert kept("folded") == ["busy"]
+    got = jobs.run_to_end(out, str(tmp_path / "out"), state, closing=(folder, df.schema, "ts"))
+    same(got, ratelimit.bin_allowance(df.drop("ts"), 0.5, 4.0, S))
+    assert kept("folded") == kept("waiting") == []
