@@ -63,7 +63,8 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     gives an empty result; further columns of the input are not carried.
     """
     spark = docs.sparkSession
-    rows, _ = stored(sized(docs), "sized")
+    # Rows that repeat id and text are told apart by a number that is stored with them.
+    rows, _ = stored(sized(docs).withColumn("row", F.monotonically_increasing_id()), "sized")
     sums = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
     total = rows.agg(*sums).first()
     limit = {k: (total[k] or 0) / shards for k in ("bytes", "tokens", "rows")}
@@ -76,7 +77,7 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     }
     cut = F.lit(None).cast("long")
     for n, key in enumerate(sorted(pieces)):
-        piece = BUNDLES + n * (1 << 20) + F.pmod(F.xxhash64("doc_id"), F.lit(pieces[key]))
+        piece = BUNDLES + n * (1 << 20) + F.pmod(F.xxhash64("row"), F.lit(pieces[key]))
         cut = F.when(F.col("group_key") == key, piece).otherwise(cut)
     rows = rows.withColumn("unit", F.coalesce(cut, F.pmod("group_key", F.lit(BUNDLES))).cast("long"))
     units = sorted(rows.groupBy("unit").agg(*sums).collect())
@@ -86,11 +87,11 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
         [(u.unit, int(s)) for u, s in zip(units, chosen, strict=True)], "unit long, shard int"
     )
     parts = max(1, math.ceil((total.rows or 0) / SLOT_ROWS))
-    rows = rows.join(F.broadcast(placed), "unit").withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)))
+    rows = rows.join(F.broadcast(placed), "unit").withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
     counts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32")
+    inside = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "row")
     return (
         rows.withColumn("place", F.row_number().over(inside))
         .join(offsets, ["shard", "part"])

@@ -262,3 +262,28 @@ def test_slices_hold_whole_documents(spark, monkeypatch):
         pa.schema([("slice", pa.int64()), ("n", pa.int64())]), "slice long, n long",
     )[0].collect()
     assert sum(r.n for r in seen) == 30 and len({r.slice for r in seen}) == len(seen)
+
+
+def test_one_row_repeated_is_sharded_evenly_and_packed(spark, tmp_path):
+    """Rows of one id and text, and rows without an id, are cut like any other."""
+    from dnslens.llm import id_packs, shard_packing
+
+    rows = [(7, "the same words again")] * 800 + [(None, "no id at all")] * 800
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = shard_packing.shard(docs).collect()
+    sizes = Counter()
+    for r in out:
+        sizes[r.shard] += r.size
+    assert len(sizes) == 8 and max(sizes.values()) < 1.3 * min(sizes.values())
+    for shard in sizes:
+        assert sorted(r.slot for r in out if r.shard == shard) == list(range(sum(r.shard == shard for r in out)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        id_packs.write(docs, str(tmp_path / "packs"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    index = sorted(id_packs.index(spark, str(tmp_path / "packs")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in index] == [None] * 800 + [7] * 800
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(index, index[1:], strict=False))
+    files = spark.read.parquet(str(tmp_path / "packs" / "packs")).select("part").distinct().count()
+    assert files > 2
