@@ -112,8 +112,8 @@ def train(docs: DataFrame, file, end_id: int, width: int) -> bytes:
 def write(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int = 2) -> None:
     """Encode every whole text, append ``end_id`` and write packs and dictionary below ``path``.
 
-    Null texts are empty (only the end id is kept); null document ids come first; rows of one id are ordered by
-    their frames, so repeated rows stay and the order is defined. Other columns are ignored. An empty table gives an
+    Null texts are empty (only the end id is kept); null document ids come first; rows of one id follow
+    each other in the order of a hash of their frames, and repeated rows stay. Other columns are ignored. An empty table gives an
     empty dataset.
     """
     spark = docs.sparkSession
@@ -156,8 +156,12 @@ def write(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id:
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
                 number, base = number + 1, base + sum(counts)
 
-    coded, scratch = stored(docs.mapInArrow(compress, "doc_id long, n int, frame binary"), "ids", compression="none")
-    packs = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "frame").mapInArrow(pack, _PACK)
+    coded = docs.mapInArrow(compress, "doc_id long, n int, frame binary")
+    # Rows of one id are ranged too: by their frames' hash, and equal ones by a number that is stored with them.
+    coded, scratch = stored(coded.withColumn("row", F.monotonically_increasing_id()), "ids", compression="none")
+    order = ["doc_id", F.xxhash64("frame"), "row"]
+    ranged = coded.repartitionByRange(*order).sortWithinPartitions(*order)
+    packs = ranged.select("doc_id", "n", "frame").mapInArrow(pack, _PACK)
     packs.write.option("compression", "none").parquet(f"{path}/packs")
     discard(spark, scratch)
 
