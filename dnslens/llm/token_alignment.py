@@ -200,27 +200,25 @@ class Pair:
         return out
 
     def units(self, text: str) -> list[str]:
-        """The units of a text, each with the blank before it."""
+        """The units of a text, each without the one blank before it."""
         if _MIXED.search(text) is None:
-            return [_BLANK + part for part in text.split(_BLANK)]
-        return _CUT.split(_BLANK + text)
+            return text.split(_BLANK)
+        return [unit[1:] for unit in _CUT.split(_BLANK + text)]
 
     def learn(self, units: set[str], got: dict[str, Unit | None]) -> None:
         """Fill ``got`` with the alignment of every unit; those not met before are encoded in one call."""
-        fresh = []
-        for unit in units:
-            known = self._young.get(unit, self)
-            if known is self:
-                known = self._old.get(unit, self)
-                if known is self:
-                    fresh.append(unit)
-                    continue
-                self._young[unit] = known
-            got[unit] = known
-        coded_a = self.a.encode_batch(fresh, add_special_tokens=False)
-        coded_b = self.b.encode([u[1:] for u in fresh], num_threads=1)
-        coded_b = [[self.blank] if unit == _BLANK else ids for unit, ids in zip(fresh, coded_b, strict=True)]
-        made = self.aligned([x.ids for x in coded_a], coded_b, [u.encode() for u in fresh])
+        young, old = self._young, self._old
+        seen = units & young.keys()
+        again = (units - seen) & old.keys()
+        young.update([(u, old[u]) for u in again])
+        got.update([(u, young[u]) for u in seen | again])
+        fresh = list(units - seen - again)
+        whole = [_BLANK + unit for unit in fresh]
+        coded_a = [x.ids for x in self.a.encode_batch(whole, add_special_tokens=False)]
+        coded_b = self.b.encode(fresh, num_threads=1)
+        if "" in fresh:
+            coded_b[fresh.index("")] = [self.blank]
+        made = self.aligned(coded_a, coded_b, [u.encode() for u in whole])
         got.update(zip(fresh, made, strict=True))
         self._young.update([(u, one) for u, one in zip(fresh, made, strict=True) if len(u) < LONG_UNIT])
         if len(self._young) > CACHED_UNITS:
@@ -238,25 +236,25 @@ def _slice_builder(files):
         ids, figures, digests, sizes, rows = [], [], [], [], []
         place: dict[str, int] = {}
         known: list[Unit] = []
+        shown: list[bytes] = []
         for batch in batches:
             texts = batch.column(1).to_pylist()
             cut = [tool.units(t) if t else [] for t in texts]
             ids += batch.column(0).to_pylist()
             got: dict[str, Unit | None] = {}
-            tool.learn({u for units in cut for u in units}.difference(place), got)
+            tool.learn(set().union(*cut).difference(place), got)
             broken = {u for u, one in got.items() if one is None}
-            for unit, one in got.items():
-                if one is not None:
-                    place[unit] = len(known)
-                    known.append(one)
+            fresh = [(u, one) for u, one in got.items() if one is not None] if broken else list(got.items())
+            place.update(zip([u for u, _ in fresh], range(len(known), len(known) + len(fresh)), strict=True))
+            known += [one for _, one in fresh]
+            shown += [one[4] for _, one in fresh]
             for units in cut:
                 if broken and not broken.isdisjoint(units):
                     units = []
-                at = [place[u] for u in units]
-                rows.append(np.array(at, np.int64))
+                at = list(map(place.__getitem__, units))
+                rows.append(np.fromiter(at, np.int64, len(at)))
                 sizes.append(len(at))
-                shown = b";".join([known[k][4] for k in at])
-                digests.append(hashlib.sha256(shown).hexdigest() if at else "")
+                digests.append(hashlib.sha256(b";".join(map(shown.__getitem__, at))).hexdigest() if at else "")
         unit = np.concatenate([np.empty(0, np.int64), *rows])
         size = np.array(sizes, np.int64)
         doc, _ = runs(size)
