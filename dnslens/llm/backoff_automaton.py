@@ -44,6 +44,8 @@ from dnslens.llm.slice_tally import (
 ORDER, DISCOUNT, MIN_COUNT = 3, 0.75, (1, 1, 2)
 #: Documents whose crc32 leaves this remainder by this divisor are held out.
 FOLDS, HELD_OUT = 5, 1
+#: Text of a slice; its n-grams of all orders are held at once.
+SLICE_BYTES = 4 << 20
 END = np.uint64(0x5E0FEED0C0FFEE01)
 #: Contexts travel beside n-grams, on levels of their own.
 CONTEXT = 10
@@ -242,7 +244,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         raise ValueError(f"order must be 1 to {len(MIN_COUNT)}")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held"))
-    cut, buckets = cut_slices(rows, _slice, _SLICE_SCHEMA, _SLICE)
+    cut, buckets = cut_slices(rows, _slice, _SLICE_SCHEMA, _SLICE, most=SLICE_BYTES)
     tokens, trained = cut.agg(F.sum("n_tokens"), F.sum("n_train")).first()
     parts, trained = math.ceil((tokens or 1) / PART_KEYS), trained or 0
     needed = ["slice", "held", "lens", "words", "tokens"]

@@ -78,19 +78,20 @@ def runs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def cut_slices(docs: DataFrame, build: Callable[[int, list[pa.RecordBatch]], dict], schema: pa.Schema, fields: str, text: str = "text") -> tuple[DataFrame, int]:
+def cut_slices(docs: DataFrame, build: Callable[[int, list[pa.RecordBatch]], dict], schema: pa.Schema, fields: str, text: str = "text", most: int | None = None) -> tuple[DataFrame, int]:
     """The table of slices, stored and bucketed by ``slice``, and the number of its buckets.
 
-    ``build`` takes a slice's number and its rows in batches of about a megabyte and gives one row of ``schema``.
+    ``build`` takes a slice's number and its rows in batches of about a megabyte and gives one row of ``schema``; a slice
+    is closed when it has ``most`` bytes of text.
     """
-    spark = docs.sparkSession
+    spark, most = docs.sparkSession, most or SLICE_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in slices(batches, text):
             held.append(batch)
             size += batch.column(batch.schema.get_field_index(text)).nbytes
-            if size >= SLICE_BYTES:
+            if size >= most:
                 yield pa.RecordBatch.from_pylist([build(number, held)], schema)
                 number, held, size = number + 1, [], 0
         if held:
@@ -99,7 +100,7 @@ def cut_slices(docs: DataFrame, build: Callable[[int, list[pa.RecordBatch]], dic
         give_back()
 
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = min(MAX_BUCKETS, math.ceil((total + 1) / BUCKET_BYTES))
+    buckets = min(MAX_BUCKETS, math.ceil((total + 1) / min(BUCKET_BYTES, 2 * most)))
     # An external table: the files are in the shared folder, the catalogue only knows that they are bucketed.
     name = f"slices_{uuid.uuid4().hex}"
     made = docs.mapInArrow(run, fields).write.format("parquet").bucketBy(buckets, "slice")

@@ -85,7 +85,7 @@ def test_scores_are_those_of_the_plain_model(odd, order):
 
 
 def test_scores_over_the_given_documents(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(slice_tally, "SLICE_BYTES", 1 << 15)
+    monkeypatch.setattr(backoff_automaton, "SLICE_BYTES", 1 << 15)
     monkeypatch.setattr(backoff_automaton, "PART_KEYS", 10_000)
     got = same_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     held = [r for r in got if r[1]]
