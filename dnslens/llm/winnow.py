@@ -1,30 +1,35 @@
 """Operator 7: benchmark decontamination by winnowing, in DataFrame and SQL expressions only.
 
-A span of ``SPAN`` words holds ``SPAN - K + 1`` k-grams of ``K`` words; of each span the least k-gram hash is kept (the
-rightmost of equal ones), on both sides. So two texts that share a span share its kept hash: every shared span is
-found. A hit of kept hashes gives an alignment of a document with an item, which is then extended: the words are
-compared along it, and the runs of at least a span (the whole item, if it is shorter) count.
-
-Items shorter than a span use their own length as span, with k-grams of at most ``K`` words; documents are winnowed
-once for each length that occurs, ten at most.
+A span of ``SPAN`` words holds ``SPAN - K + 1`` k-grams of ``K`` words; of each span the least k-gram hash is kept, on
+both sides. So two texts that share a span share its kept hash: every shared span is found. A document's span whose
+kept hash is one of the benchmark's is a hit, and is extended: its words, each as a 64-bit hash, must be those of a
+benchmark span with that kept hash. Spans that lie side by side make the longer runs.
+
+Items shorter than a span use their own length as span, with k-grams of at most ``K`` words. Documents are read and
+winnowed once, in blocks of ``BLOCK`` words, whatever lengths occur. Equal spans of the benchmark are one row, so a word
+repeated over and over on both sides costs its positions, not pairs of positions.
 """
 
 from __future__ import annotations
 
 import string
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dnslens.llm.common import bounded, stored
 
 SPAN, K = 10, 5
-#: Rows up to which the benchmark's kept hashes, and candidate document ids, are broadcast; beyond it they are shuffled.
+#: Words of a document that are winnowed together; blocks overlap by a span less one word.
+BLOCK = 512
+#: Rows up to which the benchmark's spans, and the documents hit, are broadcast; beyond it they are shuffled.
 BROADCAST_FINGERPRINTS = 1_000_000
 BROADCAST_IDS = 500_000
 # Everything that is no word character, before lower-casing. A fixed value.
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A document's row: rows that repeat both id and text share their hits.
+KEY = ["doc_id", "text_key"]
 
 
 def words(text: str) -> F.Column:
@@ -36,124 +41,126 @@ def words(text: str) -> F.Column:
     return F.array_remove(F.split(folded, SEPARATOR), "")
 
 
-def kept(df: DataFrame, span: int, columns: list[str]) -> DataFrame:
-    """``columns``, and for every span of ``words`` the kept hash ``fp`` and its word position ``at``."""
-    k = min(K, span)
-    grams = span - k + 1
-    hashed = df.filter(F.size("words") >= span).select(*columns, F.expr("transform(words, w -> xxhash64(w))").alias("h"))
-    shifted = ", ".join(f"slice(h, {j + 1}, size(h) - {span - 1})" for j in range(span))
-    rows = hashed.select(
-        *columns, F.expr(f"inline(arrays_zip(sequence(0, size(h) - {span}), {shifted}))").alias("i", *[f"h{j}" for j in range(span)])
+def kept(df: DataFrame, lengths: list[int], columns: list[str]) -> DataFrame:
+    """``columns``, and for every span of ``words`` of one of the ``lengths`` its place, length, kept hash and word hashes.
+
+    The columns are ``at``, ``n``, ``fp`` and ``h0`` to ``h9``; those at ``n`` and beyond are not part of the span.
+    """
+    hashes = F.expr(f"concat(transform(words, w -> xxhash64(w)), array_repeat(cast(null as bigint), {SPAN - 1}))")
+    blocks = (
+        df.filter(F.size("words") >= min(lengths))
+        .select(*columns, F.size("words").alias("size"), hashes.alias("h"))
+        .select(*columns, F.expr(f"inline(transform(sequence(0, size - 1, {BLOCK}), b -> struct(b, slice(h, b + 1, {BLOCK + SPAN - 1}))))").alias("from", "h"))
     )
-    hashes = [F.xxhash64(*[f"h{j}" for j in range(g, g + k)]).alias(f"g{g}") for g in range(grams)]
-    rows = rows.select(*columns, "i", *hashes)
-    least = F.least(*[f"g{g}" for g in range(grams)]) if grams > 1 else F.col("g0")
-    rows = rows.withColumn("fp", least)
-    place = F.coalesce(*[F.when(F.col(f"g{g}") == F.col("fp"), F.lit(g)) for g in reversed(range(grams))])
-    return rows.select(*columns, "fp", (F.col("i") + place).alias("at"))
+    places = f"size(h) - {SPAN - 1}"
+    shifted = ", ".join(f"slice(h, {j + 1}, {places})" for j in range(SPAN))
+    names = [f"h{j}" for j in range(SPAN)]
+    rows = blocks.select(
+        *columns, "from", F.expr(f"inline(arrays_zip(sequence(0, {places} - 1), {shifted}))").alias("i", *names)
+    ).withColumn("at", F.col("from") + F.col("i"))
+    least = [F.when(F.col(f"h{n - 1}").isNotNull(), F.struct(F.lit(n).alias("n"), _least(n).alias("fp"))) for n in lengths]
+    spans = least[0] if len(least) == 1 else F.explode(F.array(*least))
+    rows = rows.select(*columns, "at", *names, spans.alias("span")).filter("span IS NOT NULL")
+    return rows.select(*columns, "at", "span.n", "span.fp", *names)
+
+
+def _least(n: int) -> F.Column:
+    """The least hash of the k-grams in a span of ``n`` words."""
+    k = min(K, n)
+    grams = [F.xxhash64(*[f"h{j}" for j in range(g, g + k)]) for g in range(n - k + 1)]
+    return F.least(*grams) if len(grams) > 1 else grams[0]
+
 
+def _worded(df: DataFrame) -> DataFrame:
+    """The word hashes of a span as one array ``run``, which is as long as the span."""
+    run = F.slice(F.array(*[f"h{j}" for j in range(SPAN)]), F.lit(1), F.col("n"))
+    return df.withColumn("run", run).drop(*[f"h{j}" for j in range(SPAN)])
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, spans: bool = True) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items (sorted item ids as strings), spans.
 
-    ``spans`` are the runs of hit words per item: item_id, first word, number of words. Null or empty texts have no
-    words and no hits; items without words are ignored; repeated documents each get a row, repeated items count once;
-    an empty benchmark leaves all documents clean. Other columns of either table are not carried.
+    ``spans`` are the runs of hit words per item: item_id, first word, number of words; they are left out on request.
+    Null or empty texts have no words and no hits; items without words are ignored; repeated documents each get a row,
+    repeated items count once; an empty benchmark leaves all documents clean. Other columns of either table are not
+    carried.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     items = (
         benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
         .select("item_id", words("text").alias("words"))
         .filter(F.size("words") > 0)
         .distinct()
-        .withColumn("item", F.xxhash64("item_id", "words"))
+        .withColumn("body", F.xxhash64("words"))
     )
     items, _ = stored(items, "items")
     length = F.least(F.size("words"), F.lit(SPAN))
-    spans = sorted(r[0] for r in items.select(length).distinct().collect())
-    worded = docs.select("doc_id", words("text").alias("words"))
-    found = None
-    for span in spans:
-        marks = kept(items.filter(length == span), span, ["item"]).distinct().withColumnRenamed("at", "item_at")
-        marks, _ = stored(marks, "marks")
-        pairs = (
-            kept(worded, span, ["doc_id"])
-            .join(bounded(marks, BROADCAST_FINGERPRINTS), "fp")
-            .select("doc_id", "item", (F.col("at") - F.col("item_at")).alias("shift"))
-        )
-        found = pairs if found is None else found.union(pairs)
-    light = docs.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
-    none = light.select(
-        "doc_id",
-        "n_words",
-        F.lit(0).cast("long").alias("n_hit"),
-        F.lit(0).cast("long").alias("n_items"),
-        F.expr("cast(array() as array<string>)").alias("items"),
-        F.expr("cast(array() as array<struct<item_id: string, first: int, words: int>>)").alias("spans"),
-    )
-    if found is None:
-        return none
-    found, _ = stored(found.distinct(), "candidates")
-    ids = found.select("doc_id").distinct()
-    ids, _ = stored(ids, "candidate-ids")
-    ids = bounded(ids.withColumnRenamed("doc_id", "candidate"), BROADCAST_IDS)
-    same = F.col("doc_id").eqNullSafe(F.col("candidate"))
-    aligned = (
-        found.join(items, "item")
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("item_id", "shift", F.col("words").alias("text"))).alias("marks"))
-        .withColumnRenamed("doc_id", "candidate")
-    )
-    hit = _extended(worded.join(ids, same, "left_semi").join(aligned, same))
-    return none.join(ids, same, "left_anti").union(hit)
-
-
-def _extended(rows: DataFrame) -> DataFrame:
-    """Compare the words along each alignment; keep what lies in a run of equal words at least a span long."""
-    runs = """transform(marks, m -> named_struct(
-        'item_id', m.item_id,
-        'first', greatest(m.shift, 0),
-        'span', least(size(m.text), {span}),
-        'equal', zip_with(
-            slice(words, greatest(m.shift, 0) + 1, {n}),
-            slice(m.text, greatest(-m.shift, 0) + 1, {n}),
-            (a, b) -> a = b)))""".format(
-        span=SPAN, n="greatest(0, least(size(words) - greatest(m.shift, 0), size(m.text) - greatest(-m.shift, 0)))"
+    lengths = sorted(r[0] for r in items.select(length).distinct().collect())
+    rows = docs.select(*KEY, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
+    nothing = {"n_hit": "0L", "n_items": "0L", "items": "cast(array() as array<string>)"}
+    if spans:
+        nothing["spans"] = "cast(array() as array<struct<item_id: string, first: int, words: int>>)"
+    if not lengths:
+        return rows.select("doc_id", "n_words", *[F.expr(none).alias(name) for name, none in nothing.items()])
+    bodies = items.dropDuplicates(["body"]).withColumn("own", length)
+    marks = _worded(kept(bodies, lengths, ["body", "own"]).filter("n = own")).select("fp", "run", "body").distinct()
+    marks, _ = stored(marks, "marks")
+    hit = (
+        kept(docs.select(*KEY, words("text").alias("words")), lengths, KEY)
+        .join(bounded(marks.select("fp").distinct(), BROADCAST_FINGERPRINTS), "fp", "left_semi")
+        .transform(_worded)
+        .join(bounded(marks.select("fp", "run").distinct(), BROADCAST_FINGERPRINTS), ["fp", "run"], "left_semi")
+        .select(*KEY, "at", "n", "fp", "run")
+        .distinct()
     )
-    # A span is hit if none of its words differs: the positions of differing words are the only thing to look at.
-    starts = """transform(runs, r -> named_struct(
-        'item_id', r.item_id, 'span', r.span,
-        'starts', transform(
-            filter(
-                sequence(0, greatest(size(r.equal) - r.span, 0)),
-                j -> j + r.span <= size(r.equal) and forall(slice(r.equal, j + 1, r.span), x -> x)),
-            j -> j + r.first)))"""
-    merged = """flatten(transform(filter(starts, s -> size(s.starts) > 0), s -> transform(
-        filter(s.starts, j -> not array_contains(s.starts, j - 1)),
-        j -> named_struct('item_id', s.item_id, 'first', j, 'words',
-            cast(s.span + array_min(filter(s.starts, e -> e >= j and not array_contains(s.starts, e + 1))) - j as int)))))"""
-    return (
-        rows.select("doc_id", "words", F.expr(runs).alias("runs"))
-        .select("doc_id", "words", F.expr(starts).alias("starts"))
-        .select(
-            "doc_id",
-            F.size("words").cast("long").alias("n_words"),
-            F.expr(
-                "size(array_distinct(flatten(transform(starts, s -> flatten(transform(s.starts, "
-                "j -> sequence(j, j + s.span - 1)))))))"
-            )
-            .cast("long")
-            .alias("n_hit"),
-            F.expr("array_sort(array_distinct(transform(filter(starts, s -> size(s.starts) > 0), s -> s.item_id)))").alias("items"),
-            F.expr(merged).alias("spans"),
-        )
-        .select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans")
+    hit, _ = stored(hit, "hits")
+    found = _covered(hit).join(_named(hit, marks, items).withColumnsRenamed(_BESIDE), _same(), "left").drop(*_BESIDE.values())
+    if spans:
+        found = found.join(_runs(hit, marks, items).withColumnsRenamed(_BESIDE), _same(), "left").drop(*_BESIDE.values())
+    found, _ = stored(found, "found")
+    beside = bounded(found.withColumnsRenamed(_BESIDE), BROADCAST_IDS)
+    return rows.join(beside, _same(), "left").select(
+        "doc_id", "n_words", *[F.coalesce(F.col(name), F.expr(none)).alias(name) for name, none in nothing.items()]
     )
 
 
+_BESIDE = {"doc_id": "hit_id", "text_key": "hit_key"}
+
+
+def _same() -> F.Column:
+    return F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key"))
+
+
+def _covered(hit: DataFrame) -> DataFrame:
+    """Words of a document that lie in any of its hits: each hit adds what lies behind the furthest end before it."""
+    ends = hit.groupBy(*KEY, "at").agg(F.max(F.col("at") + F.col("n")).alias("end"))
+    before = Window.partitionBy(*KEY).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.coalesce(F.max("end").over(before), F.lit(0))
+    more = F.greatest(F.col("end") - F.greatest("at", reached), F.lit(0)).alias("more")
+    return ends.select(*KEY, more).groupBy(*KEY).agg(F.sum("more").cast("long").alias("n_hit"))
+
+
+def _named(hit: DataFrame, marks: DataFrame, items: DataFrame) -> DataFrame:
+    """The items of a document: its distinct runs name texts of the benchmark, these the items that have them."""
+    texts = hit.select(*KEY, "fp", "run").distinct().join(marks, ["fp", "run"]).select(*KEY, "body").distinct()
+    ids = texts.join(items.select("body", "item_id"), "body").select(*KEY, "item_id").distinct()
+    named = F.array_sort(F.collect_list("item_id"))
+    return ids.groupBy(*KEY).agg(F.count("*").alias("n_items"), named.alias("items"))
+
+
+def _runs(hit: DataFrame, marks: DataFrame, items: DataFrame) -> DataFrame:
+    """The runs of a document's hits for each item: places that follow one another make one run."""
+    places = hit.join(marks, ["fp", "run"]).join(items.select("body", "item_id"), "body").select(*KEY, "item_id", "at", "n").distinct()
+    order = Window.partitionBy(*KEY, "item_id", "n").orderBy("at")
+    runs = places.withColumn("island", F.col("at") - F.row_number().over(order)).groupBy(*KEY, "item_id", "n", "island")
+    ends = runs.agg(F.min("at").alias("first"), (F.max("at") + F.col("n") - F.min("at")).alias("words"))
+    return ends.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("item_id", "first", "words"))).alias("spans"))
+
+
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The contract's columns of ``decontaminate``."""
-    return decontaminate(docs, benchmark).select(
+    return decontaminate(docs, benchmark, spans=False).select(
         "doc_id",
         "n_words",
         "n_hit",

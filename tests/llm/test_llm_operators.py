@@ -311,6 +311,32 @@ def test_winnow(spark, odd, empty):
     assert winnow.report(odd, bench.filter("false")).filter("contaminated").count() == 0
 
 
+def test_winnow_repetitive(spark):
+    """One word over and over on both sides, every item in one document, many items that are one text."""
+    base = prose(77, 1_300)
+    pool = base.split()
+    cut = [" ".join(pool[i : i + 10 + i % 5]) for i in range(0, 1_200, 3)]
+    items = [(i, t) for i, t in enumerate([*cut, "a " * 1_000, "a " * 7, "b", *["c d " * 30] * 200])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(0, "a " * 100_000), (1, base), (2, "c d " * 2_000), (3, "b " * 600 + "a " * 8), (None, base), (None, "b"), (0, "a " * 100_000)],
+        "doc_id long, text string",
+    )
+    got = {(r.doc_id, r.n_words): r for r in winnow.decontaminate(docs, bench).collect()}
+    assert len(got) == 6
+    ids = {t: sorted(str(i) for i, x in items if x == t) for t in {t for _, t in items}}
+    ones = ids["a " * 1_000] + ids["a " * 7]
+    assert (got[0, 100_000].n_hit, got[0, 100_000].items) == (100_000, sorted(ones))
+    assert {(s.first, s.words) for s in got[0, 100_000].spans} == {(0, 100_000)}
+    plain = [(str(i), t.split()) for i, t in items if t in cut]
+    n, names = plain_hits(pool, plain)
+    for key in ((1, 1_300), (None, 1_300)):
+        assert (got[key].n_hit, got[key].items) == (n, names)
+    assert (got[2, 4_000].n_hit, got[2, 4_000].n_items) == (4_000, 200)
+    assert (got[3, 608].n_hit, got[3, 608].items) == (608, sorted(ids["b"] + ids["a " * 7]))
+    assert (got[None, 1].n_hit, got[None, 1].items) == (1, ids["b"])
+
+
 def test_winnow_without_broadcast(spark, sf_dir, monkeypatch):
     docs, bench = docs_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     before = sorted(winnow.report(docs, bench).collect())
