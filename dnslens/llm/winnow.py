@@ -25,9 +25,9 @@ BLOCK = 512
 #: Rows up to which the benchmark's spans, and the documents hit, are broadcast; beyond it they are shuffled.
 BROADCAST_FINGERPRINTS = 1_000_000
 BROADCAST_IDS = 500_000
-# Everything that is no word character, before lower-casing. A fixed value.
-SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# Word characters are ASCII letters and digits and all that is not ASCII; possessive classes of one look-up each.
+SEPARATOR = r"[\p{ASCII}&&\P{Alnum}]++"
+WORD = r"[\p{Alnum}[^\p{ASCII}]]++"
 #: A document's row: rows that repeat both id and text share their hits.
 KEY = ["doc_id", "text_key"]
 
