@@ -36,7 +36,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no span with the benchmark."""
-    verdict = winnow.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    verdict = winnow.decontaminate(docs, table(spark, sf_dir, "benchmark"), spans=False)
     hit, _ = stored(verdict.filter("n_hit > 0").select(F.col("doc_id").alias("__hit")).distinct(), "contaminated")
     few = hit.limit(winnow.BROADCAST_IDS + 1).count() <= winnow.BROADCAST_IDS
     return docs.join(F.broadcast(hit) if few else hit, F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti").select(*docs.columns)
