@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from typing import TYPE_CHECKING, Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dnslens.operators.asof import asof
 from dnslens.operators.scans import bounded_windows
 
+if TYPE_CHECKING:
+    from pyspark.ml import PipelineModel
+
 
 def features(
     t: DataFrame,
@@ -117,6 +123,51 @@ def predict(model, t: DataFrame) -> DataFrame:
     return model.transform(t).drop("features")
 
 
+class Predictor(Protocol):
+    """Adds ``predicted_us`` to rows of features. Score and sinks never ask which one it is."""
+
+    def predict(self, t: DataFrame) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class Fitted:
+    """A trained pipeline."""
+
+    model: PipelineModel
+
+    def predict(self, t: DataFrame) -> DataFrame:
+        return predict(self.model, t)
+
+
+@dataclass(frozen=True)
+class TrailingMean:
+    """Mean of the last ``span`` values of each key, the present one included (binned input)."""
+
+    keys: Sequence[str]
+    col: str
+    t_us: str
+    cell: int
+    span: int = 3
+
+    def predict(self, t: DataFrame) -> DataFrame:
+        def exprs(w):
+            return {"predicted_us": F.avg(self.col).over(w.rowsBetween(1 - self.span, 0))}
+
+        return bounded_windows(t, self.keys, self.t_us, self.span, exprs, cell=self.cell)
+
+
+def with_estimates(
+    t: DataFrame, published: DataFrame, keys: Sequence[str], t_us: str, issued_us: str, fallback: str, *, cell_us: int
+) -> DataFrame:
+    """Add ``predicted_us``: the last prediction published for the key by then, ``fallback`` before the first.
+
+    Of predictions with the same key and instant the greatest counts.
+    """
+    rows = published.groupBy(*keys, issued_us).agg(F.max("predicted_us").alias("predicted_us"))
+    found = asof(t, rows, t_us, issued_us, ["predicted_us"], keys, cell_us=cell_us)
+    return found.withColumn("predicted_us", F.coalesce("predicted_us", fallback))
+
+
 def evaluate(pred: DataFrame) -> DataFrame:
     """Mean absolute error by split of the model and its baselines.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dnslens.operators import asof, choice, correlate, health, policies, prepare, ratelimit, scoring, telemetry
+from dnslens.operators import asof, choice, correlate, health, learning, policies, prepare, ratelimit, scoring, telemetry
 from dnslens.plans import views as v
 from dnslens.plans.fragments import bucket_walk_sql, health_walk_sql, sql, uniform_sql
 from dnslens.plans.registry import query
@@ -396,16 +396,16 @@ def a9(spark, sf):
 # -- scoring ------------------------------------------------------------------------------------
 
 
-def _scored(spark, sf):
-    snap = v.snapshots(spark, sf).join(v.affinity(spark).select("region", "site", "geo_distance"), ["region", "site"])
+def _scored(spark, sf, snap=None):
+    snap = (v.snapshots(spark, sf) if snap is None else snap).join(v.affinity(spark).select("region", "site", "geo_distance"), ["region", "site"])
     risk = scoring.failure_risk(snap, ["region", "backend"], "version", 20, cell=64)
     return prepare.eligible(risk).selectExpr(
         "*", f"n / {BIN / 1e6}D AS qps", "weight * 1000 AS capacity", "CASE WHEN n > 0 THEN bad / n ELSE 0.0D END AS error_rate",
-        "0.0D AS timeout_rate", "n AS inflight", "ewma_us * 2 AS predicted_us",
+        "0.0D AS timeout_rate", "n AS inflight",
     )
 
 
-def _score_sql(latency: str) -> str:
+def _score_sql(latency: str, source: str = "risk", **more: str) -> str:
     cols = {"latency": latency, "load": f"n / {BIN / 1e6} / (weight * 1000)", "error": "CASE WHEN n > 0 THEN bad / n ELSE 0.0 END", "geo": "geo_distance", "queue": "n"}
     bounds = ", ".join(f"min({c}) OVER w AS lo_{c}, max({c}) OVER w AS hi_{c}" for c in cols)
     total = " + ".join(f"CASE WHEN hi_{c} > lo_{c} THEN ({c} - lo_{c}) / (hi_{c} - lo_{c}) ELSE 0.0 END" for c in cols)
@@ -413,7 +413,8 @@ def _score_sql(latency: str) -> str:
         "snap affinity",
         "SELECT version, region, backend, round(score, 6) AS score, round(exp(-score / 0.2) / sum(exp(-score / 0.2)) OVER (PARTITION BY version, region), 6) AS score_weight FROM scored",
         risk="SELECT s.*, a.geo_distance, avg((health <> 'HEALTHY')::INTEGER) OVER (PARTITION BY s.region, backend ORDER BY version ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS risk FROM snap s JOIN affinity a ON a.region = s.region AND a.site = s.site",
-        terms="SELECT version, region, backend, risk, " + ", ".join(f"({e})::DOUBLE AS {c}" for c, e in cols.items()) + " FROM risk WHERE health <> 'UNHEALTHY'",
+        **more,
+        terms="SELECT version, region, backend, risk, " + ", ".join(f"({e})::DOUBLE AS {c}" for c, e in cols.items()) + f" FROM {source} WHERE health <> 'UNHEALTHY'",
         ranges=f"SELECT *, {bounds} FROM terms WINDOW w AS (PARTITION BY version, region)",
         scored=f"SELECT version, region, backend, risk + {total} AS score FROM ranges",
     )
@@ -425,9 +426,23 @@ def r_score(spark, sf):
     return t.select("version", "region", "backend", F.round("score", 6).alias("score"), F.round("score_weight", 6).alias("score_weight"))
 
 
-@query("r_est_model_estimator", _score_sql("ewma_us * 2"))
+# Predictions come out with every other snapshot, so a score mostly finds one by as-of, not beside it.
+@query(
+    "r_est_model_estimator",
+    _score_sql(
+        "predicted_us",
+        "estimated",
+        means="SELECT version, region, backend, published_us AS issued_us, avg(ewma_us) OVER (PARTITION BY region, backend ORDER BY version ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS mean_us FROM snap",
+        estimated="SELECT r.*, coalesce(p.mean_us, r.ewma_us) AS predicted_us FROM risk r ASOF LEFT JOIN (SELECT * FROM means WHERE version % 2 = 0) p ON r.region = p.region AND r.backend = p.backend AND r.published_us >= p.issued_us",
+    ),
+)
 def r_est(spark, sf):
-    t = scoring.adaptive_score(_scored(spark, sf), estimator="model")
+    keys = ["region", "backend"]
+    snap = v.stored(v.snapshots(spark, sf))
+    means = learning.TrailingMean(keys, "ewma_us", "version", cell=64).predict(snap.select(*keys, "version", "published_us", "ewma_us"))
+    published = means.filter("version % 2 = 0").withColumnRenamed("published_us", "issued_us")
+    rows = learning.with_estimates(_scored(spark, sf, snap), published, keys, "published_us", "issued_us", "ewma_us", cell_us=64 * BIN)
+    t = scoring.adaptive_score(rows, estimator="model")
     return t.select("version", "region", "backend", F.round("score", 6).alias("score"), F.round("score_weight", 6).alias("score_weight"))
 
 

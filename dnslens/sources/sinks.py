@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dnslens.operators.health import transitions
+from dnslens.operators.learning import Predictor
 from dnslens.sources.event_log import event_lines
 
 
@@ -42,6 +43,11 @@ def advice_writer(path: str, ttl_us: int) -> Callable[[DataFrame, int], None]:
     return _per_batch(path, lambda b: with_ttl(b, ttl_us), "parquet")
 
 
+def prediction_writer(path: str, predictor: Predictor, keys: Sequence[str], issued_us: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch writer of versioned predictions: keys, when they were issued, ``predicted_us``."""
+    return _per_batch(path, lambda b: predictor.predict(b).select(*keys, issued_us, "predicted_us"), "parquet")
+
+
 def alert_writer(path: str) -> Callable[[DataFrame, int], None]:
     """Health states in, transition events out as JSON lines."""
     return _per_batch(path, lambda b: event_lines(transitions(b)), "text")

@@ -357,3 +357,32 @@ def test_nested_prefixes_against_brute_force(spark, monkeypatch, few):
     q = spark.createDataFrame(rows, "id int, client_family string, client_hi long, client_lo long")
     got = {r.id: r.region for r in geo.region_lpm(q, spark.createDataFrame(listed, "region string, cidr string")).collect()}
     assert got == {i: brute(v, a) for i, (v, a) in enumerate(asked)}
+
+
+def test_published_predictions_reach_the_score(spark, tmp_path):
+    """Two predictors behind one writer; a batch written twice counts once; the score follows the estimator."""
+    from dnslens.operators import scoring
+    from dnslens.sources.sinks import prediction_writer
+
+    rows = [("r", b, i, float(x)) for b, xs in (("a", (10, 20, 60, 70)), ("b", (90, 30, 30, 10))) for i, x in enumerate(xs)]
+    t = spark.createDataFrame([*rows, ("r", "new", 3, 40.0)], "region string, backend string, at_us long, ewma_us double")
+    t = t.withColumn("f_now", F.col("ewma_us")).withColumn("label", F.col("ewma_us") * 2).withColumn("split", F.lit("train"))
+    keys = ["region", "backend"]
+    mean = learning.TrailingMean(keys, "ewma_us", "at_us", cell=4)
+    assert {(r.backend, r.at_us): r.predicted_us for r in mean.predict(t).collect()}["a", 3] == 50.0
+    estimates = {}
+    for name, predictor in (("mean", mean), ("fitted", learning.Fitted(learning.train(t, "linear", 1)))):
+        write = prediction_writer(str(tmp_path / name), predictor, keys, "at_us")
+        for batch in (0, 1, 1):
+            write(t.filter(F.col("at_us") < 3 if batch == 0 else F.lit(False)), batch)
+        told = spark.read.parquet(str(tmp_path / name)).drop("batch_id").withColumnRenamed("at_us", "issued_us")
+        assert told.count() == 6
+        now = t.filter("at_us = 3")
+        got = learning.with_estimates(now, told, keys, "at_us", "issued_us", "ewma_us", cell_us=2)
+        estimates[name] = {r.backend: r.predicted_us for r in got.collect()}
+        assert estimates[name]["new"] == 40.0
+    assert estimates["mean"] == {"a": 30.0, "b": 50.0, "new": 40.0}
+    assert estimates["fitted"]["a"] > 100 > estimates["mean"]["a"]
+    flat = got.selectExpr("*", "1L AS version", "1D AS qps", "1D AS capacity", "0D AS error_rate", "0D AS timeout_rate", "0D AS geo_distance", "0 AS inflight", "0D AS failure_risk")
+    best = {e: scoring.adaptive_score(flat, estimator=e).orderBy("score").first().backend for e in ("ewma", "model")}
+    assert best["ewma"] == "b" and best["model"] == "new"
