@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dnslens.plans.views import AFFINITY, BACKENDS, BIN, POLICIES, REGION_CIDRS, REGIONS, SCENARIOS, TIMEOUT_US
+from dnslens.plans.views import AFFINITY, BACKENDS, BIN, CLIENT, POLICIES, REGION_CIDRS, REGIONS, SCENARIOS, TIMEOUT_US, ZONES
 
 _BACKEND = "CASE k % 4 " + " ".join(f"WHEN {i} THEN '{b[0]}'" for i, b in enumerate(BACKENDS)) + " END"
 _QTYPE = (
@@ -24,7 +24,6 @@ _CIDR_ROWS = ", ".join(f"('{r}', {_net(c)[0]}, {_net(c)[1]})" for r, c in REGION
 _AFFINITY_ROWS = ", ".join(f"('{r}', '{s}', {t}, {d}::DOUBLE)" for r, s, t, d in AFFINITY)
 _BACKEND_ROWS = ", ".join(f"('{b}', {w}::DOUBLE, '{s}', {i})" for i, (b, w, s) in enumerate(BACKENDS))
 _REGION_ROWS = ", ".join(f"('{r}')" for r in REGIONS)
-_SITES = ("india", "southeast_asia", "europe", "north_america")
 
 #: name -> (names it needs, definition)
 FRAGMENTS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -37,7 +36,7 @@ FRAGMENTS: dict[str, tuple[tuple[str, ...], str]] = {
     "ql": (
         ("ev",),
         "SELECT event_id AS query_id, t_us AS arrival_us, event_id % 2 AS worker_id, "
-        "2130706432 + (1 + user_id % 4) * 65536 + user_id % 65536 AS client_lo, user_id, event_type, "
+        f"CAST({CLIENT} AS BIGINT) AS client_lo, user_id, event_type, "
         f"concat('q', k, '.example') AS qname, {_QTYPE} AS qtype, {_QHASH} AS question_hash, k FROM ev",
     ),
     "cidrs": ((), f"SELECT * FROM (VALUES {_CIDR_ROWS}) v(region, net, plen)"),
@@ -131,7 +130,7 @@ FRAGMENTS: dict[str, tuple[tuple[str, ...], str]] = {
         f"CASE (event_id // 2) % 2 WHEN 0 THEN '{POLICIES[0]}' ELSE '{POLICIES[1]}' END AS policy, "
         "(event_id // 4) % 5 AS rep, CASE WHEN (event_id // 4) % 5 = 4 THEN 'A' ELSE 'B' END AS mode, "
         "event_id AS seq, CASE user_id % 4 "
-        + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_SITES))
+        + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(ZONES))
         + " END AS region, t_us AS intended_us, t_us + (event_id % 7) * 1000 AS send_us, "
         f"CASE WHEN lat_us <= {TIMEOUT_US} THEN t_us + (event_id % 7) * 1000 + lat_us END AS recv_us, "
         f"CASE WHEN lat_us > {TIMEOUT_US} THEN 'timeout' WHEN event_type = 'error' THEN 'fail' ELSE 'ok' END AS status, "

@@ -312,7 +312,7 @@ def j1_v6(spark, sf):
     sql(
         "ql cidrs",
         "SELECT query_id, arg_max(region, plen) AS region FROM e JOIN cidrs d ON addr >= net AND addr < net + (1::BIGINT << (32 - plen)) GROUP BY 1",
-        e="SELECT query_id, CASE WHEN query_id % 5 = 0 THEN 2130706432 + (1 + (user_id + 1) % 4) * 65536 ELSE client_lo END AS addr FROM ql",
+        e=f"SELECT query_id, CASE WHEN query_id % 5 = 0 THEN {v.SHARED_SPACE} + ((user_id + 1) % 4) * {1 << v.ZONE_BITS} ELSE client_lo END AS addr FROM ql",
     ),
 )
 def j2(spark, sf):

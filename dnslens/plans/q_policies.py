@@ -137,9 +137,11 @@ def w7(spark, sf):
     return t.select("window_us", "backend", "run")
 
 
+#: The backend that a second attempt goes to: the next one.
+_NEXT = "CASE backend " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in zip(NAMES, [*NAMES[1:], NAMES[0]])) + " END"
 _RETRIED = (
     "SELECT query_id, 1 AS attempt_no, backend, send_us FROM att UNION ALL SELECT query_id, 2, backend_next, deadline_us FROM ("
-    "SELECT a.*, CASE backend WHEN 'pop-germany' THEN 'pop-india' WHEN 'pop-india' THEN 'pop-singapore' WHEN 'pop-singapore' THEN 'pop-us-east' ELSE 'pop-germany' END AS backend_next "
+    f"SELECT a.*, {_NEXT} AS backend_next "
     "FROM outc a WHERE recv_us IS NULL)"
 )
 
@@ -156,8 +158,7 @@ def w8(spark, sf):
     from dnslens.operators.experiments import failovers
 
     done = v.outcomes(spark, sf)
-    nxt = "CASE backend WHEN 'pop-germany' THEN 'pop-india' WHEN 'pop-india' THEN 'pop-singapore' WHEN 'pop-singapore' THEN 'pop-us-east' ELSE 'pop-germany' END"
-    second = done.filter("recv_us IS NULL").selectExpr("query_id", "2 AS attempt_no", f"{nxt} AS backend")
+    second = done.filter("recv_us IS NULL").selectExpr("query_id", "2 AS attempt_no", f"{_NEXT} AS backend")
     both = done.select("query_id", "attempt_no", "backend").unionByName(second)
     return failovers(both)
 

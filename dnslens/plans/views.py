@@ -22,22 +22,19 @@ HOUR = 3_600_000_000
 BIN = 6 * HOUR
 TIMEOUT_US = 200_000
 
-# The development fleet.
-BACKENDS = (
-    ("pop-india", 4, "india"),
-    ("pop-singapore", 3, "singapore"),
-    ("pop-germany", 2, "germany"),
-    ("pop-us-east", 2, "us_east"),
-)
+# The derived fleet: one zone of client addresses for each of four supplied regions, side by side in the space shared
+# by carriers, a pocket inside the second zone, and whatever the zones leave over. Zone i has a backend of weight 5 - i.
+ZONES = ("africa", "america", "asia", "europe")
+SHARED_SPACE, ZONE_BITS = 1_681_915_904, 20
+BACKENDS = tuple((f"ns-{zone}", 5 - i, zone) for i, zone in enumerate(ZONES))
 REGION_CIDRS = (
-    ("india", "127.1.0.0/16"),
-    ("southeast_asia", "127.2.0.0/16"),
-    ("europe", "127.3.0.0/16"),
-    ("north_america", "127.4.0.0/16"),
-    ("india_metro", "127.1.0.0/25"),
-    ("elsewhere", "127.0.0.0/8"),
+    *((zone, f"100.{64 + 16 * i}.0.0/12") for i, zone in enumerate(ZONES)),
+    ("isthmus", "100.80.0.0/24"),
+    ("elsewhere", "100.0.0.0/8"),
 )
-REGIONS = ("europe", "india", "india_metro", "north_america", "southeast_asia")
+REGIONS = tuple(sorted(name for name, _ in REGION_CIDRS if name != "elsewhere"))
+#: A client's address: its user's zone, and the user's number in it.
+CLIENT = f"({SHARED_SPACE} + (user_id % {len(ZONES)}) * {1 << ZONE_BITS} + user_id % {1 << ZONE_BITS})"
 # Preference tier and distance of each backend per region (our choice of numbers).
 AFFINITY = tuple(
     (region, site, abs(i - j) % 3, float((i * 7 + j * 5) % 11))
@@ -90,7 +87,7 @@ BACKEND = _case("k % 4", [b[0] for b in BACKENDS])
 
 
 def shape_queries(ev: DataFrame) -> DataFrame:
-    lo = "(2130706432L + (1 + user_id % 4) * 65536 + user_id % 65536)"
+    lo = f"cast({CLIENT} AS BIGINT)"
     return ev.selectExpr(
         "event_id AS query_id",
         "ts AS arrival_ts",
@@ -109,7 +106,7 @@ def shape_queries(ev: DataFrame) -> DataFrame:
         "'udp' AS transport",
         # Every fifth query carries the subnet of the "next" region's population.
         "named_struct('present', event_id % 5 = 0, 'udp_size', 1232, 'do', false, "
-        "'ecs_ip', CASE WHEN event_id % 5 = 0 THEN concat('127.', 1 + (user_id + 1) % 4, '.0.77') END, "
+        "'ecs_ip', CASE WHEN event_id % 5 = 0 THEN concat('100.', 64 + 16 * ((user_id + 1) % 4), '.0.77') END, "
         "'ecs_plen', CASE WHEN event_id % 5 = 0 THEN 24 END) AS edns",
     )
 
