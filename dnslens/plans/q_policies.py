@@ -447,7 +447,24 @@ def r_est(spark, sf):
     return t.select("version", "region", "backend", F.round("score", 6).alias("score"), F.round("score_weight", 6).alias("score_weight"))
 
 
-@query("w12_smooth")
+def _smoothed_sql(beta: float = 0.3, cap: float = 0.1) -> str:
+    """One region's ticks in order, each a list by backend; the walk carries the list of the tick before."""
+    blended = f"{beta} * x.w + (1 - {beta}) * list_filter(k.st, lambda y: y.b = x.b)[1].w"
+    before = "list_filter(k.st, lambda y: y.b = x.b)[1].w"
+    step = f"list_transform(a.ws, lambda x: {{'b': x.b, 'w': CASE WHEN {before} IS NULL THEN x.w ELSE least(greatest({blended}, {before} - {cap}), {before} + {cap}) END}})"
+    share = "list_transform({0}, lambda z: {{'b': z.b, 'w': CASE WHEN list_sum(list_transform({0}, lambda o: o.w)) > 0 THEN z.w / list_sum(list_transform({0}, lambda o: o.w)) ELSE 1.0 / len({0}) END}})"
+    return (
+        f"WITH RECURSIVE s AS ({_score_sql('ewma_us')}), "
+        f"ticks AS (SELECT region, version * {BIN} AS t_us, row_number() OVER (PARTITION BY region ORDER BY version) AS n, "
+        "list({'b': backend, 'w': score_weight} ORDER BY backend) AS ws FROM s GROUP BY region, version), "
+        f"walk AS (SELECT region, t_us, n, {share.format('ws')} AS st FROM ticks WHERE n = 1 "
+        f"UNION ALL SELECT region, t_us, n, {share.format('moved')} FROM (SELECT a.region, a.t_us, a.n, {step} AS moved "
+        "FROM walk k JOIN ticks a ON a.region = k.region AND a.n = k.n + 1)) "
+        "SELECT region, t_us, e.b AS backend, round(e.w, 6) AS smoothed FROM (SELECT region, t_us, unnest(st) AS e FROM walk)"
+    )
+
+
+@query("w12_smooth", _smoothed_sql())
 def w12(spark, sf):
     ticks = r_score(spark, sf).selectExpr("region", f"version * {BIN} AS t_us", "backend", "score_weight AS weight")
     return scoring.smooth(ticks, chunk_us=60 * BIN).select("region", "t_us", "backend", F.round("smoothed", 6).alias("smoothed"))
