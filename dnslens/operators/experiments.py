@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dnslens.operators.scans import bounded_windows
+from dnslens.operators.scans import BLOCK, bounded_windows, numbered, running
 from dnslens.operators.telemetry import inflight, latency_summary
 
 # Two-sided 95 % quantiles of Student's t for 9 to 29 degrees of freedom.
@@ -20,6 +20,12 @@ T_95 = (
     2.060, 2.056, 2.052, 2.048, 2.045,
 )
 
+#: Bins of one row of a grid before it is spread.
+GRID_BLOCK = 10_000
+
+#: Bins and faults of a run that one task sorts: an hour, 36,000 bins of 100 ms.
+FAULT_CELL = 3_600_000_000
+
 
 def failovers(att: DataFrame) -> DataFrame:
     """Count of (from, to) pairs between successive attempts of a query."""
@@ -161,7 +167,10 @@ def dense_bins(t: DataFrame, keys: Sequence[str], bin_us: int, t_us: str = "send
         F.count("*").alias("n"), F.expr(f"count_if({ok})").alias("good")
     )
     span = seen.groupBy(*keys).agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"))
-    grid = span.select(*keys, F.explode(F.sequence("lo", "hi")).alias("bin"))
+    # Two levels: no row holds more than GRID_BLOCK bins, and the blocks of a long run go to many tasks.
+    blocks = span.select(*keys, "lo", "hi", F.explode(F.expr(f"sequence(lo div {GRID_BLOCK}, hi div {GRID_BLOCK})")).alias("block"))
+    inside = f"sequence(greatest(lo, block * {GRID_BLOCK}), least(hi, (block + 1) * {GRID_BLOCK} - 1))"
+    grid = blocks.repartition(*keys, "block").select(*keys, F.explode(F.expr(inside)).alias("bin"))
     return (
         grid.join(seen, [*keys, "bin"], "left")
         .na.fill(0, ["n", "good"])
@@ -197,26 +206,74 @@ def bins_after_fault(faults: DataFrame, bins: DataFrame, keys: Sequence[str] = (
     return faults.join(bins, list(keys)).filter("bin_us >= injected_us")
 
 
-def recovery_time(faults: DataFrame, bins: DataFrame, bin_us: int, threshold: float = 0.99, count: int = 10) -> DataFrame:
+def latest_fault(bins: DataFrame, faults: DataFrame, keys: Sequence[str] = ("run_id",), cell: int = FAULT_CELL) -> DataFrame:
+    """Bins with the last fault of their run injected by then (of several at one instant the largest id), and its age.
+
+    One row per bin however many faults a run has; bins before the first fault have nulls.
+    """
+    keys, names = list(keys), [c for c in bins.columns if c not in keys]
+    fault = F.struct("injected_us", "fault_id")
+    line = bins.select(*keys, F.col("bin_us").alias("t"), F.lit(1).alias("kind"), F.struct(*names).alias("bin"), F.lit(None).cast("struct<injected_us:bigint,fault_id:string>").alias("fault"))
+    line = line.union(
+        faults.select(*keys, F.col("injected_us").alias("t"), F.lit(0), F.lit(None).cast(line.schema["bin"].dataType), fault)
+    )
+    seen = running(_known(line, keys), keys, "t", ["kind", "fault"], lasts={"last": F.col("fault")}, cell=cell).filter("kind = 1")
+    return seen.select(
+        *keys, *[F.col(f"bin.{c}").alias(c) for c in names], F.col("last.fault_id").alias("fault_id"),
+        (F.col("t") - F.col("last.injected_us")).alias("age_us"),
+    )
+
+
+def _known(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose keys are not null: the others are of no run."""
+    return df.filter(F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)))
+
+
+def next_at(asks: DataFrame, marks: DataFrame, keys: Sequence[str], *, ask: str, mark: str, out: str, cell: int) -> DataFrame:
+    """``asks`` with ``out``: the first ``mark`` of their key at or after ``ask`` (longs); null if there is none.
+
+    An as-of lookup over time reversed: asks and marks are one timeline, on which the last mark seen is carried. No ask
+    meets more than one mark. A null ask or key finds nothing; asks may repeat.
+    """
+    keys, names = list(keys), [c for c in asks.columns if c not in keys]
+    line = asks.select(*keys, (-F.col(ask)).alias("t"), F.lit(1).alias("kind"), F.struct(*names).alias("row"), F.lit(None).cast("long").alias("mark"))
+    marks = marks.select(*keys, (-F.col(mark)).alias("t"), F.lit(0), F.lit(None).cast(line.schema["row"].dataType), F.col(mark).cast("long")).distinct()
+    can = F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in [*keys, "t"]))
+    both = line.union(marks).filter(can)
+    found = running(both, keys, "t", ["kind"], lasts={out: F.col("mark")}, cell=cell).filter("kind = 1")
+    kept = found.select(*keys, "row", out).union(line.filter(~can).select(*keys, "row", F.lit(None).cast("long")))
+    return kept.select(*keys, *[F.col(f"row.{c}").alias(c) for c in names], out)
+
+
+def recovery_time(
+    faults: DataFrame, bins: DataFrame, bin_us: int, threshold: float = 0.99, count: int = 10, cell: int = FAULT_CELL
+) -> DataFrame:
     """Time from the fault to the first bin after which success holds; null if never."""
     held = sustained(bins, ["run_id"], bin_us, threshold, count).filter("sustained")
-    first = bins_after_fault(faults, held).groupBy("fault_id").agg(F.min("bin_us").alias("recovered_us"))
-    return faults.join(first, "fault_id", "left").withColumn("recovery_us", F.col("recovered_us") - F.col("injected_us"))
+    found = next_at(faults, held, ["run_id"], ask="injected_us", mark="bin_us", out="recovered_us", cell=cell)
+    return found.withColumn("recovery_us", F.col("recovered_us") - F.col("injected_us"))
 
 
-def time_to_shift(faults: DataFrame, shares: DataFrame, x: float = 0.1) -> DataFrame:
+def time_to_shift(faults: DataFrame, shares: DataFrame, x: float = 0.1, cell: int = FAULT_CELL) -> DataFrame:
     """Time from the fault to the first bin in which the faulty backend's share is below x.
 
-    ``shares`` has run_id, bin_us, backend, share; a bin without the backend counts as zero.
+    ``shares`` has run_id, bin_us, backend, share; a bin without the backend counts as zero. The bins of a run are
+    numbered, and a bin in which a backend has its share is the end of a loaded span if it has not in the next one. A
+    fault finds the run's next bin, and if the backend is loaded there the end of that span; one bin on, it is shifted.
     """
-    mine = F.max(F.when(F.col("s.backend") == F.col("f.backend"), F.col("s.share")))
-    per_bin = (
-        faults.alias("f").join(shares.alias("s"), F.expr("f.run_id = s.run_id AND s.bin_us >= f.injected_us"))
-        .groupBy("f.fault_id", "f.injected_us", "s.bin_us")
-        .agg(F.coalesce(mine, F.lit(0.0)).alias("share"))
-    )
-    first = per_bin.filter(F.col("share") < x).groupBy("fault_id").agg(F.min("bin_us").alias("shifted_us"))
-    return faults.join(first, "fault_id", "left").withColumn("shift_us", F.col("shifted_us") - F.col("injected_us"))
+    bins = _known(shares, ["run_id", "bin_us"]).select("run_id", "bin_us").distinct()
+    bins = numbered(bins, ["run_id"], ["bin_us"], "no")
+    low = F.max("share") < x
+    loaded = shares.groupBy("run_id", "bin_us", "backend").agg(F.coalesce(low, F.lit(True)).alias("low")).filter("NOT low")
+    loaded = loaded.join(bins, ["run_id", "bin_us"]).select("run_id", "backend", "no")
+    ends = loaded.join(loaded.withColumn("no", F.col("no") - 1), ["run_id", "backend", "no"], "left_anti")
+    at = next_at(faults, bins, ["run_id"], ask="injected_us", mark="bin_us", out="first_us", cell=cell)
+    at = at.join(bins.select("run_id", F.col("bin_us").alias("first_us"), "no"), ["run_id", "first_us"], "left")
+    at = at.join(loaded.withColumn("busy", F.lit(True)), ["run_id", "backend", "no"], "left")
+    at = next_at(at, ends, ["run_id", "backend"], ask="no", mark="no", out="until", cell=BLOCK)
+    at = at.withColumn("no", F.when(F.col("busy"), F.col("until") + 1).otherwise(F.col("no")))
+    out = at.join(bins.select("run_id", "no", F.col("bin_us").alias("shifted_us")), ["run_id", "no"], "left")
+    return out.select(*faults.columns, "shifted_us").withColumn("shift_us", F.col("shifted_us") - F.col("injected_us"))
 
 
 def oscillation(shares: DataFrame, keys: Sequence[str] = ("backend",), cell: int = 3_600_000_000_000) -> DataFrame:

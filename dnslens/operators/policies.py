@@ -28,7 +28,7 @@ from dnslens.operators.choice import (
 )
 from dnslens.operators.geo import geo_rank
 from dnslens.operators.prepare import panic
-from dnslens.operators.scans import TIE_SPAN, running
+from dnslens.operators.scans import numbered
 
 KEYS = ("version", "region")
 
@@ -87,22 +87,18 @@ class RoundRobin(_Base):
     """The worker's cursor, modulo the number of usable backends."""
 
     name: str = "round_robin"
-    cell_us: int = 1_000_000
 
     def assign(self, queries: DataFrame, snapshot: DataFrame) -> DataFrame:
-        # The two scans are independent of each other; stacking them would make each read
-        # the other's input again.
-        turns = cursor(queries.select("query_id", "worker_id", "arrival_us"), self.cell_us)
-        q = in_force(queries, snapshot).join(turns.select("query_id", "cursor"), "query_id")
+        q = in_force(cursor(queries), snapshot)
         pool = self.usable(snapshot).groupBy(*KEYS).agg(F.array_sort(F.collect_set("backend")).alias("pool"))
         q = q.join(pool, list(KEYS), "left")
         turn = F.when(F.size("pool") > 0, ((F.col("cursor") - 1) % F.size("pool")).cast("int"))
         return q.withColumn("pick", F.get("pool", turn)).drop("pool", "cursor")
 
 
-def cursor(q: DataFrame, cell_us: int = 1_000_000) -> DataFrame:
+def cursor(q: DataFrame) -> DataFrame:
     """Add ``cursor``: the query's position on its worker, from 1."""
-    return running(q, ["worker_id"], "arrival_us", ["query_id"], sums={"cursor": F.lit(1)}, cell=cell_us, tie_span=TIE_SPAN)
+    return numbered(q, ["worker_id"], ["arrival_us", "query_id"], "cursor")
 
 
 @dataclass

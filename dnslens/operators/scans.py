@@ -19,12 +19,17 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dnslens.session import scratch_path
+
 #: Ids per chunk of an instant.
 TIE_SPAN = 65_536
 
 #: Cells per block.
 BLOCK = 4_096
 
+#: Rows of a carry table up to which it is broadcast.
+CARRY_ROWS = 200_000
+
 
 def running(
     df: DataFrame,
@@ -82,6 +87,33 @@ def running(
     )
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """Add ``out``, the position (from 1) of each row among those of its key by ``order``.
+
+    Rows are sorted once into physical ranges of (keys, order), whatever the skew of keys or instants, and written with
+    their place (range number and row). A key's rows in a range are consecutive, so one total per (key, range) says how
+    many of them come before; there are as many totals as keys and ranges, and they are broadcast after a count
+    (``CARRY_ROWS``). The log is shuffled once. Null keys count as a key; rows equal in all of ``keys`` and ``order``
+    are numbered in some order; an empty table stays empty.
+    """
+    spark, keys = df.sparkSession, list(keys)
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    path = scratch_path(spark, "ranges")
+    ranged = ranged.withColumn("__at", F.monotonically_increasing_id())
+    ranged.write.parquet(path)
+    rows = spark.read.schema(ranged.schema).parquet(path).withColumn("__range", F.expr("shiftright(__at, 33)"))
+    totals = rows.groupBy(*keys, "__range").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(
+        *[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__range").alias("__r"), "__first",
+        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"),
+    )
+    few = carry.limit(CARRY_ROWS + 1).count() <= CARRY_ROWS
+    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    met = rows.join(F.broadcast(carry) if few else carry, [F.col("__range") == F.col("__r"), *same])
+    return met.select(*df.columns, (F.col("__at") - F.col("__first") + 1 + F.col("__before")).alias(out))
+
+
 def _totals(df: DataFrame, group: list[str], sums: Mapping[str, Column], carried: Mapping[str, Column], order: list[str]) -> DataFrame:
     """Per group the sums and the last non-null values, as columns ``__t_<name>``."""
     rank = F.struct(*order)

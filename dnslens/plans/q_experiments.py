@@ -209,6 +209,18 @@ def j11(spark, sf):
     return ex.bins_after_fault(v.faults(spark, sf), _bins(spark, sf)).select("fault_id", "bin_us", "n", "good")
 
 
+@query(
+    "j11_latest_fault",
+    sql(
+        "samples faults",
+        "SELECT b.run_id, b.bin_us, b.n, b.good, f.fault_id, b.bin_us - f.injected_us AS age_us FROM bins b ASOF LEFT JOIN faults f ON b.run_id = f.run_id AND b.bin_us >= f.injected_us",
+        bins=_BINS,
+    ),
+)
+def j11_latest(spark, sf):
+    return ex.latest_fault(_bins(spark, sf), v.faults(spark, sf))
+
+
 _SHARES = f"SELECT run_id, send_us // {BIN} * {BIN} AS bin_us, backend, count(*) / sum(count(*)) OVER (PARTITION BY run_id, send_us // {BIN}) AS share FROM samples GROUP BY run_id, send_us // {BIN}, backend"
 
 

@@ -1,5 +1,7 @@
 """The plans have the shape that scales."""
 
+import re
+
 import pytest
 
 from dnslens.plans import views as v
@@ -50,6 +52,21 @@ def test_level_filter_reaches_the_scan(spark, tmp_path):
 
 def test_running_values_never_window_a_bare_key(spark, sf_dir):
     """Row-level windows partition by (key, chunk); only chunk totals use the key alone."""
-    p = plan(QUERIES["w1_cursor"](spark, sf_dir))
+    p = plan(QUERIES["w2_inflight"](spark, sf_dir))
     windows = [x for x in p.splitlines() if "Window [" in x]
     assert any("__ids" in x or "__cell" in x for x in windows)
+
+
+def test_cursor_does_not_shuffle_the_written_ranges(spark, sf_dir):
+    """Only totals of (worker, range) are shuffled after the ranges are written."""
+    p = plan(QUERIES["w1_cursor"](spark, sf_dir))
+    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
+    assert all("__n" in x or "min(__at" in x or "sum" in x for x in p.splitlines() if "Window [" in x)
+
+
+def test_fault_lookups_make_no_rows_of_faults_and_bins(spark, sf_dir):
+    """Bins and faults of a run meet on one timeline: no join has the run alone as its key."""
+    for name in ("h3_recovery_time", "w11_time_to_shift"):
+        p = plan(QUERIES[name](spark, sf_dir))
+        keys = re.findall(r"Join \[([^\]]*)\]", p)
+        assert "NestedLoop" not in p and not [k for k in keys if re.fullmatch(r"run_id#\d+", k)]

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from dnslens.operators.asof import asof
+from dnslens.operators.experiments import dense_bins, latest_fault, next_at, time_to_shift
 from dnslens.operators.folds import chunked_fold
-from dnslens.operators.scans import bounded_windows, run_lengths, running
+from dnslens.operators.scans import bounded_windows, numbered, run_lengths, running
 from dnslens.operators.telemetry import ewma, latency_summary
 
 
@@ -141,3 +142,50 @@ def test_chunked_fold_is_sequential(spark, resets):
         part = part.sort_values("t")
         want, _ = counter(part.drop(columns="n"), None)
         assert part["n"].tolist() == want["n"].tolist()
+
+
+@pytest.mark.parametrize("limit", [0, 1_000])
+def test_numbered(spark, rows, limit, monkeypatch):
+    """Positions over physical ranges, with one instant of one key holding a third of the rows; null keys, no rows."""
+    monkeypatch.setattr("dnslens.operators.scans.CARRY_ROWS", limit)
+    rows = [(None if i % 10 == 9 else k, t, i) for k, t, i, _, _ in rows]
+    df = spark.createDataFrame(rows, "k string, t long, id long").repartition(7)
+    got = {r.id: r.rn for r in numbered(df, ["k"], ["t", "id"], "rn").collect()}
+    want, seen = {}, {}
+    for k, _, i in sorted(rows, key=lambda r: (r[1], r[2])):
+        seen[k] = seen.get(k, 0) + 1
+        want[i] = seen[k]
+    assert got == want
+    assert numbered(df.limit(0), ["k"], ["t", "id"], "rn").count() == 0
+
+
+@pytest.mark.parametrize("cell", [3, 1_000])
+def test_fault_lookups(spark, cell, monkeypatch):
+    """Next mark, latest fault and time to shift against plain loops; many faults at one instant, null and unknown runs."""
+    monkeypatch.setattr("dnslens.operators.experiments.GRID_BLOCK", 4)
+    rng = random.Random(11)
+    shares = [(r, t, b, rng.choice([0.05, 0.1, 0.4])) for r in "xy" for t in range(0, 60, 2) for b in "ab" if rng.random() < 0.8]
+    faults = [(f"f{i:02}", rng.choice(["x", "y", "z", None]), rng.choice("abc"), rng.choice([-5, 20, rng.randrange(70)])) for i in range(60)]
+    s = spark.createDataFrame(shares, "run_id string, bin_us long, backend string, share double")
+    f = spark.createDataFrame(faults, "fault_id string, run_id string, backend string, injected_us long")
+
+    got = {r.fault_id: r.shifted_us for r in time_to_shift(f, s, 0.1, cell=cell).collect()}
+    want = {}
+    for name, run, backend, at in faults:
+        bins = sorted({t for r, t, _, _ in shares if r == run and t >= at})
+        have = {t: x for r, t, b, x in shares if r == run and b == backend}
+        want[name] = next((t for t in bins if have.get(t, 0.0) < 0.1), None)
+    assert got == want and None in want.values()
+
+    found = next_at(f, s, ["run_id"], ask="injected_us", mark="bin_us", out="next", cell=cell)
+    first = {r.fault_id: r.next for r in found.collect()}
+    assert first == {n: min((t for r, t, _, _ in shares if r == run and t >= at), default=None) for n, run, _, at in faults}
+
+    bins = s.select("run_id", "bin_us").distinct()
+    for row in latest_fault(bins, f, cell=cell).collect():
+        past = [(at, n) for n, run, _, at in faults if run == row.run_id and at <= row.bin_us]
+        assert (row.fault_id, row.age_us) == ((max(past)[1], row.bin_us - max(past)[0]) if past else (None, None))
+
+    sent = [("x", t) for t in (3, 4, 19, 47)]
+    grid = dense_bins(spark.createDataFrame(sent, "run_id string, send_us long").selectExpr("*", "'ok' AS status"), ["run_id"], 2)
+    assert sorted((r.bin_us, r.n) for r in grid.collect()) == [(t, sum(t <= x < t + 2 for _, x in sent)) for t in range(2, 48, 2)]
