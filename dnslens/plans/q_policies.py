@@ -37,7 +37,8 @@ def _queries(spark, sf, snap, adv=None):
 
 @query("w1_cursor", sql("ql", "SELECT query_id, row_number() OVER (PARTITION BY worker_id ORDER BY arrival_us, query_id) AS cursor FROM ql"))
 def w1(spark, sf):
-    return policies.cursor(v.query_log(spark, sf)).select("query_id", F.col("cursor").cast("long").alias("cursor"))
+    log = v.query_log(spark, sf).select("query_id", "worker_id", "arrival_us")
+    return policies.cursor(log).select("query_id", "cursor")
 
 
 def _series(spark, sf):
