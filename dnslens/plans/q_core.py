@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from dnslens.functions.netaddr import client_prefix, normalise_addresses, normalise_cidrs
 from dnslens.functions.durations import duration_text, normalise_durations
 from dnslens.functions.factors import with_health_factor, with_inverse_latency
-from dnslens.operators import asof, choice, correlate, geo, prepare, telemetry
+from dnslens.operators import asof, choice, correlate, geo, prepare, sketches, telemetry
 from dnslens.plans import views as v
 from dnslens.plans.fragments import bucket_sql, sql, uniform_sql
 from dnslens.plans.registry import query
@@ -463,6 +463,19 @@ def t3(spark, sf):
     return geo.top_k(q, "qname", 5).select("bin", "qname", "n", "rank", F.round("share", 6).alias("share"))
 
 
+@query(
+    "t3_top_k_large",
+    sql(
+        "ql",
+        "SELECT bin, qname, n, rank, round(n / total, 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY n DESC, qname) AS rank, "
+        f"sum(n) OVER (PARTITION BY bin) AS total FROM (SELECT arrival_us // {24 * HOUR} AS bin, qname, count(*) AS n FROM ql GROUP BY ALL)) WHERE rank <= 5",
+    ),
+)
+def t3_large(spark, sf):
+    q = v.query_log(spark, sf).withColumn("bin", F.floor(F.col("arrival_us") / (24 * HOUR)).cast("long"))
+    return sketches.top_k_large(q, "qname", 5).select("bin", "qname", "n", "rank", F.round("share", 6).alias("share"))
+
+
 @query(
     "t4_latest",
     sql("snap", "SELECT region, backend, max(version) AS version, arg_max(health, version) AS health FROM snap GROUP BY 1, 2"),
@@ -575,6 +588,23 @@ def a6(spark, sf):
     return t.select("region", "backend", "count", *[F.round(c, 3).alias(c) for c in ("mean", "p50", "p95", "p99")], "max")
 
 
+@query(
+    "a6_latency_sketches",
+    sql("outc", "SELECT region, backend, count(latency_us) AS count, true AS p50_holds, true AS p95_holds, true AS p99_holds FROM outc WHERE latency_us IS NOT NULL AND region IS NOT NULL AND backend IS NOT NULL GROUP BY 1, 2"),
+)
+def a6_sketches(spark, sf):
+    """Sketches per hour merged per key; each percentile's true rank is held against three times the stated error."""
+    keys, k, ps = ["region", "backend"], 2_000, {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    t = v.outcomes(spark, sf).filter("region IS NOT NULL AND backend IS NOT NULL")
+    t = t.select(*keys, "latency_us", F.expr(f"send_us div {HOUR}").alias("hour"))
+    merged = sketches.merge_sketches(sketches.value_sketches(t, [*keys, "hour"], k=k), keys)
+    found = v.stored(sketches.sketch_percentiles(merged, keys, list(ps.values())))
+    spans = sketches.rank_spans(t, found, keys, list(ps))
+    off = 3 * sketches.rank_error(k)
+    holds = [((F.col(f"lo_{n}") <= p + off) & (F.col(f"hi_{n}") >= p - off)).alias(f"{n}_holds") for n, p in ps.items()]
+    return found.join(spans, keys).select(*keys, "count", *holds)
+
+
 _BOUNDS = (1_000, 10_000, 50_000, 100_000, 1_000_000)
 
 
