@@ -42,6 +42,8 @@ LONGEST, LEAST, TOP, SCALE, CONTAINED = 4, 30, 2_000, 2_000_000, 80
 DEALT = 256
 #: Keys that a summary takes up at a time, beside its capacity.
 MERGE_KEYS = 500_000
+#: Text of a slice; its n-grams of all orders and the answers to them are held at once.
+SLICE_BYTES = 4 << 20
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
@@ -249,7 +251,7 @@ def frequent(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]
     """(lang, size, phrase, f) of every phrase of 1 to ``LONGEST`` words with ``least`` occurrences, and (lang, n)."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     rows = docs.select(F.col("text").cast("string").alias("text"), lang.alias("lang"), F.xxhash64(lang).alias("seed"))
-    cut, buckets = cut_slices(rows, _slice, _SLICE_SCHEMA, _SLICE)
+    cut, buckets = cut_slices(rows, _slice, _SLICE_SCHEMA, _SLICE, most=SLICE_BYTES)
     parts = math.ceil((cut.agg(F.sum("n_tokens")).first()[0] or 1) / PART_KEYS)
     needed = cut.select("slice", "words", "tokens", "left")
     merge = _surviving(least)

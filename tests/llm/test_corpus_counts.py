@@ -136,7 +136,7 @@ def plain_phrases(rows, least, top):
 
 @pytest.mark.parametrize(("least", "top"), [(2, 2000), (7, 12), (30, 2000)])
 def test_phrases_are_those_of_plain_counting(odd, monkeypatch, least, top):
-    monkeypatch.setattr(slice_tally, "SLICE_BYTES", 1 << 13)
+    monkeypatch.setattr(phrase_mining, "SLICE_BYTES", 1 << 13)
     monkeypatch.setattr(phrase_mining, "PART_KEYS", 1_500)
     want = plain_phrases([(r.lang, r.text) for r in odd.collect()], least, top)
     assert want and sorted(map(tuple, phrase_mining.mine(odd, least, top).collect())) == want
