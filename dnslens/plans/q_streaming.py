@@ -13,6 +13,7 @@ from dnslens.plans import views as v
 from dnslens.plans.fragments import bucket_sql, bucket_walk_sql, decay_walk_sql, health_walk_sql, sql
 from dnslens.plans.registry import query
 from dnslens.session import scratch_path
+from dnslens.sources import sinks
 from dnslens.streaming import jobs
 
 HOUR = v.HOUR
@@ -206,3 +207,14 @@ def st4(spark, sf):
     cfg = HealthConfig(degrade_threshold=0.2, eject_threshold=0.3, fail_threshold=2, cooldown_us=5 * HOUR, cooldown_cap_us=60 * HOUR)
     t, closing = _windows(spark, sf, hourly)
     return _finish(jobs.stream_health(t, cfg), closing)
+
+
+@query("s7_advice_sink", sql("advice", "SELECT issued_us, region, backend, advice_weight, 500000 AS ttl_us FROM advice"))
+def s7(spark, sf):
+    """All advice in three batches, of which one is written twice, as after a failure: read back, each row is there once."""
+    rows = v.stored(v.advice(spark, sf).select("issued_us", "region", "backend", "advice_weight"))
+    path = scratch_path(spark, "advice")
+    for batch_id in (0, 1, 2, 1):
+        part = rows.filter(F.pmod(F.xxhash64("issued_us"), F.lit(3)) == batch_id)
+        sinks.write_advice(part, path, 500_000, batch_id)
+    return spark.read.parquet(path).drop("batch_id")
