@@ -253,6 +253,32 @@ def test_token_bucket(spark, rate, burst):
                 assert j - i + 1 <= burst + rate * (passed[j] - passed[i] + 100_000) / 1e6 + 1e-6
 
 
+def test_rate_limit_under_permanent_load_takes_few_jobs(spark):
+    # One query a bin against a third of a token: the bucket is never full again, over many stretches of 1000 bins.
+    q = spark.range(40_000).selectExpr("id AS query_id", "id * 50000 AS arrival_us", "0 AS worker_id", "concat('p', id % 2) AS prefix")
+    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    got = ratelimit.rate_limit(q, 10 / 3, 3.0, 100_000).groupBy("prefix").agg(F.count_if("allowed").alias("n")).collect()
+    jobs = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before
+    assert len(jobs) <= 16
+    for r in got:
+        want, _ = ratelimit.bucket_walk(10 / 3, 3.0, 100_000)(list(range(20_000)), [1] * 20_000, None)
+        assert r["n"] == sum(want)
+
+
+def test_rate_limit_of_flooded_bins_and_unknown_sources(spark, monkeypatch):
+    rows = [(i, i % 7, 0, "x") for i in range(300)] + [(1000 + i, 100_000 + i, 0, "y") for i in range(20)]
+    rows += [(2000, 5, None, "x"), (2001, 5, 0, None), (2002, None, 0, "x")]
+    q = spark.createDataFrame(rows, "query_id long, arrival_us long, worker_id int, prefix string")
+    calm = {r["query_id"]: (r["allowed"], r["action"]) for r in ratelimit.rate_limit(q, 1.0, 9.0, 100_000).collect()}
+    monkeypatch.setattr(ratelimit, "BIN_ROWS", 50)
+    got = {r["query_id"]: (r["allowed"], r["action"]) for r in ratelimit.rate_limit(q, 1.0, 9.0, 100_000).collect()}
+    assert got == calm and len(got) == 323
+    first = sorted((t, i) for i, t, _, p in rows[:300])[:9]
+    assert {i for i, (ok, _) in got.items() if ok and i < 1000} == {i for _, i in first}
+    assert sum(ok is True for i, (ok, _) in got.items() if 1000 <= i < 2000) == 9
+    assert all(got[i] == (None, None) for i in (2000, 2001, 2002))
+
+
 def test_histograms_merge(spark, sf_dir):
     done = v.outcomes(spark, sf_dir)
     direct = telemetry.histogram(done, "latency_us", ["backend"])
