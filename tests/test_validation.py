@@ -128,3 +128,43 @@ def test_claimants_of_a_prefix_form_a_chain(spark):
     assert [r.message for r in chain] == [f"203.0.112.0/23: zone{i}, zone{i + 1}" for i in range(4)]
     assert validation._shared_cidrs(named, every_pair=True).count() == 10
     assert [tuple(r) for r in validation.claim_counts(named).collect()] == [("fleet-7", "203.0.112.0/23", 5, 10)]
+
+
+def test_shared_cidrs_parse_each_prefix_once(spark):
+    from dnslens.operators import validation
+
+    def rows(shift):
+        return [("c", shift + i, 0, f"r{i}", "10.1.0.0/16") for i in range(3)] + [("c", shift + 3, 0, "r9", "10.1.0.0/8"), ("d", shift, 0, "r0", "10.1.0.0/16")]
+
+    names = "config_id string, region_pos int, cidr_pos int, region string, cidr string"
+    met = validation._shared_cidrs(spark.createDataFrame(rows(0), names))
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "Join" not in plan
+    want = ["10.1.0.0/16: r0, r1", "10.1.0.0/16: r1, r2"]
+    assert sorted(r["message"] for r in met.collect()) == want
+    # Claimants in two spans of positions.
+    far = validation._shared_cidrs(spark.createDataFrame(rows(validation.CLAIM_SPAN - 1), names))
+    assert sorted(r["message"] for r in far.collect()) == want
+
+
+def test_ipv6_texts_against_the_standard_library(spark):
+    import ipaddress
+    import random
+
+    from dnslens.functions.netaddr import normalise_addresses
+
+    rng = random.Random(3)
+    texts = ["::", "::1", "1::", ":::", "1:::2", "1::2::3", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7::",
+             "1:2:3:4::5:6:7:8", "1::3:4:5:6:7:8", ":1:2:3:4:5:6:7", "1:2:3:4:5:6:7:", "12345::", "g::", "::1.2.3.4", "::1.2.3.256", "1:2:3:4:5:6:1.2.3.4",
+             "1:2:3:4:5:6:7:1.2.3.4", "::ffff:1.2.3.04", "FFFF:ffff:ffff:ffff:ffff:ffff:ffff:ffff", ":", "1:", ":1", "::1\n", "8000::8000:0:0:0"]
+    for _ in range(300):
+        texts.append("".join(rng.choice([":", "::", "0", "a", "F", "12", "1.2.3.4"]) for _ in range(rng.randrange(1, 14))))
+    got = normalise_addresses(spark.createDataFrame([(t,) for t in texts], "x string"), "x", "a").collect()
+    for r in got:
+        try:
+            want = int(ipaddress.IPv6Address(r["x"]))
+        except ValueError:
+            want = None
+        if ":" in r["x"]:
+            mine = (r["a_hi"] % 2**64 << 64) + r["a_lo"] % 2**64 if r["a_ok"] else None
+            assert mine == want, r["x"]
