@@ -7,7 +7,8 @@ from bisect import bisect_left, bisect_right
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dnslens.functions.netaddr import address_parts_sql, mask_hi_sql, mask_lo_sql, normalise_cidrs
+from dnslens.functions.netaddr import address_parts_sql, mask_hi_sql, mask_lo_sql, nets_of
+from dnslens.session import shared_dir
 
 
 #: Prefixes up to which the segments are made by the driver and broadcast. They have two segments for each prefix and
@@ -30,8 +31,7 @@ def _of(template: str, depth: int | None = None, **names: str) -> str:
 
 
 def _nets(cidrs: DataFrame) -> DataFrame:
-    nets = normalise_cidrs(cidrs, "cidr", "net").filter("net IS NOT NULL").selectExpr("region", "net.*")
-    return nets.groupBy("family", "plen", "net_hi", "net_lo").agg(F.min("region").alias("found"))
+    return nets_of(cidrs.select("region", "cidr"), "cidr").groupBy("family", "plen", "net_hi", "net_lo").agg(F.min("region").alias("found"))
 
 
 def _sweep(nets: list[tuple[int, int, str]], width: int) -> dict[int, str | None]:
@@ -55,8 +55,12 @@ def _sweep(nets: list[tuple[int, int, str]], width: int) -> dict[int, str | None
 
 def _few_segments(cidrs: DataFrame) -> list[tuple]:
     """``flat_segments`` of a table of at most ``MAX_PREFIXES`` rows."""
+    return _swept(nets_of(cidrs.select("region", "cidr"), "cidr"))
+
+
+def _swept(nets: DataFrame) -> list[tuple]:
     half = 1 << 64
-    known = normalise_cidrs(cidrs, "cidr", "net").filter("net IS NOT NULL").selectExpr("region", "net.*").collect()
+    known = nets.select("family", "plen", "net_hi", "net_lo", "region").collect()
     least: dict[tuple[str, int, int], str] = {}
     for r in known:
         key = r.family, r.net_lo if r.family == "v4" else (r.net_hi % half) * half + r.net_lo % half, r.plen
@@ -91,7 +95,10 @@ def flat_segments(cidrs: DataFrame) -> DataFrame:
     ``regions`` the region of the longest prefix around each (null where there is none). Only starts of prefixes, the
     addresses behind their ends, and starts of buckets can begin a segment, so just these are looked up by length.
     """
-    nets = _nets(cidrs)
+    return _flat(_nets(cidrs))
+
+
+def _flat(nets: DataFrame) -> DataFrame:
     ends = nets.selectExpr(
         "family", "plen", "net_hi AS hi", "net_lo AS lo",
         f"CASE WHEN family = 'v4' THEN 0L ELSE net_hi | ~({mask_hi_sql('family', 'plen')}) END AS last_hi",
@@ -143,17 +150,24 @@ def region_lpm(
 ) -> DataFrame:
     """Add the region of the longest configured prefix containing the address.
 
-    An address is looked up in the segments of its bucket (``flat_segments``) by bisection. The prefixes are counted:
-    up to ``MAX_PREFIXES`` the buckets are broadcast and the rows of ``q`` stay where they are, beyond it Spark makes
+    An address is looked up in the segments of its bucket (``flat_segments``) by bisection. The distinct prefixes are
+    counted, and stored where the table has more rows: up to ``MAX_PREFIXES`` the buckets are broadcast and the rows of ``q`` stay where they are, beyond it Spark makes
     them and joins on the bucket as it sees fit. A prefix listed twice has its least region; an existing column ``out`` is replaced, and
     the new one comes last.
     """
-    few = cidrs.limit(MAX_PREFIXES + 1).count() <= MAX_PREFIXES
+    few, swept = cidrs.limit(MAX_PREFIXES + 1).count() <= MAX_PREFIXES, None
+    if few:
+        swept = _few_segments(cidrs)
+    else:
+        shared_dir(q.sparkSession)
+        nets = _nets(cidrs).checkpoint()
+        few = nets.count() <= MAX_PREFIXES
+        swept = _swept(nets.withColumnRenamed("found", "region")) if few else None
     if few:
         kind = "family string, depth int, top long, places array<struct<a: long, b: long>>, regions array<string>"
-        buckets = q.sparkSession.createDataFrame(_few_segments(cidrs), kind)
+        buckets = q.sparkSession.createDataFrame(swept, kind)
     else:
-        buckets = flat_segments(cidrs)
+        buckets = _flat(nets)
     kept = [f"`{c}`" for c in q.columns if c != out]
     names = dict(family=f"`{family}`", hi=f"`{hi}`", lo=f"`{lo}`")
     for depth in (16, 48):

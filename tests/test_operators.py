@@ -412,3 +412,12 @@ def test_published_predictions_reach_the_score(spark, tmp_path):
     flat = got.selectExpr("*", "1L AS version", "1D AS qps", "1D AS capacity", "0D AS error_rate", "0D AS timeout_rate", "0D AS geo_distance", "0 AS inflight", "0D AS failure_risk")
     best = {e: scoring.adaptive_score(flat, estimator=e).orderBy("score").first().backend for e in ("ewma", "model")}
     assert best["ewma"] == "b" and best["model"] == "new"
+
+
+def test_prefixes_listed_often_are_counted_once(spark, monkeypatch):
+    monkeypatch.setattr(geo, "MAX_PREFIXES", 50)
+    monkeypatch.setattr(geo, "_flat", None)
+    cidrs = spark.range(400).selectExpr("concat('r', id % 20) AS region", "concat('10.', id % 20, '.0.0/16') AS cidr")
+    q = spark.range(40).selectExpr("id AS query_id", "'v4' AS client_family", "0L AS client_hi", "167772160L + id * 65536 + 7 AS client_lo")
+    got = {r["query_id"]: r["region"] for r in geo.region_lpm(q, cidrs).collect()}
+    assert got == {i: f"r{i}" if i < 20 else None for i in range(40)}
