@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -46,6 +47,8 @@ from dnslens.llm.word_units import byte_symbols
 CACHED_UNITS, LONG_UNIT = 120_000, 64
 #: Units whose documents' pairs are sorted at a time.
 STEP_UNITS = 150_000
+#: Units that tokenizer A is given as one text.
+JOINED_UNITS = 64
 #: Links of a group up to which each is written down.
 LARGE_GROUP = 4_096
 
@@ -118,6 +121,8 @@ class Pair:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        # A task has one core: threads of the library would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a = Tokenizer.from_str(json_a)
         self.a.no_truncation()
         self.a.no_padding()
@@ -205,6 +210,34 @@ class Pair:
             return text.split(_BLANK)
         return [unit[1:] for unit in _CUT.split(_BLANK + text)]
 
+    def coded_a(self, whole: list[str], raws: list[bytes]) -> list[list[int]]:
+        """The ids of tokenizer A for each unit with its blank.
+
+        Units that end in a word are encoded one behind the other as one text, which is cut again where they end; where
+        no token ends there, or bytes are not given back, each is encoded on its own.
+        """
+        out: list[list[int]] = [[]] * len(whole)
+        size = np.fromiter(map(len, raws), np.int64, len(raws))
+        alone = [k for k, u in enumerate(whole) if u[-1].isspace()]
+        fit = [k for k, u in enumerate(whole) if not u[-1].isspace()]
+        parts = [fit[low : low + JOINED_UNITS] for low in range(0, len(fit), JOINED_UNITS)]
+        texts = ["".join([whole[k] for k in part]) for part in parts]
+        for part, text, coded in zip(parts, texts, self.a.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = coded.ids
+            ends, want = np.cumsum(self.size_a[ids]), np.cumsum(size[part])
+            at = np.searchsorted(ends, want)
+            if len(ids) == 0 or ends[-1] != want[-1] or (ends[at] != want).any() or b"".join([self.bytes_a[x] for x in ids]) != text.encode():
+                alone += part
+                continue
+            low = 0
+            for k, high in zip(part, (at + 1).tolist(), strict=True):
+                out[k] = ids[low:high]
+                low = high
+        if alone:
+            for k, coded in zip(alone, self.a.encode_batch_fast([whole[k] for k in alone], add_special_tokens=False), strict=True):
+                out[k] = coded.ids
+        return out
+
     def learn(self, units: set[str], got: dict[str, Unit | None]) -> None:
         """Fill ``got`` with the alignment of every unit; those not met before are encoded in one call."""
         young, old = self._young, self._old
@@ -214,11 +247,12 @@ class Pair:
         got.update([(u, young[u]) for u in seen | again])
         fresh = list(units - seen - again)
         whole = [_BLANK + unit for unit in fresh]
-        coded_a = [x.ids for x in self.a.encode_batch(whole, add_special_tokens=False)]
+        raws = [u.encode() for u in whole]
+        coded_a = self.coded_a(whole, raws)
         coded_b = self.b.encode(fresh, num_threads=1)
         if "" in fresh:
             coded_b[fresh.index("")] = [self.blank]
-        made = self.aligned(coded_a, coded_b, [u.encode() for u in whole])
+        made = self.aligned(coded_a, coded_b, raws)
         got.update(zip(fresh, made, strict=True))
         self._young.update([(u, one) for u, one in zip(fresh, made, strict=True) if len(u) < LONG_UNIT])
         if len(self._young) > CACHED_UNITS:

@@ -287,3 +287,24 @@ def test_one_row_repeated_is_sharded_evenly_and_packed(spark, tmp_path):
     assert all(b.start == a.start + a.n_tokens for a, b in zip(index, index[1:], strict=False))
     files = spark.read.parquet(str(tmp_path / "packs" / "packs")).select("part").distinct().count()
     assert files > 2
+
+
+def test_units_encoded_together_have_the_ids_of_each_alone():
+    pair = token_alignment.Pair(*token_alignment._tokenizers(None, None))
+    rng = random.Random(5)
+    pieces = ["a", "Word", "'s", "don't", "12", "3.5", "é", "́", "日本", "🙂", "\n", "\t", "<|endoftext|>", "--", " ", "  ", " ", "_x"]
+    units = {"".join(rng.choice(pieces) for _ in range(rng.randrange(1, 6))) for _ in range(600)}
+    texts = [" ".join(rng.sample(sorted(units), 5)) for _ in range(200)]
+    whole = [" " + u for u in sorted({u for t in texts for u in pair.units(t)})]
+    calls = []
+    inner = pair.a
+
+    class Counted:
+        def encode_batch_fast(self, got, **kw):
+            calls.append(len(got))
+            return inner.encode_batch_fast(got, **kw)
+
+    pair.a = Counted()
+    got = pair.coded_a(whole, [u.encode() for u in whole])
+    assert got == [inner.encode(u, add_special_tokens=False).ids for u in whole]
+    assert sum(calls) < len(whole) / 2
