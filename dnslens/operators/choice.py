@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,27 +29,36 @@ def candidate_arrays(t: DataFrame, keys: Sequence[str], fields: Sequence[str] =
     return t.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("cands"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` where ``use`` has lambdas: they would work out an expression again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def pick_by_weight(cands: Column, u: Column) -> Column:
     """The backend whose cumulative interval holds u * total; null where nothing has weight."""
     total = F.try_element_at(cands, F.lit(1))["total"]
-    return F.when(total > 0, F.try_element_at(F.filter(cands, lambda x: x["cum"] > u * total), F.lit(1))["backend"])
+    found = _once(u * total, lambda at: F.try_element_at(F.filter(cands, lambda x: x["cum"] > at), F.lit(1))["backend"])
+    return F.when(total > 0, found)
 
 
 def pick_by_scan(items: Column, u: Column) -> Column:
     """Like :func:`pick_by_weight` for arrays of (backend, w) put together per query."""
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("string").alias("backend"))
     total = F.aggregate(items, F.lit(0.0), lambda acc, x: acc + x["w"])
-    found = F.aggregate(
-        items,
-        start,
-        lambda acc, x: F.struct(
-            (acc["sum"] + x["w"]).alias("sum"),
-            F.when(acc["backend"].isNull() & (acc["sum"] + x["w"] > u * total), x["backend"])
-            .otherwise(acc["backend"])
-            .alias("backend"),
-        ),
-    )
-    return found["backend"]
+
+    def scan(at: Column) -> Column:
+        return F.aggregate(
+            items,
+            start,
+            lambda acc, x: F.struct(
+                (acc["sum"] + x["w"]).alias("sum"),
+                F.when(acc["backend"].isNull() & (acc["sum"] + x["w"] > at), x["backend"])
+                .otherwise(acc["backend"])
+                .alias("backend"),
+            ),
+        )["backend"]
+
+    return _once(u * total, scan)
 
 
 def weighted_pick(q: DataFrame, weights: DataFrame, seed: int, keys: Sequence[str], weight: str = "weight", draw: int = 1, out: str = "pick") -> DataFrame:

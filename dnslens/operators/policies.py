@@ -136,8 +136,8 @@ class LatencyBased(_Base):
     def assign(self, queries: DataFrame, snapshot: DataFrame) -> DataFrame:
         weight = inverse_latency(F.col("ewma_us"), self.k)
         q = _attach(in_force(queries, snapshot), self.usable(snapshot), weight)
-        a, b = (pick_by_weight(F.col("cands"), self.u(d)) for d in (1, 2))
-        return q.withColumn("pick", less_loaded(a, b, F.col("inflight"))).drop("cands")
+        q = q.select("*", *[pick_by_weight(F.col("cands"), self.u(d)).alias(f"__p{d}") for d in (1, 2)])
+        return q.withColumn("pick", less_loaded(F.col("__p1"), F.col("__p2"), F.col("inflight"))).drop("cands", "__p1", "__p2")
 
 
 @dataclass
@@ -194,21 +194,20 @@ class Adaptive(_Base):
             F.array_sort(F.collect_list(F.struct("backend", F.col("advice_weight").alias("w")))).alias("advised")
         )
         # Advice counts only for the backends that are usable now.
-        pool = F.transform("builtin", lambda x: x["backend"])
+        pool = F.col("builtin.backend")
         q = q.join(advised, ["region", "advice_issued_us"], "left").withColumn(
             "advised", F.filter("advised", lambda x: F.array_contains(pool, x["backend"]))
         )
         follow = F.coalesce(F.size("advised") > 0, F.lit(False)) & F.col("advised").isNotNull()
-        a, b = (
-            F.when(follow, pick_by_scan(F.col("advised"), self.u(d))).otherwise(
-                pick_by_weight(F.col("builtin"), self.u(d))
-            )
+        # Each draw is a column of its own: written into the choice, it would be made again at each mention.
+        q = q.select("*", *[
+            F.when(follow, pick_by_scan(F.col("advised"), self.u(d))).otherwise(pick_by_weight(F.col("builtin"), self.u(d))).alias(f"__p{d}")
             for d in (1, 2)
-        )
+        ])
         return (
-            q.withColumn("pick", less_loaded(a, b, F.col("inflight")))
+            q.withColumn("pick", less_loaded(F.col("__p1"), F.col("__p2"), F.col("inflight")))
             .withColumn("source", F.when(follow, F.lit("advice")).otherwise(F.lit("builtin")))
-            .drop("advised", "builtin")
+            .drop("advised", "builtin", "__p1", "__p2")
         )
 
 

@@ -171,14 +171,55 @@ def inflight(done: DataFrame, keys: Sequence[str], cell_us: int = 1_000_000) ->
     return running(changes, keys, "t_us", sums={"inflight": F.col("delta")}, cell=cell_us)
 
 
+#: Attempts of one key and cell up to which one task sorts them with their ends.
+MAX_BURST = 1_000_000
+
+
 def inflight_at_send(
     done: DataFrame, backends: Sequence[str], keys: Sequence[str] = ("worker_id",), cell_us: int = 1_000_000
 ) -> DataFrame:
     """For each attempt, the inflight count per backend just before it is sent.
 
-    ``backends`` is the configured pool; the result has one map per row. One scan over the
-    worker's timeline serves all backends.
+    ``backends`` is the configured pool; the result has one map per row, null without a key or a time. Where no attempt
+    lasts longer than a cell, one that ends in the next cell is entered there once more, so each cell is counted on its
+    own and the log is shuffled once. ``done`` is read twice for that (store it): first to see how long attempts last and
+    how many a cell has. Longer ones and bursts beyond ``MAX_BURST`` take a scan over the worker's timeline.
     """
+    keys = list(keys)
+    known = " AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, "send_us"))
+    timed = done.withColumn("__end", F.coalesce("recv_us", "deadline_us"))
+
+    def cell(t: str) -> str:
+        return f"({t} - pmod({t}, {cell_us}L)) div {cell_us}L"
+
+    per = timed.groupBy(*keys, F.expr(cell("send_us")).alias("__cell")).agg(
+        F.expr(f"count_if({known}) AS n"), F.expr(f"count_if(NOT ({known})) AS unknown"), F.expr("count_if(__end IS NULL) AS endless"),
+        F.expr("max(__end - send_us) AS longest"), F.expr("min(__end - send_us) AS shortest"),
+    )
+    most = per.agg(F.max("n"), F.sum("unknown"), F.sum("endless"), F.max("longest"), F.min("shortest")).first()
+    n, unknown, endless, longest, shortest = most
+    if not n or n > MAX_BURST or endless or longest > cell_us or shortest < 0:
+        return _inflight_by_scan(done, backends, keys, cell_us)
+
+    first, last = cell("send_us"), cell("__end")
+    steps = timed.filter(known).selectExpr(
+        "*",
+        f"explode(concat(array(struct(send_us AS t, {first} AS cell, 1 AS d, true AS sent), struct(__end AS t, {last} AS cell, -1 AS d, false AS sent)), "
+        f"CASE WHEN {last} > {first} THEN array(struct({last} * {cell_us}L - 1 AS t, {last} AS cell, 1 AS d, false AS sent)) ELSE array() END)) AS __s",
+    ).selectExpr(*[f"`{c}`" for c in done.columns], "__s.t AS __t", "__s.cell AS __cell", "__s.d AS __d", "__s.sent AS __sent")
+    earlier = Window.partitionBy(*keys, "__cell").orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)
+    sums = [F.sum(F.when(F.col("backend") == b, F.col("__d"))).over(earlier).alias(f"__n{i}") for i, b in enumerate(backends)]
+    pairs = [x for i, b in enumerate(backends) for x in (F.lit(b), F.coalesce(f"__n{i}", F.lit(0)).cast("long"))]
+    kept = [*keys, "send_us", *[c for c in done.columns if c not in (*keys, "send_us")]]
+    counted = steps.select("*", *sums).filter("__sent").select(*kept, F.create_map(*pairs).alias("inflight"))
+    if not unknown:
+        return counted
+    rest = done.filter(f"NOT ({known})").select(*kept, F.lit(None).cast("map<string,bigint>").alias("inflight"))
+    return counted.unionByName(rest)
+
+
+def _inflight_by_scan(done: DataFrame, backends: Sequence[str], keys: list[str], cell_us: int) -> DataFrame:
+    """``inflight_at_send`` for any length of attempts and bursts; one scan serves all backends."""
     end = F.coalesce(F.col("recv_us"), F.col("deadline_us"))
     steps = F.array(
         F.struct(F.col("send_us").alias("t_us"), F.lit(1).alias("d")),

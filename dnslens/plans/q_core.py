@@ -152,7 +152,8 @@ _INFLIGHT_SQL = (
 )
 def p10(spark, sf):
     names = [b[0] for b in v.BACKENDS]
-    q = telemetry.inflight_at_send(v.outcomes(spark, sf), names)
+    done = v.stored(v.outcomes(spark, sf).select("query_id", "worker_id", "backend", "send_us", "recv_us", "deadline_us"))
+    q = telemetry.inflight_at_send(done, names)
     total = sum((F.col("inflight")[b] for b in names), F.lit(0)).cast("long")
     return prepare.shed(q.withColumn("inflight", total), 0, "truncate").select(
         "query_id", F.col("inflight").alias("before"), "shed_action"

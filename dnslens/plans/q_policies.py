@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dnslens.operators import asof, choice, correlate, health, learning, policies, prepare, ratelimit, scoring, telemetry
@@ -14,7 +15,13 @@ NAMES = [b[0] for b in v.BACKENDS]
 U1, U2 = uniform_sql(7, "query_id", 1), uniform_sql(7, "query_id", 2)
 
 
-def _queries(spark, sf, snap, adv=None):
+def _matched(spark, sf):
+    """Attempts with their responses, stored: snapshots and inflight counts both start from them, and it is the largest join."""
+    done = correlate.outcomes(v.attempts(spark, sf), v.responses(spark, sf))
+    return v.stored(done.select("query_id", "worker_id", "backend", "send_us", "recv_us", "deadline_us", "rcode", "latency_us"))
+
+
+def _queries(spark, sf, done, snap, adv=None):
     """Queries with region, the snapshot (and advice) in force and their worker's inflight map.
 
     The lookups run on the narrow log; the inflight counts are joined afterwards.
@@ -22,12 +29,10 @@ def _queries(spark, sf, snap, adv=None):
     q = v.queries_with_region(spark, sf).select("query_id", "arrival_us", "worker_id", "region")
     q = asof.asof_snapshot(q, snap)
     if adv is not None:
-        thin = v.queries_with_region(spark, sf).select("query_id", "arrival_us", "region")
-        q = q.join(asof.asof_advice(thin, adv).select("query_id", "advice_issued_us"), "query_id")
-    # The narrow outcome table is read three times below; matching it again each time would
-    # repeat the largest join.
-    done = correlate.outcomes(v.attempts(spark, sf), v.responses(spark, sf))
-    done = v.stored(done.select("query_id", "worker_id", "backend", "send_us", "recv_us", "deadline_us"))
+        # Advice belongs to the query id: where ids repeat, each row meets the advice of every row of its id.
+        q = asof.asof_advice(q, adv).filter("query_id IS NOT NULL")
+        mates = F.collect_list(F.struct("advice_issued_us")).over(Window.partitionBy("query_id"))
+        q = q.withColumn("mates", mates).selectExpr(*[c for c in q.columns if c != "advice_issued_us"], "inline(mates)")
     load = telemetry.inflight_at_send(done, NAMES).select("query_id", "inflight")
     return q.join(load, "query_id")
 
@@ -244,10 +249,11 @@ _LESS = (
 
 
 def _replay(policy, spark, sf):
-    snap = v.stored(v.snapshots(spark, sf))
+    done = _matched(spark, sf) if policy.name in ("least_inflight", "latency_based") else None
+    snap = v.stored(v.snapshots(spark, sf, done=done))
     q = v.queries_with_region(spark, sf).select("query_id", "arrival_us", "worker_id", "region")
-    if policy.name in ("least_inflight", "latency_based"):
-        q = _queries(spark, sf, snap)
+    if done is not None:
+        q = _queries(spark, sf, done, snap)
     return policy.assign(q, snap).select("query_id", "pick")
 
 
@@ -294,8 +300,9 @@ def r_li(spark, sf):
     ),
 )
 def t2(spark, sf):
-    snap = v.stored(v.snapshots(spark, sf))
-    q = _queries(spark, sf, snap)
+    done = _matched(spark, sf)
+    snap = v.stored(v.snapshots(spark, sf, done=done))
+    q = _queries(spark, sf, done, snap)
     return choice.p2c(q, prepare.eligible(snap), 7, full_scan_max=0).select("query_id", "pick")
 
 
@@ -357,10 +364,11 @@ def r_ha(spark, sf):
     ),
 )
 def r_ad(spark, sf):
-    snap = v.stored(v.snapshots(spark, sf))
+    done = _matched(spark, sf)
+    snap = v.stored(v.snapshots(spark, sf, done=done))
     adv = v.advice(spark, sf, snap=snap)
     policy = policies.make("adaptive", advice=adv)
-    return policy.assign(_queries(spark, sf, snap, adv), snap).select("query_id", "pick")
+    return policy.assign(_queries(spark, sf, done, snap, adv), snap).select("query_id", "pick")
 
 
 @query(

@@ -92,6 +92,15 @@ def test_adaptive_uses_advice_only_while_valid(spark):
     assert out.filter("arrival_us >= 10000 AND source <> 'builtin'").count() == 0
 
 
+@pytest.mark.parametrize("name", ["latency_based", "adaptive"])
+def test_each_draw_is_made_once(spark, name):
+    """A draw is a digest; written into every mention of the pick it took most of the time of the last stage."""
+    adv = spark.createDataFrame([(0, 10_000, "r", "a", 1.0)], "issued_us long, ttl_us long, region string, backend string, advice_weight double")
+    policy = policies.make(name, **({"advice": adv} if name == "adaptive" else {}))
+    text = policy.assign(log(spark, 10), snapshot(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert 2 <= text.count("md5(") <= 4
+
+
 def test_user_policy_can_be_registered(spark):
     class Last:
         name = "last"

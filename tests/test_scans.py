@@ -189,3 +189,56 @@ def test_fault_lookups(spark, cell, monkeypatch):
     sent = [("x", t) for t in (3, 4, 19, 47)]
     grid = dense_bins(spark.createDataFrame(sent, "run_id string, send_us long").selectExpr("*", "'ok' AS status"), ["run_id"], 2)
     assert sorted((r.bin_us, r.n) for r in grid.collect()) == [(t, sum(t <= x < t + 2 for _, x in sent)) for t in range(2, 48, 2)]
+
+
+@pytest.mark.parametrize("limits", [(100_000, 64), (3, 64), (100_000, 0)])
+@pytest.mark.parametrize("times", ["even", "crowded", "one", "none"])
+def test_asof_by_spans_and_by_scan(spark, monkeypatch, limits, times):
+    from dnslens.operators import asof as module
+
+    monkeypatch.setattr(module, "MAX_SPANS", limits[0])
+    monkeypatch.setattr(module, "MAX_SHARED", limits[1])
+    rng = random.Random(4)
+    some = {"even": range(-500, 900, 7), "crowded": [*range(100, 150), 10**15], "one": [40], "none": []}[times]
+    right = [(t, t * 2 if t % 3 else None, k) for t in some for k in "rs" if k == "r" or t % 2]
+    left = [(i, rng.choice([rng.randrange(-600, 1000), 10**15 + i, 0]), rng.choice("rsx")) for i in range(300)]
+    left += [(300, 700, None), (301, None, "r"), (301, None, "r")]
+    q = spark.createDataFrame(left, "query_id long, at_us long, region string")
+    s = spark.createDataFrame(right, "pub long, v long, region string").withColumn("since", F.col("pub"))
+    got = asof(q, s, "at_us", "pub", ["v", "since"], ["region"], cell_us=50)
+    want = []
+    for i, at, k in left:
+        row = max(((t, v) for t, v, name in right if name == k and at is not None and t <= at), key=lambda r: r[0], default=(None, None))
+        want.append((i, at, k, row[1], row[0]))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_asof_with_few_rows_leaves_the_log_where_it_is(spark):
+    q, s = spark.range(1000).selectExpr("id", "id * 3 AS at_us"), spark.range(20).selectExpr("id * 50 AS pub", "id AS v")
+    plan = asof(q, s, "at_us", "pub", ["v"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("longest, burst, odd", [(50, 10**6, False), (50, 10**6, True), (700, 10**6, False), (50, 3, True)])
+def test_inflight_at_send(spark, monkeypatch, longest, burst, odd):
+    from dnslens.operators import telemetry
+
+    monkeypatch.setattr(telemetry, "MAX_BURST", burst)
+    rng = random.Random(longest + burst)
+    data = []
+    for i in range(400):
+        t = rng.choice([0, 100, 199, rng.randrange(-150, 1500)])
+        recv = rng.choice([None, t, t + rng.randrange(longest)])
+        data.append((i, rng.randrange(2), rng.choice(["a", "b", None]), t, recv, t + longest))
+    if odd:
+        data += [(400, None, "a", 5, 6, 7), (401, 0, "a", None, None, None), (401, 0, "a", None, None, None)]
+    done = spark.createDataFrame(data, "query_id long, worker_id int, backend string, send_us long, recv_us long, deadline_us long")
+    got = telemetry.inflight_at_send(done, ["a", "b", "c"], cell_us=100).collect()
+    assert sorted(str(tuple(r[c] for c in done.columns)) for r in got) == sorted(map(str, data))
+    for r in got:
+        if r.worker_id is None or r.send_us is None:
+            assert r.inflight is None
+            continue
+        mine = [(b, s, e if e is not None else x) for _, w, b, s, e, x in data if w == r.worker_id and s is not None]
+        for b in "abc":
+            assert r.inflight[b] == sum(n == b and s < r.send_us for n, s, _ in mine) - sum(n == b and e < r.send_us for n, _, e in mine)
