@@ -1,14 +1,17 @@
 """Operator 6: exact top-k inner products by Fagin's threshold algorithm.
 
-Vectors are dealt into blocks of about ``BLOCK`` by a hash of their id, and each block keeps one list per dimension,
-sorted by component. A query goes down the lists of its non-zero components, from the large end for a positive and
-from the small end for a negative one. Vectors met for the first time are scored in full; the scores a vector further
-down could reach at best are bounded by the sum of the components at the present depth. A query is through with a
-block when that threshold is below the k-th best score (at an equal one a smaller id might still tie). Depth grows
-geometrically, so steps are few and each is an array operation.
-
-Queries are dealt into blocks too, and every block of queries meets every block of vectors by an equality join on the
-block number; no pair of rows is emitted, only k rows for each query and block, which are merged by rank.
+Vectors are dealt into blocks, and each block keeps one list per dimension, sorted by component. A query goes down the
+lists of its non-zero components, from the large end for a positive and from the small end for a negative one. Vectors
+met for the first time are scored in full; the scores a vector further down could reach at best are bounded by the sum
+of the components at the present depth. A query is through with a block when that threshold is below the k-th best
+score (at an equal one a smaller id might still tie). Depth grows geometrically, so steps are few and each is an array
+operation. Queries whose next step meets so much of a block that scoring it costs more than scoring all of the block
+do the latter, many queries in one product.
+
+A block is a partition: its vectors come first, and the queries stream past them. Blocks grow with the table, from
+``BLOCK`` vectors up to ``BLOCK_VALUES`` components, and until these are full there are no more than ``SPREAD`` of them.
+So a query is copied once for each block, as rows that are only shuffled: neither side is joined, broadcast or
+gathered in one row. No pair of rows is emitted, only k rows for each query and block, which are merged by rank.
 """
 
 from __future__ import annotations
@@ -21,11 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dnslens.llm.common import stored
+from dnslens.llm.common import give_back, stored
 
 BLOCK = 2_048
+SPREAD = 64
+BLOCK_VALUES = 1 << 21
 QUERY_BLOCK = 1_024
 FIRST_DEPTH = 16
+#: Rows scored in a product of many queries in the time that one takes to be gathered and scored alone.
+GATHERED = 16
+#: Scores held at once, of some queries with a whole block.
+SCORES = 1 << 20
 
 
 def quantized(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -38,60 +47,145 @@ def quantized(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vect
     )
 
 
-def threshold_top_k(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, vector id, score) of the k best of a block for each query, ties to the smaller id, not itself."""
-    rising = np.ascontiguousarray(np.argsort(rows, axis=0, kind="stable").T)
-    falling = np.ascontiguousarray(rising[:, ::-1])
-    n, out = len(rows), []
-    for query_id, query in zip(query_ids.tolist(), queries, strict=True):
+def sorted_lists(rows: np.ndarray) -> np.ndarray:
+    """Places of the rows by falling component, for each dimension, and behind these lists as many by rising component."""
+    n, width = rows.shape
+    lists = np.empty((2 * width, n), np.int32)
+    for d in range(width):
+        lists[width + d] = np.argsort(rows[:, d], kind="stable")
+        lists[d] = lists[width + d, ::-1]
+    return lists
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores, ties to the smaller id."""
+    at = np.arange(len(scores))
+    if len(scores) > 4 * k:
+        at = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+    return at[np.lexsort((ids[at], -scores[at]))[:k]]
+
+
+def threshold_top_k(
+    ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, lists: np.ndarray | None = None
+) -> list[tuple[int, int, int]]:
+    """(query id, vector id, score) of the k best of a block for each query, ties to the smaller id, not itself.
+
+    lists: the block's sorted_lists, if they are there already.
+    """
+    lists = sorted_lists(rows) if lists is None else lists
+    n, width = rows.shape
+    tops, whole = [(ids[:0], np.empty(0, rows.dtype))] * len(queries), []
+    dear = GATHERED if rows.dtype != object else 2
+    for at, (query_id, query) in enumerate(zip(query_ids.tolist(), queries, strict=True)):
         dims = np.flatnonzero(query)
         weight = query[dims]
-        large_end = (weight > 0)[:, None]
+        ends = np.where(weight > 0, dims, width + dims)
         seen = ids == query_id
-        best_ids, best = np.empty(0, np.int64), np.empty(0, rows.dtype)
+        best_ids, best = tops[at]
         depth, reach = 0, FIRST_DEPTH
         while depth < n and not seen.all():
             reach = min(n, reach)
             fresh = np.zeros(n, bool)
-            if len(dims):
-                fresh[np.where(large_end, falling[dims, depth:reach], rising[dims, depth:reach])] = True
-            else:  # every score is zero: all tie
-                fresh[:] = True
-                reach = n
+            fresh[lists[ends, depth:reach]] = True
             fresh &= ~seen
-            seen |= fresh
             found = np.flatnonzero(fresh)
-            # Gathering many rows costs more than scoring those beside them.
-            scores = (rows @ query)[found] if 2 * len(found) > n else rows[found] @ query
-            all_ids, scores = np.concatenate([best_ids, ids[found]]), np.concatenate([best, scores])
-            if len(scores) > 4 * k:
-                high = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-                all_ids, scores = all_ids[high], scores[high]
-            keep = np.lexsort((all_ids, -scores))[:k]
+            # Gathering many rows costs more than scoring those beside them. Without a component, all scores are zero.
+            if dear * len(found) > n or not len(dims):
+                whole.append((at, best[-1] if len(best) == k else None))
+                break
+            seen |= fresh
+            all_ids, scores = np.concatenate([best_ids, ids[found]]), np.concatenate([best, rows[found] @ query])
+            keep = _best(all_ids, scores, k)
             best_ids, best = all_ids[keep], scores[keep]
             depth, reach = reach, reach * 4
-            if depth < n and len(best) == k:
-                frontier = np.where(large_end[:, 0], falling[dims, depth], rising[dims, depth])
-                if rows[frontier, dims] @ weight < best[-1]:
-                    break
-        out += [(query_id, int(i), int(s)) for i, s in zip(best_ids, best, strict=True)]
+            if depth < n and len(best) == k and rows[lists[ends, depth], dims] @ weight < best[-1]:
+                break
+        tops[at] = best_ids, best
+    step = max(1, SCORES // max(1, n))
+    for start in range(0, len(whole), step):
+        some = whole[start : start + step]
+        products = queries[[at for at, _ in some]] @ rows.T
+        for (at, low), scores in zip(some, products, strict=True):
+            # What was met before holds k of at least this score.
+            there = np.arange(n) if low is None else np.flatnonzero(scores >= low)
+            there = there[ids[there] != query_ids[at]]
+            there = there[_best(ids[there], scores[there], k)]
+            tops[at] = ids[there], scores[there]
+    pairs = zip(query_ids.tolist(), tops, strict=True)
+    return [(query_id, int(i), int(s)) for query_id, top in pairs for i, s in zip(*top, strict=True)]
+
+
+def _matrix(lengths: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Rows of equal length; shorter vectors are filled up with zeros."""
+    width = int(lengths.max(initial=0))
+    if len(values) == len(lengths) * width:
+        return values.reshape(len(lengths), width)
+    out = np.zeros((len(lengths), width))
+    out[np.arange(width) < lengths[:, None]] = values
     return out
 
 
-def _matrix(values: list[np.ndarray]) -> np.ndarray:
-    """Rows of equal length; shorter vectors are filled up with zeros."""
-    out = np.zeros((len(values), max(map(len, values), default=0)))
-    for i, v in enumerate(values):
-        out[i, : len(v)] = v
-    return out
+def _fitted(rows: np.ndarray, width: int) -> np.ndarray:
+    """Cut or filled up with zeros to a width."""
+    return np.pad(rows[:, :width], ((0, 0), (0, max(0, width - rows.shape[1]))))
+
+
+def _kind(*sides: np.ndarray) -> type:
+    """What all sums of products stay exact in: floats, doubles or else whole numbers of any size."""
+    high = [float(np.abs(s).max(initial=1)) for s in sides]
+    most = high[0] * high[1] * max(1, sides[0].shape[1])
+    return np.float32 if most < 2.0**24 else np.float64 if most < 2.0**52 else object
+
+
+def _as(kind: type, side: np.ndarray) -> np.ndarray:
+    if kind is object:
+        return np.array([[int(x) for x in r] for r in side], dtype=object).reshape(side.shape)
+    return side.astype(kind)
 
 
 def _exact(*sides: np.ndarray) -> list[np.ndarray]:
-    """Doubles while all sums of products stay exact in them, else whole numbers of any size."""
-    high = [float(np.abs(s).max(initial=0)) for s in sides]
-    if high[0] * high[1] * max(1, sides[0].shape[1]) < 2.0**52:
-        return list(sides)
-    return [np.array([[int(x) for x in r] for r in s], dtype=object).reshape(s.shape) for s in sides]
+    """Floats or doubles while all sums of products stay exact in them, else whole numbers of any size."""
+    kind = _kind(*sides)
+    return [_as(kind, s) for s in sides]
+
+
+def _read(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and the matrix of the vectors."""
+    columns = [(b.column("vec_id").to_numpy(), b.column("v")) for b in batches]
+    lengths = [v.value_lengths().to_numpy() for _, v in columns]
+    values = [v.flatten().to_numpy(zero_copy_only=False) for _, v in columns]
+    return np.concatenate([ids for ids, _ in columns]), _matrix(np.concatenate(lengths), np.concatenate(values))
+
+
+def _past(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The best of each query in a block, whose vectors come before the queries."""
+    held, block, made = [], None, {}
+    for batch in batches:
+        vectors = batch.num_rows - batch.column("asks").true_count
+        if vectors:
+            held.append(batch.slice(0, vectors))
+        if vectors == batch.num_rows or not held and block is None:
+            continue
+        if block is None:
+            ids, block = _read(held)
+            held, lists = [], sorted_lists(block)
+        for at in range(vectors, batch.num_rows, QUERY_BLOCK):
+            query_ids, queries = _read([batch.slice(at, QUERY_BLOCK)])
+            # What a block's vectors don't have adds nothing to their scores.
+            queries = _fitted(queries, block.shape[1])
+            kind = _kind(block, queries)
+            if kind not in made:
+                made = {kind: _as(kind, block)}
+            found = threshold_top_k(ids, made[kind], query_ids, _as(kind, queries), k, lists)
+            columns = [pa.array([f[c] for f in found], pa.int64()) for c in range(3)]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
+    del held, block, made
+    give_back()
+
+
+def block_count(rows: int, values: int) -> int:
+    """Blocks of a table with so many vectors, and components in all of them."""
+    return max(1, min(SPREAD, math.ceil(rows / BLOCK)), math.ceil(values / BLOCK_VALUES))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -101,36 +195,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     than k other rows all are returned. Vectors of unequal length are compared with zeros in the missing places; empty
     inputs give an empty result. Repeated vec_ids count as rows of their own among the candidates.
     """
-    total, asked = vectors.count(), queries.count()
-    blocks, query_blocks = max(1, math.ceil(total / BLOCK)), max(1, math.ceil(asked / QUERY_BLOCK))
-    slot = F.xxhash64("vec_id", F.lit("block"))
-    cand = vectors.select(F.pmod(slot, F.lit(blocks)).cast("int").alias("block"), "vec_id", "v")
-    packed = (
-        queries.select(F.pmod(slot, F.lit(query_blocks)).cast("int").alias("query_block"), "vec_id", "v")
-        .groupBy("query_block")
-        .agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows, values = vectors.agg(F.count("*"), F.sum(F.size("v"))).first()
+    blocks = block_count(rows, values or 0)
+    slot = F.pmod(F.xxhash64("vec_id", "v", F.lit("block")), F.lit(blocks)).cast("int")
+    sides = vectors.select(slot.alias("block"), F.lit(False).alias("asks"), "vec_id", "v").union(
+        queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), F.lit(True), "vec_id", "v")
     )
-    gathered = cand.groupBy("block").agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
-    met = gathered.join(packed, "block").select("rows", "queries")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                sides = []
-                for c in (0, 1):
-                    items = batch.column(c)[i].values
-                    flat = items.field("v")
-                    offsets = flat.offsets.to_numpy()
-                    values = flat.values.to_numpy(zero_copy_only=False)
-                    sides.append((items.field("vec_id").to_numpy(), [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]))
-                whole = _matrix(sides[0][1] + sides[1][1])
-                rows, asked_rows = _exact(whole[: len(sides[0][1])], whole[len(sides[0][1]) :])
-                found = threshold_top_k(sides[0][0], rows, sides[1][0], asked_rows, k)
-                columns = [pa.array([f[c] for f in found], pa.int64()) for c in range(3)]
-                yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
-
-    found = met.mapInArrow(run, "query_id long, vec_id long, score long")
+    dealt = sides.repartitionById(blocks, "block").sortWithinPartitions("asks").select("asks", "vec_id", "v")
+    found = dealt.mapInArrow(lambda batches: _past(batches, k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

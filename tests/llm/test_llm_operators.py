@@ -260,6 +260,60 @@ def test_threshold_stops_and_large_numbers():
     assert exact_top_k.threshold_top_k(ids, a, np.array([-1]), b, 2) == [(-1, 0, 499 << 70), (-1, 1, 498 << 70)]
 
 
+@pytest.mark.parametrize("high", [200, 2**20, 2**40])
+def test_threshold_meets_all_that_matter(high):
+    """Skewed, sparse, tied and repeated rows, as floats, doubles and whole numbers of any size."""
+    rng = np.random.default_rng(4)
+    rows = np.floor(rng.standard_cauchy((1500, 8)).clip(-50, 50) * high / 50)
+    rows[rng.random(rows.shape) < 0.5] = 0
+    rows[700:720] = rows[3]
+    ids = rng.integers(0, 1400, len(rows))
+    queries = np.concatenate([rows[:30], np.eye(8)[:3] * high, np.zeros((1, 8))])
+    query_ids = np.concatenate([ids[:30], np.array([-1, -2, -3, ids[40]])])
+    held, asked = exact_top_k._exact(rows, queries)
+    assert held.dtype == {200: np.float32, 2**20: np.float64, 2**40: object}[high]
+    got = exact_top_k.threshold_top_k(ids, held, query_ids, asked, 5)
+    want = []
+    for q, query in zip(query_ids.tolist(), queries.tolist(), strict=True):
+        scores = [sum(int(x) * int(y) for x, y in zip(row, query, strict=True)) for row in rows.tolist()]
+        best = sorted((-s, i) for i, s in zip(ids.tolist(), scores, strict=True) if i != q)[:5]
+        want += [(q, i, -s) for s, i in best]
+    assert got == want
+
+
+def test_top_k_over_many_blocks(spark, monkeypatch):
+    """Blocks of few rows: unequal lengths, ids and rows that come again, a query longer than all vectors of a block."""
+    monkeypatch.setattr(exact_top_k, "BLOCK", 8)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-90, 90, rng.integers(0, 7))]) for i in range(200)]
+    rows += rows[5:15] + [(50, [1.0, 2.0, 3.0]), (201, [float(2**40)] * 3), (100, [1.0] * 9)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = {}
+    for r in exact_top_k.top_k(df, df.filter("vec_id % 25 = 0"), 7).collect():
+        got.setdefault(r.query_id, []).append((r.rank, -r.score, r.vec_id))
+    want = {}
+    for q, v in rows:
+        if q % 25 == 0:
+            pairs = [(-sum(int(a) * int(b) for a, b in zip(v, w, strict=False)), i) for i, w in rows if i != q]
+            want.setdefault(q, []).extend(sorted(pairs)[:7])
+    assert exact_top_k.block_count(len(rows), 1) > 20
+    assert {q: sorted(x) for q, x in got.items()} == {q: [(n + 1, *x) for n, x in enumerate(sorted(best)[:7])] for q, best in want.items()}
+
+
+def test_top_k_queries_do_not_pass_the_driver(spark):
+    """Queries look small enough to be broadcast, but they are copied once for each block."""
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(300)], "vec_id long, embedding array<float>")
+    found = exact_top_k.report(df)
+    assert len(found.collect()) == 30
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_grow_with_the_table():
+    """Copies of a query: no more than SPREAD until a block holds all it may; no block holds more."""
+    assert [exact_top_k.block_count(n, 64 * n) for n in (0, 500, 10_256, 102_564, 720_000)] == [1, 1, 6, 51, 64]
+    assert exact_top_k.block_count(15_000_000, 64 * 15_000_000) == 458
+
+
 def test_language(spark, sf_dir, odd, empty):
     rows = kernel_langid.report(docs_of(spark, sf_dir)).join(docs_of(spark, sf_dir).select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if r.held_out]
